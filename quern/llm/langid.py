@@ -80,9 +80,9 @@ def top_grams(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray,
     """Each document's k most frequent n-grams: row, rank, code; by row and rank."""
     s, of = symbols(texts)
     rows, codes = [], []
-    for at, code in grams(s):
+    for n, (at, code) in enumerate(grams(s)):
         # a gram belongs to the text of its last letter: the 0 that ends one text starts the next
-        last = at + (int(code[0] >> np.uint64(48)) - 1 if len(code) else 0)
+        last = at + n
         row = of[np.where(s[last] == 0, last - 1, last)]
         rows.append(row)
         codes.append(code)
