@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import langid, toxicity
+from . import decontaminate, langid, toxicity
 
-_ALL = (langid, toxicity)
+_ALL = (langid, toxicity, decontaminate)
 QUERIES = {name: fn for m in _ALL for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in _ALL for name, sql in m.SQL.items()}
