@@ -80,8 +80,9 @@ class Model:
             self.automaton.add_word(p, (i, len(p), pieces[i][1]))
         if self.ids:
             self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._fits: dict[int, bool] = {}
+        surface = {2: " ⁇ ", 3: ""}
+        self.raw = [bytes((self.byte_of[i],)) if kind == 6 else surface.get(kind, p.replace(MARK, " ")).encode() for i, (p, _, kind) in enumerate(pieces)]
         self.cache: dict[str, bytes] = {}
 
     @staticmethod
@@ -117,18 +118,11 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether right may follow left (-1: nothing or a character without a piece)."""
-        if left < 0:
-            got = self._whole.get(right)
-            if got is None:
-                got = self._whole[right] = self.merged(self.pieces[right][0]) == [self.pieces[right][0]]
-            return got
-        got = self._fits.get((left, right))
-        if got is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            a, b = self.pieces[left][0], self.pieces[right][0]
-            got = self._fits[left, right] = self.merged(a + b) == [a, b]
+        """Whether right may follow left (-1: nothing or a character without a piece); kept by their joint number."""
+        if len(self._fits) > 2_000_000:
+            self._fits.clear()
+        parts = [self.pieces[i][0] for i in (left, right) if i >= 0]
+        got = self._fits[left * len(self.pieces) + right] = self.merged("".join(parts)) == parts
         return got
 
     def _stretch(self, s: str) -> list[int]:
@@ -136,21 +130,23 @@ class Model:
         best: list[float | None] = [None] * (n + 1)
         last, size = [-1] * (n + 1), [1] * (n + 1)
         best[0] = 0.0
-        bpe, fits, done = self.bpe, self.fits, 0  # positions up to done are final
+        bpe, known, many, done = self.bpe, self._fits.get, len(self.pieces), 0  # positions up to done are final
         for end, (i, length, score) in self.automaton.iter(s) if self.ids else ():
-            end += 1
-            while done < end - 1:
+            start = end + 1 - length
+            while done < end:
                 done += 1
                 if best[done] is None:
                     best[done] = best[done - 1] + self.low
-            at = best[end - length]
-            if at is None:
-                continue
-            at += score
-            if best[end] is None or at > best[end] or bpe:
-                if bpe and not fits(last[end - length], i):
-                    continue
-                best[end], last[end], size[end] = at, i, length
+            at = best[start]
+            end += 1
+            if bpe:
+                ok = known(last[start] * many + i)
+                if ok is None:
+                    ok = self.fits(last[start], i)
+                if ok:
+                    best[end], last[end], size[end] = at + score, i, length
+            elif best[end] is None or at + score > best[end]:
+                best[end], last[end], size[end] = at + score, i, length
         while done < n:
             done += 1
             if best[done] is None:
@@ -161,7 +157,7 @@ class Model:
                 out.append(last[n])
             elif len(self.bytes) == 256:
                 out += [self.bytes[b] for b in reversed(s[n - 1].encode())]
-            elif not out or out[-1] != self.unknown or last[n] >= 0:
+            elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
             n -= size[n]
         return out[::-1]
@@ -187,21 +183,10 @@ class Model:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
-        out: list[bytes] = []
-        for i in np.asarray(ids).tolist():
-            p, _, kind = self.pieces[i]
-            if kind == 6:
-                out.append(bytes((self.byte_of[i],)))
-            elif kind == 2:
-                out.append(" ⁇ ".encode())
-            elif kind != 3:
-                out.append(self._utf8(i))
-        text = b"".join(out).decode("utf-8", "replace")
+        raw = self.raw
+        text = b"".join([raw[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
-    def _utf8(self, i: int) -> bytes:
-        return self.pieces[i][0].replace(MARK, " ").encode()
-
 
 @lru_cache(2)
 def model(path: str) -> Model:
