@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import decontaminate, langid, neardup, pieces, substring, toxicity
+from . import decontaminate, langid, neardup, pieces, substring, toxicity, warc
 
-_ALL = (langid, pieces, toxicity, decontaminate, substring, neardup)
+_ALL = (langid, pieces, toxicity, decontaminate, substring, neardup, warc)
 QUERIES = {name: fn for m in _ALL for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in _ALL for name, sql in m.SQL.items()}
