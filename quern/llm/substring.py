@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch
+from .checkpoints import folder
 from .text import WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, table, utf8
 
 SIZE = 13
@@ -108,12 +109,14 @@ def estimated_repeats(docs: DataFrame, size: int) -> DataFrame:
 
 def removals(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, fp (24 bits of the text's fingerprint), starts: numbers of the words at which a removed window starts."""
+    folder(docs.sparkSession)
     found = estimated_repeats(docs, size)
     key = ["h", "g"]
     cold = found.where(~F.col("hot")).withColumn("least", F.min("doc_id").over(Window.partitionBy(*key)))
     hot = found.where("hot")
-    least = hot.groupBy(*key).agg(F.min("doc_id").alias("least"))
-    hot = hot.join(least.hint("merge"), key)
+    # written first, so that both sides of the join are plain shuffles, of which Spark splits the large partitions
+    least = hot.groupBy(*key).agg(F.min("doc_id").alias("least")).checkpoint()
+    hot = hot.join(least, key)
     later = "least is not null and (doc_id is null or doc_id > least)"
     gone = cold.where(later).select("doc_id", "at").union(hot.where(later).select("doc_id", "at"))
     return gone.groupBy("doc_id", F.shiftrightunsigned("at", _AT).alias("fp")).agg(F.collect_list(F.col("at").bitwiseAND((1 << _AT) - 1).cast("int")).alias("starts"))
