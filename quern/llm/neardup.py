@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, table, utf8
+from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, squeezed, table, unsqueezed, utf8
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
 DEEPER, DENSE = 2, 2048
@@ -116,24 +116,16 @@ def forest(reps: DataFrame) -> DataFrame:
 
 def _squeeze(docs: DataFrame) -> DataFrame:
     """rep, z: the texts compressed."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        codec = pa.Codec("zstd", compression_level=1)
-        raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r).to_bytes(8, "little") + codec.compress(r).to_pybytes() for r in raw], pa.binary())], ["rep", "z"])
-
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(by_slice(run), "rep long, z binary")
+    return squeezed(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("z")).where("rep is not null"), "z")
 
 
 def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
-    codec = pa.Codec("zstd")
     known: dict[bytes, np.ndarray] = {}
     out = []
     for z in column.to_pylist():
         got = known.get(z)
         if got is None:
-            text = codec.decompress(z[8:], int.from_bytes(z[:8], "little")).to_pybytes()
-            part = pa.RecordBatch.from_arrays([pa.array([text], pa.binary()).cast(pa.string())], ["text"])
+            part = pa.RecordBatch.from_arrays([unsqueezed(pa.array([z], pa.binary()))], ["text"])
             if len(known) > 64:
                 known.clear()
             got = known[z] = sets(part, size)[0]

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix
+from .text import member, mix
 
-SEGMENT_BITS, MAX_BITS, HOT = 20, 29, 250
+SEGMENT_BITS, MAX_BITS, HOT = 20, 29, 32
 _FLUSH = 1 << 21
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
 SCHEMA = "round int, segment int, gaps binary"
@@ -126,7 +126,7 @@ class Sketch:
         yes, hot = np.ones(len(keys), bool), np.ones(len(keys), bool)
         for at, bits, many in zip(indexes(keys, self.bits), self.repeated, self.hot, strict=True):
             yes &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            hot &= np.isin(at, many)
+            hot &= member(many, at) >= 0
         return yes, hot
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .checkpoints import folder
-from .text import WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, table, utf8
+from .text import SLICE_BYTES, WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, squeezed, table, unsqueezed, utf8
 
 SIZE = 13
 _AT = 40  # bits of a word's number beside 24 bits of the text's fingerprint
@@ -125,10 +125,12 @@ def removals(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def kept(docs: DataFrame, gone: DataFrame, size: int, columns: list[str], finish: Callable, schema: str) -> DataFrame:
     """Joins each text with its removals and applies finish(texts, flags, Words) to slices; columns are carried."""
     own = docs.select(F.struct(*columns).alias("own"), "doc_id", "text", F.xxhash64("text").bitwiseAND((1 << 24) - 1).alias("fp"))
+    own = squeezed(own)
     gone = gone.select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "starts")
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left").select("own", "text", "starts")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        part = part.set_column(1, "text", unsqueezed(part.column("text")))
         data, borders = utf8(part.column("text"))
         w = Words(data, borders)
         starts = part.column("starts")
@@ -141,7 +143,7 @@ def kept(docs: DataFrame, gone: DataFrame, size: int, columns: list[str], finish
         return finish(part, w, np.cumsum(step[:-1]) > 0)
 
     kinds = dict(own.dtypes)["own"]
-    return both.mapInArrow(by_slice(run), f"own {kinds}, {schema}").select("own.*", *[s.split()[0] for s in schema.split(", ")])
+    return both.mapInArrow(by_slice(run, limit=SLICE_BYTES // 2), f"own {kinds}, {schema}").select("own.*", *[s.split()[0] for s in schema.split(", ")])
 
 
 def _texts(w: Words, gone: np.ndarray) -> list[bytes]:

@@ -80,7 +80,7 @@ def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) ->
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, one after the other, and the offsets of their n + 1 borders."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n, at = len(column), column.offset
     if not n or column.buffers()[1] is None:
@@ -162,3 +162,22 @@ def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
                 yield out
 
     return run
+
+
+def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a string column compressed (binary; nulls stay), for shuffles that carry whole texts."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        codec = pa.Codec("zstd", compression_level=1)
+        raw = [None if t is None else t.encode() for t in part.column(column).to_pylist()]
+        out = [None if r is None else len(r).to_bytes(8, "little") + codec.compress(r).to_pybytes() for r in raw]
+        return part.set_column(part.schema.get_field_index(column), column, pa.array(out, pa.binary()))
+
+    kinds = ", ".join(f"`{c}` {'binary' if c == column else t}" for c, t in df.dtypes)
+    return df.mapInArrow(by_slice(run, column), kinds)
+
+
+def unsqueezed(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    raw = [None if z is None else codec.decompress(z[8:], int.from_bytes(z[:8], "little")).to_pybytes() for z in column.to_pylist()]
+    return pa.array(raw, pa.binary()).cast(pa.string())
