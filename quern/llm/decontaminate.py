@@ -250,6 +250,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], q: int =
     return out if out is not None else session.createDataFrame([], kinds)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs whose text holds no item; one pass for each block of items, nothing is shuffled."""
+    out = docs.select(F.struct("*").alias("own"), "text")
+    for block in blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items([i for i, _ in shared.value], [t for _, t in shared.value], q, rate)
+
+            def one(part: pa.RecordBatch) -> pa.RecordBatch:
+                keep = np.ones(part.num_rows, bool)
+                keep[[f[0] for f in find(part, items)]] = False
+                return part.filter(pa.array(keep))
+
+            yield from by_slice(one)(batches)
+
+        out = out.mapInArrow(run, out.schema)
+    return out.select("own.*")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages found, one row each; documents without any have no row."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).withColumn("contaminated", F.lit(True))

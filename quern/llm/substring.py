@@ -180,7 +180,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     texts[r] = t.decode("utf-8", "replace")
         return pa.RecordBatch.from_arrays([part.column("own"), pa.array(texts, pa.string()), pa.array(lost)], ["own", "kept_text", "lost"])
 
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c != "text"]  # none may be called kept_text or lost
     out = kept(docs, removals(docs, size), size, others, finish, "kept_text string, lost boolean")
     return out.withColumnRenamed("kept_text", "text").select(*docs.columns, "lost")
 
