@@ -10,17 +10,20 @@ Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-
 3. Round one: in each region, sorted by the rest of the order, a document's candidates are the region's first document
    and its neighbour with the longest common prefix. Each document is verified against the candidate that it meets in
    most trees, so one pair a document, and links are joined to components.
-4. Round two, so that no link is lost: regions whose documents lie in several components are compared across components
-   only, every pair, in blocks. Regions over ``DENSE`` documents first go ``DEEPER`` values deeper (adaptive depth;
-   pairs at 0.85 still share one of 20 regions of five values but for 8e-6). Pairs are left out only where the sizes
-   rule a link out, or where under ``least`` of the 60 signature values agree (5 standard deviations below the threshold).
-5. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
+4. Round two: in regions whose documents lie in several components, each document's shingles that occur in another
+   component are counted. Documents are verified against the region's most central one, that with the most of them.
+5. Round three, so that no link is lost: what still lies in several components of a region is compared across components,
+   every pair. Regions over ``DENSE`` documents go ``DEEPER`` values deeper (adaptive depth; pairs at 0.85 still share one
+   of 20 regions of five values but for 8e-6). Pairs are left out only where the sizes or the counts of round two rule a
+   link out, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
+6. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
 
 Sets are recomputed from texts, which are shipped compressed and only to their pairs.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five words
-have one shingle, the whole sequence. Rows that share an id count as one document with the set of the row whose
-fingerprint is smallest... each row reports its own n_shingles. Rows with a null id get a null component and are kept.
+have one shingle, the whole sequence. Of rows that share an id but not the
+set, the set with the smallest fingerprint can be linked, the others keep their id as component. Rows with a null id get
+a null component and are kept. Each row reports its own n_shingles.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, squeezed, table, unsqueezed, utf8
@@ -83,9 +86,10 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
         sig = signatures(h, first)
         f = [_sum_by_row(mix(h ^ np.uint64(s)), first).view(np.int64) for s in (11, 12)]
         packed = pa.array([r.tobytes() for r in sig], pa.binary())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), *map(pa.array, f), packed], ["doc_id", "n", "f1", "f2", "sig"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(np.diff(first)), *map(pa.array, f), packed], ["doc_id", "t", "n", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slice(run), "doc_id long, n long, f1 long, f2 long, sig binary")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return own.mapInArrow(by_slice(run), "doc_id long, t long, n long, f1 long, f2 long, sig binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -115,8 +119,8 @@ def forest(reps: DataFrame) -> DataFrame:
 
 
 def _squeeze(docs: DataFrame) -> DataFrame:
-    """rep, z: the texts compressed."""
-    return squeezed(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("z")).where("rep is not null"), "z")
+    """rep, t, z: the texts compressed, with their fingerprint."""
+    return squeezed(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("t"), F.col("text").alias("z")), "z")
 
 
 def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -169,73 +173,103 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(size: int, percent: int):
+def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """rep, m: how many of a document's shingles occur in another component, for the documents of held (rep, comp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                own = _sets_of(b.column("z"), size)
+                rows = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([b.column("rep").take(rows), b.column("comp").take(rows), pa.array(np.concatenate(own).view(np.int64))], ["rep", "comp", "s"])
+
+    each = texts.select("rep", "z").join(held.select("rep", "comp").distinct(), "rep").select("rep", "comp", "z").mapInArrow(run, "rep long, comp long, s long")
+    common = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s").checkpoint()
+    return each.join(common, "s").groupBy("rep").agg(F.count("*").alias("m"))
+
+
+def _cross(percent: int):
     """Within each region (rows arrive sorted by it), the pairs of different components that may be linked."""
     least = int(TREES * DEPTH * percent / 100 - 5 * np.sqrt(TREES * DEPTH * percent / 100 * (1 - percent / 100)))
 
-    def pairs(rep, comp, n, sig) -> Iterator[pa.RecordBatch]:
+    def pairs(rep, comp, n, m, sig) -> Iterator[pa.RecordBatch]:
         for i in range(len(rep)):
-            j = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+            # J >= p/100 needs (100 + p) * intersection >= p * (sum of sizes), and an intersection of at most m
+            need = percent * (n[:i] + n[i])
+            j = np.flatnonzero((comp[:i] != comp[i]) & ((100 + percent) * np.minimum(np.minimum(m[:i], m[i]), np.minimum(n[:i], n[i])) >= need))
             if len(j):
                 j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
             if len(j):
                 a, b = np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def columns(rows):
+        rep, comp, n, m, sig = zip(*rows, strict=True)
+        return np.array(rep), np.array(comp), np.array(n), np.array(m), np.frombuffer(b"".join(sig), np.uint32).reshape(len(rep), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != now:
                     if len(held) > 1:
-                        yield from pairs(*_columns(held))
+                        yield from pairs(*columns(held))
                     now, held = row[:2], []
                 held.append(row[2:])
         if len(held) > 1:
-            yield from pairs(*_columns(held))
-
-    def _columns(rows):
-        rep, comp, n, sig = zip(*rows, strict=True)
-        return np.array(rep), np.array(comp), np.array(n), np.frombuffer(b"".join(sig), np.uint32).reshape(len(rep), -1)
+            yield from pairs(*columns(held))
 
     return run
 
 
+def _spread(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows, with their component, of regions that hold several."""
+    held = rows.join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    several = held.groupBy("tree", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "part")
+    return held.join(several, ["tree", "part"])
+
+
+def _favourites(star: DataFrame) -> DataFrame:
+    """For each a the b that it meets most often (ties: the smallest)."""
+    best = star.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("x"))
+    return best.select("a", (-F.col("x.b")).alias("b"))
+
+
 def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     prints = fingerprints(docs, size).checkpoint()
     some = prints.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = reps.groupBy("rep").agg(F.min(F.struct("f1", "f2", "n", "sig")).alias("s")).select("rep", "s.f1", "s.f2", "s.n", "s.sig").checkpoint()
+    reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.first("sig").alias("sig"))
+    reps = reps.groupBy(F.col("x.doc_id").alias("rep")).agg(F.min(F.struct("f1", "f2", "n", "x.t", "sig")).alias("s")).select("rep", "s.*").checkpoint()
     rows = forest(reps)
-    region = ["tree", "key"]
-    heads = rows.groupBy(*region).agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1")
-    rows = rows.join(heads, region).checkpoint()
-    from pyspark.sql import Window
-
-    # the region's first document, and the neighbour in the sorted order
-    order = Window.partitionBy("tree", "key", F.when(F.col("many") > DENSE, F.col("deep"))).orderBy("rest", "rep")
-    near = rows.withColumn("left", F.lag("rep").over(order))
+    heads = rows.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1")
+    rows = rows.join(heads, ["tree", "key"]).withColumn("part", F.when(F.col("many") > DENSE, F.col("deep")).otherwise(F.col("key"))).checkpoint()
+    texts = _squeeze(docs).join(rows.select("rep").distinct().join(reps.select("rep", "t"), "rep"), ["rep", "t"], "left_semi").select("rep", "z").checkpoint()
+    # round one: the region's first document, and the neighbour in the sorted order
+    near = rows.withColumn("left", F.lag("rep").over(Window.partitionBy("tree", "part").orderBy("rest", "rep")))
     star = near.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     star = star.union(near.where("left is not null").select(F.greatest("rep", "left"), F.least("rep", "left")))
-    best = star.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", -F.col("b"))).alias("x"))
-    first = best.select("a", (-F.col("x.col2")).alias("b"))
-    texts = _squeeze(docs).join(reps.select("rep"), "rep", "left_semi")
-    links = verified(first, texts, size, percent).checkpoint()
+    links = verified(_favourites(star), texts, size, percent).checkpoint()
     found = components(links)
-    # regions that still hold several components
-    held = rows.join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = held.groupBy(*region).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*region)
-    part = F.when(F.col("many") > DENSE, F.col("deep")).otherwise(F.col("key")).alias("part")
-    left = held.join(open_, region).select("tree", part, "rep", "comp").join(reps.select("rep", "n", "sig"), "rep").select("tree", "part", "rep", "comp", "n", "sig")
-    more = left.repartition("tree", "part").sortWithinPartitions("tree", "part").mapInArrow(_cross(size, percent), "a long, b long").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.join(tried, ["a", "b"], "left_anti").checkpoint()
-    if more.limit(1).count():
-        links = links.union(verified(more, texts, size, percent)).checkpoint()
+    # round two: the most central document of regions that hold several components
+    held = _spread(rows.select("tree", "part", "rep"), found).checkpoint()
+    if held.limit(1).count():
+        shared = shared_shingles(texts, held, size).checkpoint()
+        held = held.join(shared, "rep").join(reps.select("rep", "n"), "rep")
+        centre = held.groupBy("tree", "part").agg(F.max(F.struct((F.col("m") - F.col("n")).alias("own"), "m", "rep", "comp")).alias("c"))
+        star = held.join(centre, ["tree", "part"]).where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
+        links = links.union(verified(_favourites(star), texts, size, percent)).checkpoint()
         found = components(links)
+        # round three: all pairs of different components that may be linked
+        left = _spread(rows.select("tree", "part", "rep"), found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
+        left = left.where(100 * F.col("m") >= percent * F.col("n")).select("tree", "part", "rep", "comp", "n", "m", "sig")
+        more = left.repartition("tree", "part").sortWithinPartitions("tree", "part").mapInArrow(_cross(percent), "a long, b long").distinct().checkpoint()
+        if more.limit(1).count():
+            links = links.union(verified(more, texts, size, percent)).checkpoint()
+            found = components(links)
     of = reps.select("f1", "f2", "n", "rep").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = prints.join(of.hint("merge"), ["f1", "f2", "n"], "left")
+    out = prints.join(of, ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
