@@ -1,6 +1,311 @@
-"""Registered queries of the relational operators and their SQL."""
+"""Registered queries of the relational operators and their SQL; each reads whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ExpressionFunction, arg, const, weak_and, weak_not, weak_or
+from .functions.expr import horner
+from .operators import HashJoin, InMemoryScan, Node, Projection, Selection, TableScan
+from .operators.hashing import match_count, multiplicity
+from .operators.index import UniqueIndex
+from .operators.nodes import printed
+from .operators.numbering import numbered
+from .sources.records import decoded, encoded
+from .sources.segment import replaced, without
+from .sources.u64 import sorted_in_order
+
+STUDENTS = ((1, "Alf", 50), (2, "Bert", 20), (3, "Bert's twin", 20), (4, "Carl", 33))
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def scan(sf_dir: str, name: str) -> TableScan:
+    return TableScan(f"{sf_dir}/{name}.parquet")
+
+
+def _place(node: Node, spark: SparkSession, *names: str) -> list[int]:
+    columns = node.columns(spark)
+    return [columns.index(n) for n in names]
+
+
+@query("SELECT * FROM nation")
+def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(sf_dir, "nation").to_df(spark)
+
+
+@query("SELECT * FROM (VALUES (1, 'Alf', 50), (2, 'Bert', 20), (3, 'Bert''s twin', 20), (4, 'Carl', 33)) s(c0, c1, c2)")
+def scan_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return InMemoryScan(STUDENTS, "c0 int, c1 string, c2 int").to_df(spark)
+
+
+@query("SELECT n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS value FROM nation")
+def print_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printed(scan(sf_dir, "nation").to_df(spark))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def record_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scan(sf_dir, "nation").to_df(spark)
+    return decoded(encoded(df), df.schema)
+
+
+@query("SELECT c_mktsegment FROM customer")
+def project_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = scan(sf_dir, "customer")
+    return Projection(node, _place(node, spark, "c_mktsegment")).to_df(spark)
+
+
+@query("SELECT n_name, n_nationkey FROM nation")
+def project_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Projection(scan(sf_dir, "nation"), [1, 0]).to_df(spark)
+
+
+@query("SELECT n_regionkey AS c0, n_regionkey AS c1 FROM nation")
+def project_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Projection(scan(sf_dir, "nation"), [2, 2]).to_df(spark)
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str, column: str, value: object) -> DataFrame:
+    node = scan(sf_dir, name)
+    return Selection(node, _place(node, spark, column)[0], value).to_df(spark)
+
+
+@query("SELECT * FROM lineitem WHERE l_linenumber = 3")
+def select_eq_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, "lineitem", "l_linenumber", 3)
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
+def select_eq_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, "customer", "c_mktsegment", "BUILDING")
+
+
+@query("SELECT * FROM nation WHERE n_nationkey = 999")
+def select_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, "nation", "n_nationkey", 999)
+
+
+@query("SELECT * FROM nation WHERE false")
+def select_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, "nation", "n_nationkey", "1")
+
+
+@query("SELECT * FROM customer JOIN orders ON c_custkey = o_custkey")
+def hash_join_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HashJoin(scan(sf_dir, "customer"), scan(sf_dir, "orders"), 0, 1).to_df(spark)
+
+
+@query("SELECT a.c_custkey AS c0, a.c_name AS c1, b.c_custkey AS c2 FROM customer a JOIN customer b ON a.c_name = b.c_name")
+def hash_join_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = [Projection(scan(sf_dir, "customer"), [0, 1]) for _ in range(2)]
+    return Projection(HashJoin(*two, 1, 1), [0, 1, 2], ["c0", "c1", "c2"]).to_df(spark)
+
+
+@query("SELECT a.n_nationkey l0, a.n_name l1, a.n_regionkey l2, b.n_nationkey r0, b.n_name r1, b.n_regionkey r2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def hash_join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HashJoin(scan(sf_dir, "nation"), scan(sf_dir, "nation"), 2, 2).to_df(spark)
+
+
+@query("SELECT n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey WHERE r_regionkey = 999")
+def hash_join_empty_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = HashJoin(Selection(scan(sf_dir, "region"), 0, 999), scan(sf_dir, "nation"), 0, 2)
+    return Projection(join, _place(join, spark, "n_name", "r_name")).to_df(spark)
+
+
+@query("SELECT n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def hash_join_build_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = HashJoin(scan(sf_dir, "region"), scan(sf_dir, "nation"), 0, 2, build="shuffle_hash")
+    return Projection(join, _place(join, spark, "n_name", "r_name")).to_df(spark)
+
+
+@query("SELECT n_name, r_name FROM region JOIN nation ON false")
+def hash_join_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = HashJoin(scan(sf_dir, "region"), scan(sf_dir, "nation"), 1, 2)
+    return Projection(join, _place(join, spark, "n_name", "r_name")).to_df(spark)
+
+
+@query("SELECT o_orderkey, o_totalprice, c_name, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F'")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = scan(sf_dir, "orders")
+    join = HashJoin(scan(sf_dir, "customer"), Selection(orders, _place(orders, spark, "o_orderstatus")[0], "F"), 0, 1)
+    return Projection(join, _place(join, spark, "o_orderkey", "o_totalprice", "c_name", "c_mktsegment")).to_df(spark)
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey WHERE r_name = 'ASIA'")
+def left_deep_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = HashJoin(Selection(scan(sf_dir, "region"), 1, "ASIA"), scan(sf_dir, "nation"), 0, 2)
+    join = HashJoin(first, scan(sf_dir, "customer"), _place(first, spark, "n_nationkey")[0], 2)
+    return Projection(join, _place(join, spark, "c_custkey", "c_name", "n_name", "r_name")).to_df(spark)
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    one = scan(sf_dir, "orders").to_df(spark).select(F.col("o_orderkey").alias("k"))
+    return one, scan(sf_dir, "lineitem").to_df(spark).select(F.col("l_orderkey").alias("k"))
+
+
+_MATCHES = "SELECT count(*) AS matches FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+
+
+@query(_MATCHES)
+def match_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_count(*_keys(spark, sf_dir), "k", "join")
+
+
+@query(_MATCHES)
+def match_count_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_count(*_keys(spark, sf_dir), "k", "counted_both")
+
+
+@query("SELECT l_orderkey AS k, count(*) AS multiplicity FROM lineitem GROUP BY l_orderkey")
+def key_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiplicity(_keys(spark, sf_dir)[1], "k")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> UniqueIndex:
+    df = scan(sf_dir, "orders").to_df(spark)
+    return UniqueIndex(df.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("tid")))
+
+
+_INDEX = "FROM (SELECT o_orderkey AS key, o_custkey AS tid FROM orders)"
+
+
+@query(f"SELECT key, tid {_INDEX} WHERE key = 10")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).lookup(10)
+
+
+@query("SELECT k.key, i.tid FROM (SELECT DISTINCT l_orderkey * 2 AS key FROM lineitem) k LEFT JOIN (SELECT o_orderkey AS key, o_custkey AS tid FROM orders) i ON k.key = i.key")
+def index_batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = scan(sf_dir, "lineitem").to_df(spark).select((F.col("l_orderkey") * 2).alias("key")).distinct()
+    return _index(spark, sf_dir).lookup(keys)
+
+
+@query(f"SELECT key, tid {_INDEX} WHERE key BETWEEN 100 AND 500 ORDER BY key")
+def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).lookup_range(500, 100)
+
+
+@query("SELECT c_name AS key, c_custkey AS tid FROM customer WHERE c_name BETWEEN 'Customer#000000010' AND 'Customer#000000020'")
+def index_range_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scan(sf_dir, "customer").to_df(spark).select(F.col("c_name").alias("key"), F.col("c_custkey").alias("tid"))
+    return UniqueIndex(df).lookup_range("Customer#000000010", "Customer#000000020")
+
+
+@query("SELECT l_orderkey AS a, l_linenumber AS b, min(l_partkey) AS tid FROM lineitem WHERE (l_orderkey = 3 AND l_linenumber >= 2) OR (l_orderkey > 3 AND l_orderkey < 9) OR (l_orderkey = 9 AND l_linenumber <= 4) GROUP BY 1, 2")
+def index_range_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scan(sf_dir, "lineitem").to_df(spark).groupBy(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).agg(F.min("l_partkey").alias("tid"))
+    return UniqueIndex(df, ("a", "b")).lookup_range((9, 4), (3, 2))
+
+
+@query(f"SELECT key, tid {_INDEX} WHERE key % 7 <> 0")
+def index_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return index.erase(index.df.where("key % 7 = 0"))[0].df
+
+
+@query("SELECT count(*) AS size FROM (SELECT DISTINCT o_orderkey FROM orders)")
+def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).df.agg(F.count("*").alias("size"))
+
+
+_ROW = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey AS tid FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ROW}) rn FROM lineitem) WHERE rn = 1")
+def index_insert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(sf_dir, "lineitem").to_df(spark).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("tid"))
+    return UniqueIndex.empty(spark, "l_orderkey bigint, l_linenumber int").insert(rows)[0].df
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS tid, count(*) - 1 AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def index_insert_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(sf_dir, "lineitem").to_df(spark).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("tid"))
+    return UniqueIndex.empty(spark, "l_orderkey bigint, l_linenumber int").insert(rows)[1]
+
+
+@query("SELECT l_linenumber, 1 + x * (4 + x * (3 + x * (0 + x * (1 + x * 0)))) AS p FROM (SELECT l_linenumber, CAST(l_linenumber AS BIGINT) AS x FROM lineitem)")
+def expr_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ExpressionFunction("p", horner([1, 4, 3, 0, 1], arg(0)))
+    return f.on(scan(sf_dir, "lineitem").to_df(spark).select("l_linenumber"), "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_linenumber::BIGINT - 4) // 2 AS d FROM lineitem")
+def expr_div(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ExpressionFunction("d", (arg(0) - 4) / 2)
+    return f.on(scan(sf_dir, "lineitem").to_df(spark).select("l_orderkey", "l_linenumber"), "l_linenumber")
+
+
+@query("SELECT o_orderkey, -o_custkey AS n, 5 - o_custkey AS s FROM orders")
+def expr_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scan(sf_dir, "orders").to_df(spark)
+    return df.select("o_orderkey", ExpressionFunction("n", -arg(0))(F.col("o_custkey")), ExpressionFunction("s", 5 - arg(0))(F.col("o_custkey")))
+
+
+@query("""SELECT o_orderkey, ((((x * y + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT) + 18446744073709551616::HUGEINT)
+% 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS w
+FROM (SELECT o_orderkey, o_orderkey::HUGEINT * 9007199254740993::HUGEINT AS x, 3037000507::HUGEINT AS y FROM orders)""")
+def expr_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ExpressionFunction("w", arg(0) * const(9007199254740993) * const(3037000507), wrap=True)
+    return f.on(scan(sf_dir, "orders").to_df(spark).select("o_orderkey"), "o_orderkey")
+
+
+@query("""SELECT a, b, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a AND b END x, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a OR b END y, NOT a z
+FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) l(a), (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) r(b)""")
+def logic_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = [(a, b) for a in (True, False, None) for b in (True, False, None)]
+    a, b = F.col("a"), F.col("b")
+    return InMemoryScan(cells, "a boolean, b boolean").to_df(spark).select(a, b, weak_and(a, b).alias("x"), weak_or(a, b).alias("y"), weak_not(a).alias("z"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey")
+def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(sf_dir, "orders").to_df(spark).select("o_orderkey").orderBy("o_orderkey")
+
+
+@query("SELECT NOT EXISTS (SELECT 1 FROM (SELECT o_orderkey k, lag(o_orderkey) OVER (ORDER BY o_orderkey) p FROM orders) WHERE p > k) AS s")
+def is_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(scan(sf_dir, "orders").to_df(spark).select(F.col("o_orderkey").alias("k")), "place", "k")
+    return spark.createDataFrame([(sorted_in_order(rows),)], "s boolean")
+
+
+def _tids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(scan(sf_dir, "orders").to_df(spark).select("o_orderkey"), "tid", "o_orderkey")
+
+
+_TIDS = "(SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS tid, o_orderkey FROM orders)"
+
+
+@query(f"SELECT tid, o_orderkey FROM {_TIDS}")
+def tid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tids(spark, sf_dir)
+
+
+@query(f"SELECT tid, o_orderkey FROM {_TIDS} WHERE tid = 42")
+def tid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tids(spark, sf_dir).where(F.col("tid") == 42)
+
+
+@query(f"SELECT tid, o_orderkey FROM {_TIDS} WHERE tid % 3 <> 0")
+def tid_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tids(spark, sf_dir)
+    return without(rows, rows.where("tid % 3 = 0"))
+
+
+@query(f"SELECT tid, CASE WHEN tid % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey FROM {_TIDS}")
+def tid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tids(spark, sf_dir)
+    return replaced(rows, rows.where("tid % 5 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+
+

@@ -1,0 +1,2 @@
+"""There are no streaming operators of our own. Selection, Projection and HashJoin build plain DataFrame plans, so a
+``TableScan`` of a streaming DataFrame gives a streaming plan under Structured Streaming's own rules."""
