@@ -14,8 +14,8 @@ Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-
    component are counted. Documents are verified against the region's most central one, that with the most of them.
 5. Round three, so that no link is lost: what still lies in several components of a region is compared across components,
    every pair. Regions over ``DENSE`` documents go ``DEEPER`` values deeper (adaptive depth; pairs at 0.85 still share one
-   of 20 regions of five values but for 8e-6). Pairs are left out only where the sizes or the counts of round two rule a
-   link out, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
+   of 20 regions of five values but for 8e-6). Pairs are left out only where a link is ruled out by the sizes, by the
+   counts of round two, or by how many shingles a document shares with its main component as a whole, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
 6. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
 
 Sets are recomputed from texts, which are shipped compressed and only to their pairs.
@@ -173,8 +173,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
-    """rep, m: how many of a document's shingles occur in another component, for the documents of held (rep, comp)."""
+def shingles(texts: DataFrame, of: DataFrame, size: int) -> DataFrame:
+    """The rows of of (rep, comp), each with every shingle s of rep's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,29 +184,52 @@ def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays([b.column("rep").take(rows), b.column("comp").take(rows), pa.array(np.concatenate(own).view(np.int64))], ["rep", "comp", "s"])
 
-    each = texts.select("rep", "z").join(held.select("rep", "comp").distinct(), "rep").select("rep", "comp", "z").mapInArrow(run, "rep long, comp long, s long")
+    return texts.select("rep", "z").join(of.select("rep", "comp").distinct(), "rep").select("rep", "comp", "z").mapInArrow(run, "rep long, comp long, s long")
+
+
+def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """rep, m: how many of a document's shingles occur in another component, for the documents of held (rep, comp)."""
+    each = shingles(texts, held, size)
     common = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s").checkpoint()
     return each.join(common, "s").groupBy("rep").agg(F.count("*").alias("m"))
 
 
+def shared_with_main(texts: DataFrame, left: DataFrame, size: int) -> DataFrame:
+    """rep, main, mm: the largest component beside its own in most of a document's regions (tree, part, rep, comp), and how
+    many of its shingles occur there."""
+    sizes = left.groupBy("tree", "part", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("tree", "part").agg(F.max(F.struct("c", (-F.col("comp")).alias("comp"))).alias("x")).select("tree", "part", (-F.col("x.comp")).alias("main"))
+    wanted = _favourites(left.join(main, ["tree", "part"]).where("comp <> main").select(F.col("rep").alias("a"), F.col("main").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("comp")).checkpoint()
+    members = left.select("rep", "comp").distinct().join(wanted.select("comp").distinct(), "comp", "left_semi")
+    known = shingles(texts, members, size).select("comp", "s").distinct()
+    found = shingles(texts, wanted, size).join(known, ["comp", "s"]).groupBy("rep").agg(F.count("*").alias("mm"))
+    return wanted.join(found, "rep", "left").select("rep", F.col("comp").alias("main"), F.coalesce("mm", F.lit(0)).alias("mm"))
+
+
 def _cross(percent: int):
     """Within each region (rows arrive sorted by it), the pairs of different components that may be linked."""
     least = int(TREES * DEPTH * percent / 100 - 5 * np.sqrt(TREES * DEPTH * percent / 100 * (1 - percent / 100)))
 
-    def pairs(rep, comp, n, m, sig) -> Iterator[pa.RecordBatch]:
+    before = [(np.arange(t)[:, None] * DEPTH + np.arange(DEPTH + DEEPER)) % (TREES * DEPTH) for t in range(TREES)]
+
+    def pairs(tree, rep, comp, n, m, main, mm, sig) -> Iterator[pa.RecordBatch]:
         for i in range(len(rep)):
-            # J >= p/100 needs (100 + p) * intersection >= p * (sum of sizes), and an intersection of at most m
-            need = percent * (n[:i] + n[i])
-            j = np.flatnonzero((comp[:i] != comp[i]) & ((100 + percent) * np.minimum(np.minimum(m[:i], m[i]), np.minimum(n[:i], n[i])) >= need))
+            # J >= p/100 needs (100 + p) * intersection >= p * (sum of sizes); an intersection has at most m shingles of
+            # either document, and mm of one with a member of its main component
+            most = np.minimum(np.where(comp[:i] == main[i], mm[i], m[i]), np.where(main[:i] == comp[i], mm[:i], m[:i]))
+            j = np.flatnonzero((comp[:i] != comp[i]) & ((100 + percent) * np.minimum(most, np.minimum(n[:i], n[i])) >= percent * (n[:i] + n[i])))
             if len(j):
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+                same = sig[j] == sig[i]
+                # a pair that shares a tree's longer prefix has met in that tree, whatever its region's depth
+                j = j[(same.sum(axis=1) >= least) & ~same[:, before[tree]].all(axis=2).any(axis=1)]
             if len(j):
                 a, b = np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def columns(rows):
-        rep, comp, n, m, sig = zip(*rows, strict=True)
-        return np.array(rep), np.array(comp), np.array(n), np.array(m), np.frombuffer(b"".join(sig), np.uint32).reshape(len(rep), -1)
+        *plain, sig = zip(*rows, strict=True)
+        rep = plain[0]
+        return *map(np.array, plain), np.frombuffer(b"".join(sig), np.uint32).reshape(len(rep), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -214,11 +237,11 @@ def _cross(percent: int):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != now:
                     if len(held) > 1:
-                        yield from pairs(*columns(held))
+                        yield from pairs(now[0], *columns(held))
                     now, held = row[:2], []
                 held.append(row[2:])
         if len(held) > 1:
-            yield from pairs(*columns(held))
+            yield from pairs(now[0], *columns(held))
 
     return run
 
@@ -263,7 +286,10 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
         found = components(links)
         # round three: all pairs of different components that may be linked
         left = _spread(rows.select("tree", "part", "rep"), found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
-        left = left.where(100 * F.col("m") >= percent * F.col("n")).select("tree", "part", "rep", "comp", "n", "m", "sig")
+        left = left.where(100 * F.col("m") >= percent * F.col("n")).checkpoint()
+        left = left.join(shared_with_main(texts, left, size), "rep", "left")
+        none = F.lit(-1).cast("long")
+        left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig")
         more = left.repartition("tree", "part").sortWithinPartitions("tree", "part").mapInArrow(_cross(percent), "a long, b long").distinct().checkpoint()
         if more.limit(1).count():
             links = links.union(verified(more, texts, size, percent)).checkpoint()
