@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, squeezed, table, unsqueezed, utf8
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
-DEEPER, DENSE = 2, 2048
+DEEPER, DENSE, PAIR_BLOCK = 2, 2048, 2048
 _ROW_BITS = 13
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BYTE_BASE))
 
@@ -158,21 +158,38 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def settled(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """df written to the shared folder and read in partitions of about so many rows, for small tables that are used again."""
+    out = df.checkpoint()
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """v, comp: the smallest vertex that links lead to, for each vertex of links (a, b); links is read several times."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("comp")).checkpoint()
+    """v, comp: the smallest vertex that links lead to, for each vertex of links (a, b); links is read twice."""
+    edges = settled(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    parts = edges.rdd.getNumPartitions()
+    labels = edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("comp")).coalesce(parts).checkpoint()
     while True:
-        near = edges.join(labels.select(F.col("v").alias("u"), "comp"), "u").groupBy("v").agg(F.min("comp").alias("m"))
-        step = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        near = edges.join(labels.select(F.col("v").alias("u"), "comp"), "u").coalesce(parts).groupBy("v").agg(F.min("comp").alias("m"))
+        step = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")).coalesce(parts)
         up = labels.select(F.col("v").alias("comp"), F.col("comp").alias("top"))
-        new = step.join(up, "comp", "left").select("v", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")).checkpoint()
+        new = step.join(up, "comp", "left").select("v", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")).coalesce(parts).checkpoint()
         changed = new.where("old <> comp").limit(1).count()
         labels = new.select("v", "comp")
         if not changed:
             return labels
 
 
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components found, joined by more links."""
+    for end in ("a", "b"):
+        links = links.join(found.select(F.col("v").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    over = components(links.where("a <> b").checkpoint()).select("v", F.col("comp").alias("to"))
+    old = found.join(over.withColumnRenamed("v", "comp"), "comp", "left").select("v", F.coalesce("to", "comp").alias("comp"))
+    new = over.join(found.select("v"), "v", "left_anti").select("v", F.col("to").alias("comp"))
+    return settled(old.union(new))
+
+
 def shingles(texts: DataFrame, of: DataFrame, size: int) -> DataFrame:
     """The rows of of (rep, comp), each with every shingle s of rep's text."""
 
@@ -190,7 +207,7 @@ def shingles(texts: DataFrame, of: DataFrame, size: int) -> DataFrame:
 def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
     """rep, m: how many of a document's shingles occur in another component, for the documents of held (rep, comp)."""
     each = shingles(texts, held, size)
-    common = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s").checkpoint()
+    common = settled(each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s"), 1_000_000)
     return each.join(common, "s").groupBy("rep").agg(F.count("*").alias("m"))
 
 
@@ -199,25 +216,37 @@ def shared_with_main(texts: DataFrame, left: DataFrame, size: int) -> DataFrame:
     many of its shingles occur there."""
     sizes = left.groupBy("tree", "part", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("tree", "part").agg(F.max(F.struct("c", (-F.col("comp")).alias("comp"))).alias("x")).select("tree", "part", (-F.col("x.comp")).alias("main"))
-    wanted = _favourites(left.join(main, ["tree", "part"]).where("comp <> main").select(F.col("rep").alias("a"), F.col("main").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("comp")).checkpoint()
+    wanted = settled(_favourites(left.join(main, ["tree", "part"]).where("comp <> main").select(F.col("rep").alias("a"), F.col("main").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("comp")))
     members = left.select("rep", "comp").distinct().join(wanted.select("comp").distinct(), "comp", "left_semi")
     known = shingles(texts, members, size).select("comp", "s").distinct()
     found = shingles(texts, wanted, size).join(known, ["comp", "s"]).groupBy("rep").agg(F.count("*").alias("mm"))
     return wanted.join(found, "rep", "left").select("rep", F.col("comp").alias("main"), F.coalesce("mm", F.lit(0)).alias("mm"))
 
 
+def _in_blocks(left: DataFrame) -> DataFrame:
+    """Rows of a region in blocks of about ``PAIR_BLOCK``; a row goes to each pair of blocks that has its own, so that a
+    task holds two blocks. Sorted by tree, part and pair."""
+    many = settled(left.groupBy("tree", "part").agg(F.count("*").alias("many")).where(F.col("many") > PAIR_BLOCK))
+    left = left.join(many, ["tree", "part"], "left")
+    last = F.coalesce(F.floor(F.col("many") / PAIR_BLOCK), F.lit(0)).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), last + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    left = left.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("many", "other")
+    key = ["tree", "part", "lo", "hi"]
+    return left.select(*key, "block", "rep", "comp", "n", "m", "main", "mm", "sig").repartition(*key).sortWithinPartitions(*key)
+
+
 def _cross(percent: int):
     """Within each region (rows arrive sorted by it), the pairs of different components that may be linked."""
     least = int(TREES * DEPTH * percent / 100 - 5 * np.sqrt(TREES * DEPTH * percent / 100 * (1 - percent / 100)))
 
     before = [(np.arange(t)[:, None] * DEPTH + np.arange(DEPTH + DEEPER)) % (TREES * DEPTH) for t in range(TREES)]
 
-    def pairs(tree, rep, comp, n, m, main, mm, sig) -> Iterator[pa.RecordBatch]:
+    def pairs(tree, alone, block, rep, comp, n, m, main, mm, sig) -> Iterator[pa.RecordBatch]:
         for i in range(len(rep)):
             # J >= p/100 needs (100 + p) * intersection >= p * (sum of sizes); an intersection has at most m shingles of
             # either document, and mm of one with a member of its main component
             most = np.minimum(np.where(comp[:i] == main[i], mm[i], m[i]), np.where(main[:i] == comp[i], mm[:i], m[:i]))
-            j = np.flatnonzero((comp[:i] != comp[i]) & ((100 + percent) * np.minimum(most, np.minimum(n[:i], n[i])) >= percent * (n[:i] + n[i])))
+            j = np.flatnonzero((comp[:i] != comp[i]) & (alone | (block[:i] != block[i])) & ((100 + percent) * np.minimum(most, np.minimum(n[:i], n[i])) >= percent * (n[:i] + n[i])))
             if len(j):
                 same = sig[j] == sig[i]
                 # a pair that shares a tree's longer prefix has met in that tree, whatever its region's depth
@@ -228,20 +257,19 @@ def _cross(percent: int):
 
     def columns(rows):
         *plain, sig = zip(*rows, strict=True)
-        rep = plain[0]
-        return *map(np.array, plain), np.frombuffer(b"".join(sig), np.uint32).reshape(len(rep), -1)
+        return *map(np.array, plain), np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != now:
+                if row[:4] != now:
                     if len(held) > 1:
-                        yield from pairs(now[0], *columns(held))
-                    now, held = row[:2], []
-                held.append(row[2:])
+                        yield from pairs(now[0], now[2] == now[3], *columns(held))
+                    now, held = row[:4], []
+                held.append(row[4:])
         if len(held) > 1:
-            yield from pairs(now[0], *columns(held))
+            yield from pairs(now[0], now[2] == now[3], *columns(held))
 
     return run
 
@@ -249,8 +277,10 @@ def _cross(percent: int):
 def _spread(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The rows, with their component, of regions that hold several."""
     held = rows.join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = held.groupBy("tree", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "part")
-    return held.join(several, ["tree", "part"])
+    held = settled(held, 1_000_000)
+    # written first, so that the join's sides are plain shuffles, of which Spark splits the large partitions
+    several = settled(held.groupBy("tree", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "part"))
+    return settled(held.join(several, ["tree", "part"]), 1_000_000)
 
 
 def _favourites(star: DataFrame) -> DataFrame:
@@ -266,34 +296,34 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
     reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.first("sig").alias("sig"))
     reps = reps.groupBy(F.col("x.doc_id").alias("rep")).agg(F.min(F.struct("f1", "f2", "n", "x.t", "sig")).alias("s")).select("rep", "s.*").checkpoint()
     rows = forest(reps)
-    heads = rows.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1")
-    rows = rows.join(heads, ["tree", "key"]).withColumn("part", F.when(F.col("many") > DENSE, F.col("deep")).otherwise(F.col("key"))).checkpoint()
-    texts = _squeeze(docs).join(rows.select("rep").distinct().join(reps.select("rep", "t"), "rep"), ["rep", "t"], "left_semi").select("rep", "z").checkpoint()
+    heads = settled(rows.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1"))
+    rows = settled(rows.join(heads, ["tree", "key"]).withColumn("part", F.when(F.col("many") > DENSE, F.col("deep")).otherwise(F.col("key"))), 1_000_000)
+    regions = rows.select("tree", "part", "rep")
+    used = settled(rows.select("rep").distinct().join(reps.select("rep", "t"), "rep"))
+    texts = settled(_squeeze(docs).join(used, ["rep", "t"], "left_semi").select("rep", "z"), 20_000)
     # round one: the region's first document, and the neighbour in the sorted order
     near = rows.withColumn("left", F.lag("rep").over(Window.partitionBy("tree", "part").orderBy("rest", "rep")))
     star = near.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     star = star.union(near.where("left is not null").select(F.greatest("rep", "left"), F.least("rep", "left")))
-    links = verified(_favourites(star), texts, size, percent).checkpoint()
-    found = components(links)
+    found = components(settled(verified(settled(_favourites(star)), texts, size, percent)))
     # round two: the most central document of regions that hold several components
-    held = _spread(rows.select("tree", "part", "rep"), found).checkpoint()
+    held = _spread(regions, found)
     if held.limit(1).count():
-        shared = shared_shingles(texts, held, size).checkpoint()
+        shared = settled(shared_shingles(texts, held, size))
         held = held.join(shared, "rep").join(reps.select("rep", "n"), "rep")
-        centre = held.groupBy("tree", "part").agg(F.max(F.struct((F.col("m") - F.col("n")).alias("own"), "m", "rep", "comp")).alias("c"))
+        centre = settled(held.groupBy("tree", "part").agg(F.max(F.struct((F.col("m") - F.col("n")).alias("own"), "m", "rep", "comp")).alias("c")))
         star = held.join(centre, ["tree", "part"]).where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
-        links = links.union(verified(_favourites(star), texts, size, percent)).checkpoint()
-        found = components(links)
+        found = extended(found, settled(verified(settled(_favourites(star)), texts, size, percent)))
         # round three: all pairs of different components that may be linked
-        left = _spread(rows.select("tree", "part", "rep"), found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
-        left = left.where(100 * F.col("m") >= percent * F.col("n")).checkpoint()
+        left = _spread(regions, found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
+        left = settled(left.where(100 * F.col("m") >= percent * F.col("n")), 250_000)
         left = left.join(shared_with_main(texts, left, size), "rep", "left")
         none = F.lit(-1).cast("long")
         left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig")
-        more = left.repartition("tree", "part").sortWithinPartitions("tree", "part").mapInArrow(_cross(percent), "a long, b long").distinct().checkpoint()
+        more = _in_blocks(left).mapInArrow(_cross(percent), "a long, b long").distinct()
+        more = settled(more)
         if more.limit(1).count():
-            links = links.union(verified(more, texts, size, percent)).checkpoint()
-            found = components(links)
+            found = extended(found, settled(verified(more, texts, size, percent)))
     of = reps.select("f1", "f2", "n", "rep").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = prints.join(of, ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
