@@ -54,6 +54,7 @@ class Queries:
     """A block of queries over the block's sorted terms; the terms of query i are at first[i] to first[i + 1]."""
 
     ids: np.ndarray
+    unnamed: np.ndarray
     numbers: np.ndarray
     terms: np.ndarray
     first: np.ndarray
@@ -89,7 +90,7 @@ def _block(held: list[tuple], number: int) -> Queries:
     every = np.concatenate([h for _, h, _ in held])
     terms, term = np.unique(every, return_inverse=True)
     first = np.r_[0, np.cumsum([len(h) for _, h, _ in held])]
-    return Queries(np.array([-1 if i is None else i for i, _, _ in held]), np.arange(number, number + len(held)), terms, first, term, np.concatenate([c for _, _, c in held]))
+    return Queries(np.array([-1 if i is None else i for i, _, _ in held]), np.array([i is None for i, _, _ in held]), np.arange(number, number + len(held)), terms, first, term, np.concatenate([c for _, _, c in held]))
 
 
 def frequencies(docs: DataFrame, q: Queries) -> None:
@@ -222,7 +223,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, block_terms: int = B
                     rows += [(i, d, s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
                 if rows:
                     i = np.array([r[0] for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i]), pa.array([ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["number", "query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array([ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["number", "query_id", "doc_id", "score"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.union(found)

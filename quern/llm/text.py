@@ -160,6 +160,7 @@ def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -33,6 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import checkpoints
 from .checkpoints import fresh
 from .text import table
 
@@ -144,14 +145,16 @@ def _writer(uri: str, roll_bytes: int):
 def write(pages: DataFrame, uri: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) to the folder, commits the manifest there, and returns it."""
     spark = pages.sparkSession
+    checkpoints.folder(spark)
     store, folder = fs.FileSystem.from_uri(uri)
     store.create_dir(folder)
     starts = shard_starts(pages, shard_bytes)
     shard = F.array_size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("page_id"))) if len(starts) < 64 else _searched(starts)(F.col("page_id"))
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     keyed = pages.select("page_id", digest.alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).where(F.col("size") >= min_bytes)
-    least = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    again = keyed.select("page_id", "digest").join(least.hint("merge"), "digest").where("page_id is null or page_id <> first")
+    # written first, so that both sides of the join are plain shuffles, of which Spark splits the large partitions
+    least = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first").checkpoint()
+    again = keyed.select("page_id", "digest").join(least, "digest").where("page_id is null or page_id <> first")
     number = F.coalesce(shard, F.lit(0)).cast("int").alias("shard")
     rows = again.select(number, "page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = rows.union(pages.select(number, "page_id", F.lit(1), digest, F.lit(None).cast("long"), "url", "html"))
