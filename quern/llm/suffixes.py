@@ -313,4 +313,15 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_suffix_array_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)),
+k AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+w AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p, lead(i) OVER (PARTITION BY r ORDER BY i) AS q FROM s JOIN k USING (k)),
+g AS (SELECT w.r, sum(CASE WHEN p IS NULL THEN 200 ELSE least(200, i - p) END) AS n_removed, count(*) FILTER (WHERE p IS NULL OR i - p > 200) AS n_spans,
+        substr(any_value(x), 1, 2 * min(i)) || coalesce(string_agg(substr(x, 2 * (p + 200) + 1, 2 * (i - p - 200)), '' ORDER BY i) FILTER (WHERE i - p > 200), '') || substr(any_value(x), 2 * (max(i) + 200) + 1) AS kept
+      FROM w JOIN d ON d.r = w.r GROUP BY w.r)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(g.n_removed, 0)::BIGINT AS n_removed, coalesce(g.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(g.kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN g ON g.r = d.r"""
+}
