@@ -2,10 +2,11 @@
 
 Learning (a bounded sample of labelled rows, ``max_rows``, those with the smallest hash of doc_id):
 
-1. Half of the sample gives each word, and each five-letter beginning of longer words, its log-odds between toxic and
-   other documents, with a Dirichlet prior in proportion to its count in both; only features whose z-score is at least
-   ``min_z`` are kept, at most ``max_features`` of them. A word's score is its own log-odds, else its beginning's, less
-   a drift that makes the expected score of clean text negative.
+1. Half of the sample gives each word, and each beginning of four, five or six letters, its log-odds between toxic and
+   other documents, with a Dirichlet prior in proportion to its count in both. Documents are counted, and of
+   documents whose smallest shingle hash is the same (copies, most near copies) one. Features are kept whose z-score is
+   at least ``min_z`` and whose log-odds are at least ``min_odds`` either way, at most ``max_features`` of them. A word's score is its own log-odds, else those of its longest
+   beginning that has any, less a drift that makes the expected score of clean text negative.
 2. lambda solves sum p exp(lambda s) = 1 over clean tokens; the other half of the sample gives K (from its clean
    documents' best segments) and a logistic curve from the evidence x to P(toxic).
 
@@ -24,6 +25,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,13 @@ from .text import by_slice, crc_is, table
 
 MAX_ROWS, MAX_FEATURES = 20_000, 50_000
 TOKEN = re.compile(r"[^\W_]+")
-STEM = 5
+STEMS = (6, 5, 4)
 UNIT = 1000  # scores are whole thousandths
 _CACHE = 200_000
 
 
 def features(tokens: set[str]) -> set[str]:
-    return {f"w{t}" for t in tokens} | {f"p{t[:STEM]}" for t in tokens if len(t) > STEM}
+    return {f"w{t}" for t in tokens} | {f"p{t[:k]}" for t in tokens for k in STEMS if len(t) >= k}
 
 
 @dataclass
@@ -89,7 +91,7 @@ class _Scores(dict):
         w = self.model.weights
         s = w.get("w" + word)
         if s is None:
-            s = w.get("p" + word[:STEM], self.model.default) if len(word) > STEM else self.model.default
+            s = next((w[p] for k in STEMS if len(word) >= k and (p := "p" + word[:k]) in w), self.model.default)
         if len(self) >= _CACHE:
             self.clear()
         self[word] = s
@@ -97,7 +99,13 @@ class _Scores(dict):
 
     def of(self, text: str) -> np.ndarray:
         tokens = TOKEN.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        scores = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        seen: set[str] = set()
+        for i in np.flatnonzero(scores > 0).tolist():  # a word said again is no further evidence
+            if tokens[i] in seen:
+                scores[i] = 0
+            seen.add(tokens[i])
+        return scores
 
 
 def _best(scores: np.ndarray) -> int:
@@ -130,6 +138,15 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, r - x) for a, b, x, r in stack]
 
 
+def _keyed(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Each row's smallest hash of five tokens (its own hash if it has fewer)."""
+    keys = []
+    for text in part.column("text").to_pylist():
+        tokens = TOKEN.findall((text or "").lower())
+        keys.append(min(crc32(" ".join(tokens[i : i + 5]).encode()) for i in range(max(1, len(tokens) - 4))))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()), part.column("toxic").cast(pa.int32())], ["doc_id", "key", "toxic"])
+
+
 def _count(part: pa.RecordBatch) -> pa.RecordBatch:
     counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
     for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
@@ -139,13 +156,16 @@ def _count(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[t][k] for k in keys], pa.int64()) for t in (True, False))], ["feature", "n1", "n0"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, prior: float = 0.1, min_z: float = 3.0, drift: float = 0.5, max_e: float = 0.01) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, prior: float = 0.1, min_z: float = 3.0, min_odds: float = 1.5, drift: float = 0.5, max_e: float = 0.01) -> Model:
     """Fits a model on labels (doc_id, toxic) of docs (doc_id, text)."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most max_rows ids
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    counted = sample.where(half).select("text", "toxic").mapInArrow(by_slice(_count), "feature string, n1 long, n0 long")
+    single = sample.where(half).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(by_slice(_keyed), "doc_id long, key long, toxic int")
+    single = single.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
+    # again at most max_rows ids
+    counted = docs.select("doc_id", "text").join(F.broadcast(single), "doc_id").select("text", "toxic").mapInArrow(by_slice(_count), "feature string, n1 long, n0 long")
     counted = counted.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).persist()
     try:
         n1, n0 = next(((r.n1, r.n0) for r in counted.where("feature = ''").collect()), (0, 0))
@@ -159,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
             (F.log((F.col("n1") + prior * a) / (n1 + prior * n)) - F.log((F.col("n0") + prior * a) / (n0 + prior * n))).alias("odds"),
             F.sqrt(1 / (F.col("n1") + prior * a) + 1 / (F.col("n0") + prior * a)).alias("sd"),
         )
-        w = w.where(F.abs(F.col("odds")) >= min_z * F.col("sd")).orderBy(F.desc(F.abs(F.col("odds") / F.col("sd"))), "feature").limit(max_features)
+        w = w.where((F.abs(F.col("odds")) >= min_z * F.col("sd")) & (F.abs(F.col("odds")) >= min_odds)).orderBy(F.desc(F.abs(F.col("odds") / F.col("sd"))), "feature").limit(max_features)
         rows = w.collect()
     finally:
         counted.unpersist()
@@ -213,17 +233,24 @@ def _calibrate(rest: DataFrame, model: Model) -> bool:
     clean = y == 0
     model.k = float(np.exp(np.average((model.lam * s - np.log(length))[clean], weights=n[clean]) - 0.5772))
     x = np.clip(model.lam * s - np.log(model.k * length), -40, 60)
-    # logistic curve by Newton's method with a weak ridge
-    a, b = 0.0, 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(n * (q - y)).sum(), (n * (q - y) * x).sum() + 1e-3 * b])
+    # logistic curve: Newton's method on the penalised loss, each step halved until the loss falls (labels may be separable)
+    def loss(c: np.ndarray) -> float:
+        z = c[0] + c[1] * x
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * c[1] ** 2 + 0.005 * c[0] ** 2)
+
+    c = np.zeros(2)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * x, -40, 40)))
+        g = np.array([(n * (q - y)).sum() + 0.01 * c[0], (n * (q - y) * x).sum() + c[1]])
         h = n * q * (1 - q)
-        hess = np.array([[h.sum() + 1e-6, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 1e-3]])
-        step = np.clip(np.linalg.solve(hess, g), -1, 1)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve(np.array([[h.sum() + 0.01, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 1]]), g)
+        scale = 1.0
+        while scale > 1e-6 and loss(c - scale * step) > loss(c):
+            scale /= 2
+        if scale <= 1e-6 or np.abs(scale * step).max() < 1e-8:
             break
+        c = c - scale * step
+    a, b = c
     model.curve, model.informed = (float(a), float(b)), True
     return True
 
