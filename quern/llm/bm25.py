@@ -4,10 +4,12 @@ Scores use statistics of all documents (their number, mean length, and each term
 score does not depend on its shard; each shard gives its k best for each query, and the k best of those are the answer.
 
 A shard is an inverted index of some thousands of documents, built in memory. For a query, the lists of its less frequent
-terms are added up document by document. Lists that hold over 1 / ``DENSE`` of a shard are not read: the maxima of their
-blocks (``BLOCK`` documents) bound what they can add. WAND's test, whether the bound exceeds the k-th best score so far, is
-made for all documents of a shard at once; the documents with the best bounds are scored in full first, which raises the
-threshold, then the others whose bound still reaches it. The threshold is carried on to a task's next shard.
+terms are added up document by document. Lists that hold over 1 / ``DENSE`` of a shard are kept by blocks of ``BLOCK``
+documents with each block's maximum, which bounds what they can add. WAND's test, whether the bound reaches the k-th best
+score so far, is made for all blocks: those with the best bounds are scored in full first, which raises the threshold,
+then the others whose bound still reaches it. ``CHUNK`` queries go through a block together. The threshold is carried on to
+a task's next shard. (Cursors that move from pivot to pivot, one query at a time, make the same test one document at a
+time; here it is made by arrays.)
 
 Queries are a stated set: they come to the driver in blocks of at most ``BLOCK_TERMS`` terms, each of which is broadcast to
 one scan for its terms' frequencies and one for the search. Only terms of the block are indexed.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .text import Words, by_slice, member, slices, table, utf8
 
 K, K1, B = 10, 1.2, 0.75
-BLOCK, DENSE, SHARD_BYTES, BLOCK_TERMS = 64, 16, 8 << 20, 2_000_000
+BLOCK, DENSE, CHUNK, SHARD_BYTES, BLOCK_TERMS = 64, 16, 64, 24 << 20, 2_000_000
 _ROUND = 6
 
 
@@ -123,55 +125,85 @@ def frequencies(docs: DataFrame, q: Queries) -> None:
 
 
 class Shard:
-    """An inverted index of some documents over the block's terms; impacts are what multiplies a term's weight."""
+    """An inverted index of some documents over the block's terms; impacts are what multiplies a term's weight.
+
+    Documents are ordered by their strongest frequent term, so that a block's documents are alike and its maxima tight.
+    """
 
     def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, terms: int) -> None:
-        order = np.argsort(term.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
-        self.n, self.doc, self.impact = n, doc[order], impact[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
-        size = np.diff(self.start)
+        size = np.bincount(term, minlength=terms)
         self.dense = np.flatnonzero(size * DENSE > n)
         self.number = np.full(terms, -1, np.int64)
         self.number[self.dense] = np.arange(len(self.dense))
-        wide = -(-n // BLOCK) * BLOCK
-        self.rows = np.zeros((len(self.dense), wide), np.float64)
-        for i, t in enumerate(self.dense.tolist()):
-            a, b = self.start[t], self.start[t + 1]
-            self.rows[i, self.doc[a:b]] = self.impact[a:b]
-        self.maxima = self.rows.reshape(len(self.dense), -1, BLOCK).max(axis=2)
-        self.columns = np.ascontiguousarray(self.rows.T)
-        self.size = np.where(self.number < 0, size, 0)
-
-    def best(self, term: np.ndarray, weight: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """All documents that may be among the k best and reach the threshold, with their scores."""
-        size = self.size[term]
-        some = np.flatnonzero(size)
-        n = size[some]
+        frequent = self.number[term] >= 0
+        self.n, self.wide = n, -(-n // BLOCK) * BLOCK
+        rows = np.zeros((len(self.dense), self.wide))
+        rows[self.number[term[frequent]], doc[frequent]] = impact[frequent]
+        strongest = (rows[:, :n] * np.log(1 + n / size[self.dense])[:, None]).argmax(axis=0) if len(self.dense) else np.zeros(n, np.int64)
+        self.order = np.argsort(strongest, kind="stable")  # place to document
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.rows = np.zeros_like(rows)
+        self.rows[:, :n] = rows[:, self.order]
+        self.blocks = self.wide // BLOCK
+        self.maxima = self.rows.reshape(len(self.dense), self.blocks, BLOCK).max(axis=2)
+        doc, term, impact = place[doc[~frequent]], term[~frequent], impact[~frequent]
+        order = np.argsort(term, kind="stable")
+        self.doc, self.impact = doc[order], impact[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.size = np.diff(self.start)
+
+    def best(self, q: Queries, lo: int, hi: int, k: int, threshold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query from lo to hi: its number, and all documents that may be among its k best and reach its
+        threshold, with their scores. Raises the thresholds."""
+        a, b, many = q.first[lo], q.first[hi], hi - lo
+        term, weight = q.term[a:b], q.weight[a:b]
+        query = np.repeat(np.arange(many), np.diff(q.first[lo : hi + 1]))
+        # the lists of the less frequent terms, document by document
+        some = np.flatnonzero(self.size[term])
+        n = self.size[term[some]]
         total = int(n.sum())
         at = np.repeat(self.start[term[some]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-        exact = np.bincount(self.doc[at], self.impact[at] * np.repeat(weight[some], n), self.n) if total else np.zeros(self.n)
+        part = np.bincount(np.repeat(query[some] * self.wide, n) + self.doc[at], self.impact[at] * np.repeat(weight[some], n), many * self.wide).reshape(many, self.wide)
+        # what the frequent terms can add, block by block
         number = self.number[term]
-        frequent = number >= 0
-        number, w = number[frequent], weight[frequent]
-        bound = exact + np.repeat(w @ self.maxima[number], BLOCK)[: self.n] if len(number) else exact
-        slack = 10.0 ** -_ROUND
-        left = np.flatnonzero((bound >= threshold - slack) & (bound > 0))
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        take = 4 * k
-        while len(left):
-            if len(left) > take:
-                top = np.argpartition(-bound[left], take)
-                now, left = left[top[:take]], left[top[take:]]
-            else:
-                now, left = left, left[:0]
-            s = exact[now] + self.columns[now][:, number] @ w if len(number) else exact[now]
-            docs, scores = np.r_[docs, now], np.r_[scores, s]
-            if len(scores) >= k:
-                threshold = max(threshold, float(np.partition(scores, -k)[-k]))
-                left = left[bound[left] >= threshold - slack]
-            take *= 2
-        ok = scores > 0
-        return docs[ok], np.round(scores[ok], _ROUND)
+        frequent = np.flatnonzero(number >= 0)
+        w = np.zeros((many, len(self.dense)))
+        w[query[frequent], number[frequent]] = weight[frequent]
+        bound = part.reshape(many, self.blocks, BLOCK).max(axis=2) + w @ self.maxima
+        left = bound > 0
+        found: list[list[np.ndarray]] = [[] for _ in range(many)]
+        docs: list[list[np.ndarray]] = [[] for _ in range(many)]
+        slack, rank, done = 10.0**-_ROUND, np.argsort(-bound, axis=1), 0
+        step = 2
+        while done < self.blocks:
+            # each query's next blocks by bound; thresholds rise between the rounds
+            now = np.zeros_like(left)
+            np.put_along_axis(now, rank[:, done : done + step], True, axis=1)
+            now &= left & (bound >= threshold[lo:hi, None] - slack)
+            done, step = done + step, step * 4
+            for j in np.flatnonzero(now.any(axis=0)).tolist():
+                rows = np.flatnonzero(now[:, j])
+                cut = slice(j * BLOCK, (j + 1) * BLOCK)
+                scores = part[rows, cut] + w[rows] @ self.rows[:, cut]
+                r, x = np.nonzero(scores >= np.maximum(threshold[lo + rows, None] - slack, slack))
+                for i in np.flatnonzero(np.bincount(r, minlength=len(rows))).tolist():
+                    c0, c1 = np.searchsorted(r, (i, i + 1))
+                    found[rows[i]].append(scores[i, x[c0:c1]])
+                    docs[rows[i]].append(x[c0:c1] + j * BLOCK)
+            for i in np.flatnonzero(now.any(axis=1)).tolist():
+                if found[i]:
+                    s, d = np.concatenate(found[i]), np.concatenate(docs[i])
+                    if len(s) >= k:
+                        threshold[lo + i] = max(threshold[lo + i], float(np.partition(s, -k)[-k]))
+                        ok = s >= threshold[lo + i] - slack
+                        s, d = s[ok], d[ok]
+                    found[i], docs[i] = [s], [d]
+        for i in range(many):
+            if found[i]:
+                s, d = np.concatenate(found[i]), np.concatenate(docs[i])
+                ok = (d < self.n) & (s >= threshold[lo + i] - slack)
+                yield lo + i, self.order[d[ok]], np.round(s[ok], _ROUND)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -212,15 +244,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, block_terms: int = B
                 shard = Shard(n, np.concatenate(docs_), np.concatenate(terms_), np.concatenate(impacts), len(q.terms))
                 order_id = np.array([float("inf") if i is None else i for i in ids]) if None in ids else np.array(ids)
                 rows: list[tuple] = []
-                for i in range(len(q.ids)):
-                    a, b = q.first[i], q.first[i + 1]
-                    found, scores = shard.best(q.term[a:b], q.weight[a:b], k, threshold[i])
-                    if len(found) > k:
-                        best = np.lexsort((order_id[found], -scores))[:k]
-                        found, scores = found[best], scores[best]
-                    if len(found) == k:
-                        threshold[i] = max(threshold[i], float(scores.min()))
-                    rows += [(i, d, s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
+                for lo in range(0, len(q.ids), CHUNK):
+                    for i, found, scores in shard.best(q, lo, min(lo + CHUNK, len(q.ids)), k, threshold):
+                        if len(found) > k:
+                            best = np.lexsort((order_id[found], -scores))[:k]
+                            found, scores = found[best], scores[best]
+                        rows += [(i, d, s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
                 if rows:
                     i = np.array([r[0] for r in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array([ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["number", "query_id", "doc_id", "score"])
