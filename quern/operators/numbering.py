@@ -13,12 +13,11 @@ def numbered(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame
     The rows are sorted by range and kept; one count a partition comes to the driver and gives each its first number.
     """
     rows = (df.orderBy(*order) if order else df).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    first, at = {}, start
-    for r in sorted(rows.groupBy("_part").count().collect()):
-        first[r[0]] = at
-        at += r[1]
-    if not first:
-        return rows.select(F.lit(0).cast("bigint").alias(name), *df.columns)
-    starts = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
-    number = (F.col("_place") - F.shiftleft(F.col("_part").cast("bigint"), 33) + starts[F.col("_part")]).cast("bigint")
+    first, at = [], start
+    for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
+        first.append((part, at))
+        at += n
+    starts = df.sparkSession.createDataFrame(first, "_part int, _start bigint")  # a row a partition
+    rows = rows.join(F.broadcast(starts), "_part")
+    number = (F.col("_place") - F.shiftleft(F.col("_part").cast("bigint"), 33) + F.col("_start")).cast("bigint")
     return rows.select(number.alias(name), *df.columns)
