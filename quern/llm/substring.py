@@ -6,8 +6,8 @@ smaller id.
    count-min sketch (``sketch.py``) counts the representatives of all documents, one for each stretch of windows that
    share it; only windows estimated at two or more go on, so none that repeats is lost.
 2. The exact pass groups those windows by 96 bits of hash. Keys estimated below HOT have groups of fewer than HOT
-   documents: one shuffle and a window function find the smallest id. The others are pre-aggregated to their smallest id
-   and joined back, where Spark can split a skewed key.
+   documents: one shuffle and a window function find the smallest id. The others are pre-aggregated to their smallest id,
+   which then goes to each of ``SALTS`` parts of the key's rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; what is kept is joined by one blank.
 
@@ -30,7 +30,7 @@ from . import sketch
 from .checkpoints import folder
 from .text import SLICE_BYTES, WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, squeezed, table, unsqueezed, utf8
 
-SIZE = 13
+SIZE, SALTS = 13, 8
 _AT = 40  # bits of a word's number beside 24 bits of the text's fingerprint
 
 
@@ -114,9 +114,13 @@ def removals(docs: DataFrame, size: int = SIZE) -> DataFrame:
     key = ["h", "g"]
     cold = found.where(~F.col("hot")).withColumn("least", F.min("doc_id").over(Window.partitionBy(*key)))
     hot = found.where("hot")
-    # written first, so that both sides of the join are plain shuffles, of which Spark splits the large partitions
+    # pre-aggregated; then each key's smallest id goes to each of SALTS parts of its rows
     least = hot.groupBy(*key).agg(F.min("doc_id").alias("least")).checkpoint()
-    hot = hot.join(least, key)
+    hot = hot.select(*key, F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "at", F.lit(None).cast("long").alias("least"))
+    none = F.lit(None).cast("long")
+    for salt in range(SALTS):
+        hot = hot.union(least.select(*key, F.lit(salt), none, none, "least"))
+    hot = hot.withColumn("least", F.min("least").over(Window.partitionBy(*key, "salt"))).where("at is not null")
     later = "least is not null and (doc_id is null or doc_id > least)"
     gone = cold.where(later).select("doc_id", "at").union(hot.where(later).select("doc_id", "at"))
     return gone.groupBy("doc_id", F.shiftrightunsigned("at", _AT).alias("fp")).agg(F.collect_list(F.col("at").bitwiseAND((1 << _AT) - 1).cast("int")).alias("starts"))
