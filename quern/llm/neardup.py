@@ -13,17 +13,18 @@ Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-
 4. Round two: in regions whose documents lie in several components, each document's shingles that occur in another
    component are counted. Documents are verified against the region's most central one, that with the most of them.
 5. Round three, so that no link is lost: what still lies in several components of a region is compared across components,
-   every pair. Regions over ``DENSE`` documents go ``DEEPER`` values deeper (adaptive depth; pairs at 0.85 still share one
-   of 20 regions of five values but for 8e-6). Pairs are left out only where a link is ruled out by the sizes, by the
-   counts of round two, or by how many shingles a document shares with its main component as a whole, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
+   every pair, in blocks. Regions over ``DENSE`` documents go ``DEEPER`` values deeper (adaptive depth; of pairs at 0.85 all
+   but 4e-7 still share one of 20 regions of four values, at 0.8 all but 3e-5). Pairs are left out only where a link is
+   ruled out by the sizes, by the counts of round two, or by how many shingles a document shares with its main component
+   as a whole, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
 6. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
 
 Sets are recomputed from texts, which are shipped compressed and only to their pairs.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five words
-have one shingle, the whole sequence. Of rows that share an id but not the
-set, the set with the smallest fingerprint can be linked, the others keep their id as component. Rows with a null id get
-a null component and are kept. Each row reports its own n_shingles.
+have one shingle, the whole sequence. Of rows that share an id but not the set, the set with the smallest fingerprint can
+be linked, the others keep their id as component. Rows with a null id get a null component and are kept. Each row
+reports its own n_shingles.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, squeezed, table, unsqueezed, utf8
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
-DEEPER, DENSE, PAIR_BLOCK = 2, 2048, 2048
+DEEPER, DENSE, PAIR_BLOCK = 1, 2048, 1024
 _ROW_BITS = 13
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BYTE_BASE))
 
