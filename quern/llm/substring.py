@@ -30,7 +30,7 @@ from . import sketch
 from .checkpoints import folder
 from .text import SLICE_BYTES, WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, squeezed, table, unsqueezed, utf8
 
-SIZE, SALTS = 13, 8
+SIZE, SALTS = 13, 4
 _AT = 40  # bits of a word's number beside 24 bits of the text's fingerprint
 
 
