@@ -10,7 +10,7 @@ Learning (a bounded sample of labelled rows, ``max_rows``, those with the smalle
 2. lambda solves sum p exp(lambda s) = 1 over clean tokens; the other half of the sample gives K (from its clean
    documents' best segments) and a logistic curve from the evidence x to P(toxic).
 
-Scoring: a linear scan finds each document's maximal segments; E = K n exp(-lambda S) is the number of segments as good
+Scoring: a linear scan over every occurrence of every word finds each document's maximal segments; E = K n exp(-lambda S) is the number of segments as good
 that n clean tokens would have. All segments with E <= ``max_e`` are reported as passages and summed by the sum
 statistic for several segments, x = max over r of lambda (S1 + .. + Sr) - r ln(K n) + ln r!.
 
@@ -99,13 +99,7 @@ class _Scores(dict):
 
     def of(self, text: str) -> np.ndarray:
         tokens = TOKEN.findall(text.lower())
-        scores = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        seen: set[str] = set()
-        for i in np.flatnonzero(scores > 0).tolist():  # a word said again is no further evidence
-            if tokens[i] in seen:
-                scores[i] = 0
-            seen.add(tokens[i])
-        return scores
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 def _best(scores: np.ndarray) -> int:

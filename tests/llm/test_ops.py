@@ -307,6 +307,14 @@ def test_toxicity(spark, odd):
         assert len({r.score for r in toxicity.score(docs, flat, ["doc_id"]).collect()}) == 1
 
 
+def test_toxicity_repeated_words():
+    model = toxicity.Model(weights={"wvile": 3000, "wscum": 3000}, k=0.01)
+    calm = "so it goes on and on " * 5
+    scores = model.scorer().of(f"{calm}Vile scum. {calm}vile scum {calm}")
+    _, found = model.evidence(scores)
+    assert [f[:2] for f in found] == [(30, 32), (62, 64)] and found[0][2] == found[1][2]
+
+
 # --- 5
 
 
