@@ -12,8 +12,8 @@ smaller id.
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; what is kept is joined by one blank.
 
 Defined cases: null and empty texts have no words; texts with fewer than ``size`` words lose none. A null id counts as
-larger than every id. Rows that share an id do not count as smaller for each other; rows that share id and text get
-equal results. Windows are judged on the input, not on what is left. Extra columns may be carried along.
+larger than every id. Rows that share an id do not count as smaller for each other; they and null ids are told apart by
+the text's 64-bit fingerprint, so rows that share id and text get equal results. Windows are judged on the input, not on what is left. Extra columns may be carried along.
 """
 
 from __future__ import annotations
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .checkpoints import folder
-from .text import SLICE_BYTES, WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, slices, span_hash, squeezed, table, unsqueezed, utf8
+from .text import SLICE_BYTES, WORD_BASE, WORD_BASE_2, Words, by_slice, mix, prefix, shared_slots, slices, span_hash, squeezed, table, told_apart, unsqueezed, utf8
 
 SIZE, SALTS = 13, 4
-_AT = 40  # bits of a word's number beside 24 bits of the text's fingerprint
 
 
 class Repeats:
@@ -75,11 +74,11 @@ def _keys(size: int, bits: int, rounds: int) -> Callable:
     return run
 
 
-def estimated_repeats(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, at (fingerprint and word number), h, g (hashes), hot: the windows estimated to repeat."""
+def estimated_repeats(docs: DataFrame, size: int, slots: DataFrame) -> DataFrame:
+    """doc_id, fp (``told_apart``), at (word number), h, g (hashes), hot: the windows estimated to repeat."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).where("text is not null")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = told_apart(docs.select("doc_id", "text").where("text is not null"), slots)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one word in six bytes; two representatives for each (size - half + 2) windows
     bits, rounds = sketch.width_bits(total // 6 * 2 // (size - size // 2 + 1) + 1)
     parts = docs.select("text").where("text is not null").mapInArrow(_keys(size, bits, rounds), sketch.SCHEMA)
@@ -95,43 +94,42 @@ def estimated_repeats(docs: DataFrame, size: int) -> DataFrame:
             which = np.flatnonzero(yes)
             h, g = w.hashes(which)
             row = w.row[which]
-            fp = part.column("fp").to_numpy() & ((1 << 24) - 1)
-            at = (fp[row] << _AT) | (w.at[which] - w.words.first[row])
+            at, rows = w.at[which] - w.words.first[row], pa.array(row)
             return pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), pa.array(at), pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(hot[which])],
-                ["doc_id", "at", "h", "g", "hot"],
+                [part.column("doc_id").take(rows), part.column("fp").take(rows), pa.array(at), pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(hot[which])],
+                ["doc_id", "fp", "at", "h", "g", "hot"],
             )
 
-        found = own.mapInArrow(by_slice(find), "doc_id long, at long, h long, g int, hot boolean")
+        found = own.mapInArrow(by_slice(find), "doc_id long, fp long, at long, h long, g int, hot boolean")
         out = found if out is None else out.union(found)
     return out
 
 
-def removals(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, fp (24 bits of the text's fingerprint), starts: numbers of the words at which a removed window starts."""
-    folder(docs.sparkSession)
-    found = estimated_repeats(docs, size)
+def removals(docs: DataFrame, size: int, slots: DataFrame) -> DataFrame:
+    """doc_id, fp (``told_apart``), starts: numbers of the words at which a removed window starts."""
+    found = estimated_repeats(docs, size, slots)
     key = ["h", "g"]
     cold = found.where(~F.col("hot")).withColumn("least", F.min("doc_id").over(Window.partitionBy(*key)))
     hot = found.where("hot")
     # pre-aggregated; then each key's smallest id goes to each of SALTS parts of its rows
     least = hot.groupBy(*key).agg(F.min("doc_id").alias("least")).checkpoint()
-    hot = hot.select(*key, F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "at", F.lit(None).cast("long").alias("least"))
+    hot = hot.select(*key, F.pmod(F.xxhash64("doc_id", "fp", "at"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "fp", "at", F.lit(None).cast("long").alias("least"))
     none = F.lit(None).cast("long")
     for salt in range(SALTS):
-        hot = hot.union(least.select(*key, F.lit(salt), none, none, "least"))
+        hot = hot.union(least.select(*key, F.lit(salt), none, none, none, "least"))
     hot = hot.withColumn("least", F.min("least").over(Window.partitionBy(*key, "salt"))).where("at is not null")
     later = "least is not null and (doc_id is null or doc_id > least)"
-    gone = cold.where(later).select("doc_id", "at").union(hot.where(later).select("doc_id", "at"))
-    return gone.groupBy("doc_id", F.shiftrightunsigned("at", _AT).alias("fp")).agg(F.collect_list(F.col("at").bitwiseAND((1 << _AT) - 1).cast("int")).alias("starts"))
+    gone = cold.where(later).select("doc_id", "fp", "at").union(hot.where(later).select("doc_id", "fp", "at"))
+    return gone.groupBy("doc_id", "fp").agg(F.collect_list(F.col("at").cast("int")).alias("starts"))
 
 
-def kept(docs: DataFrame, gone: DataFrame, size: int, columns: list[str], finish: Callable, schema: str) -> DataFrame:
-    """Joins each text with its removals and applies finish(texts, flags, Words) to slices; columns are carried."""
-    own = docs.select(F.struct(*columns).alias("own"), "doc_id", "text", F.xxhash64("text").bitwiseAND((1 << 24) - 1).alias("fp"))
-    own = squeezed(own)
-    gone = gone.select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "starts")
-    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left").select("own", "text", "starts")
+def kept(docs: DataFrame, size: int, columns: list[str], finish: Callable, schema: str) -> DataFrame:
+    """Finds the removals, joins each text with its own and applies finish(texts, flags, Words) to slices; columns are carried."""
+    folder(docs.sparkSession)
+    slots = shared_slots(docs)
+    own = squeezed(told_apart(docs.select(F.struct(*columns).alias("own"), "doc_id", "text"), slots))
+    gone = removals(docs, size, slots).select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "starts")
+    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("fp").eqNullSafe(F.col("fp2")), "left").select("own", "text", "starts")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         part = part.set_column(1, "text", unsqueezed(part.column("text")))
@@ -140,10 +138,10 @@ def kept(docs: DataFrame, gone: DataFrame, size: int, columns: list[str], finish
         starts = part.column("starts")
         counts = np.array([len(x) if x is not None else 0 for x in starts.to_pylist()], np.int64) if starts.null_count < len(starts) else np.zeros(len(starts), np.int64)
         flat = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-        first = flat + np.repeat(w.first[:-1], counts)
+        first, stop = flat + np.repeat(w.first[:-1], counts), np.repeat(w.first[1:], counts)
         step = np.zeros(len(w.start) + 1, np.int64)
-        np.add.at(step, first, 1)
-        np.add.at(step, np.minimum(first + size, len(w.start)), -1)
+        np.add.at(step, np.minimum(first, stop), 1)
+        np.add.at(step, np.minimum(first + size, stop), -1)
         return finish(part, w, np.cumsum(step[:-1]) > 0)
 
     kinds = dict(own.dtypes)["own"]
@@ -168,7 +166,7 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
         sha = [hashlib.sha256(t).hexdigest() for t in _texts(w, gone)]
         return pa.RecordBatch.from_arrays([part.column("own"), pa.array(np.diff(w.first)), pa.array(c[w.first[1:]] - c[w.first[:-1]]), pa.array(sha)], ["own", "n_words", "n_removed", "kept_sha256"])
 
-    return kept(docs, removals(docs, size), size, ["doc_id"], finish, "n_words long, n_removed long, kept_sha256 string")
+    return kept(docs, size, ["doc_id"], finish, "n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -185,7 +183,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("own"), pa.array(texts, pa.string()), pa.array(lost)], ["own", "kept_text", "lost"])
 
     others = [c for c in docs.columns if c != "text"]  # none may be called kept_text or lost
-    out = kept(docs, removals(docs, size), size, others, finish, "kept_text string, lost boolean")
+    out = kept(docs, size, others, finish, "kept_text string, lost boolean")
     return out.withColumnRenamed("kept_text", "text").select(*docs.columns, "lost")
 
 

@@ -13,8 +13,8 @@ each pass, and the groups that are left at full depth are exactly the repeated s
    counted first (pre-aggregated), and only the suffixes of the different ones are told apart, by 96 bits of hash.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose none; matches never cross texts, and a
-text may match itself at another place, overlapping or not. Rows that share an id are different documents (they are told
-apart by the text's fingerprint; rows that share id and text get equal results). Null ids are carried through.
+text may match itself at another place, overlapping or not. Rows that share an id are different documents (they
+and null ids are told apart by the text's 64-bit fingerprint; rows that share id and text get equal results).
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .checkpoints import folder
-from .text import BYTE_BASE, BYTE_CODE, SLICE_BYTES, WORD_BASE_2, by_slice, mix, powers, prefix, runs, slices, squeezed, table, unsqueezed, utf8
+from .text import BYTE_BASE, BYTE_CODE, SLICE_BYTES, WORD_BASE_2, by_slice, mix, powers, prefix, runs, shared_slots, slices, squeezed, table, told_apart, unsqueezed, utf8
 
 LENGTH, GRAM = 200, 100
-_AT, _PLACE = 40, 22  # bits of a byte's place beside the fingerprint; bits of a place within a chunk
+_PLACE = 22  # bits of a place within a chunk
 _CHUNK = (1 << _PLACE) - 4096
 U = np.uint64
 _TOP = ~U((1 << _PLACE) - 1)
@@ -113,13 +113,14 @@ def _around(a: Anchors, which: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(a.data[src])])
 
 
-def stretches(docs: DataFrame, length: int) -> DataFrame:
-    """key, own (hash of what surrounds the anchor), doc_id, at (fingerprint and place of the first window), before (bytes
+def stretches(docs: DataFrame, length: int, slots: DataFrame) -> DataFrame:
+    """key, own (hash of what surrounds the anchor), doc_id, fp (``told_apart``), at (place of the first window), before (bytes
     before the anchor), n (windows), around, hot: the stretches whose anchor is estimated to repeat."""
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).where(F.octet_length("text") >= length)
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    long = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
+    own = told_apart(long, slots)
+    total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, rounds = sketch.width_bits(total * 2 // (length - GRAM + 2) + 1)
-    parts = own.select("text").mapInArrow(_keys(length, bits, rounds), sketch.SCHEMA)
+    parts = long.select("text").mapInArrow(_keys(length, bits, rounds), sketch.SCHEMA)
     out = None
     for r, whole in sketch.sketches(parts, bits, rounds):
         shared = docs.sparkSession.sparkContext.broadcast(whole)
@@ -131,8 +132,7 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
                 yes &= sketch.round_of(a.key, rounds) == r
             which = np.flatnonzero(yes)
             row = a.row[which]
-            fp = part.column("fp").to_numpy() & ((1 << 24) - 1)
-            at = (fp[row] << _AT) | (a.first[which] - a.borders[row])
+            at, rows = a.first[which] - a.borders[row], pa.array(row)
             n, before = a.last[which] - a.first[which] + 1, a.place[which] - a.first[which]
             around = _around(a, which)
             p = prefix(BYTE_CODE[np.frombuffer(around.buffers()[2], np.uint8)], BYTE_BASE) if len(which) else np.zeros(1, U)
@@ -140,11 +140,11 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
             h = (p[ends[1:]] - p[ends[:-1]]) * powers(BYTE_BASE, len(p))[1][ends[:-1]]
             h = mix(mix(h ^ a.key[which]) ^ (n * 1024 + before).astype(U))
             return pa.RecordBatch.from_arrays(
-                [pa.array(a.key[which].view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(at), pa.array(before.astype(np.int16)), pa.array(n.astype(np.int16)), around, pa.array(hot[which])],
-                ["key", "own", "doc_id", "at", "before", "n", "around", "hot"],
+                [pa.array(a.key[which].view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(rows), part.column("fp").take(rows), pa.array(at), pa.array(before.astype(np.int16)), pa.array(n.astype(np.int16)), around, pa.array(hot[which])],
+                ["key", "own", "doc_id", "fp", "at", "before", "n", "around", "hot"],
             )
 
-        found = own.mapInArrow(by_slice(find), "key long, own long, doc_id long, at long, before short, n short, around binary, hot boolean")
+        found = own.mapInArrow(by_slice(find), "key long, own long, doc_id long, fp long, at long, before short, n short, around binary, hot boolean")
         out = found if out is None else out.union(found)
     return out
 
@@ -189,7 +189,7 @@ def _ranges(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _finish(length: int):
-    """On cold stretches sorted by key: doc_id, at, n of the windows that repeat."""
+    """On cold stretches sorted by key: doc_id, fp, at, n of the windows that repeat."""
     depth = length - GRAM
 
     def block(t: pa.Table) -> pa.RecordBatch:
@@ -213,8 +213,8 @@ def _finish(length: int):
             rows.append(r)
             starts.append(at[r] + a)
             many.append(b - a + 1)
-        rows = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays([t.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(many))], ["doc_id", "at", "n"])
+        rows = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([t.column("doc_id").take(rows), t.column("fp").take(rows), pa.array(np.concatenate(starts)), pa.array(np.concatenate(many))], ["doc_id", "fp", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -252,36 +252,37 @@ def _expand(length: int):
                     h = (p[at + depth] - p[at]) * powers(base, len(p))[1][at]
                     hashes.append(mix(mix(h ^ key[k].view(U)) + (before[k] - j).astype(U)))
                 rows = pa.array(k)
-                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(rows), pa.array(t.column("at").to_numpy()[k] + j), t.column("many").take(rows), pa.array(hashes[0].view(np.int64)), pa.array((hashes[1] >> U(32)).astype(np.uint32).view(np.int32))], ["doc_id", "at", "many", "h", "g"])
+                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(rows), t.column("fp").take(rows), pa.array(t.column("at").to_numpy()[k] + j), t.column("many").take(rows), pa.array(hashes[0].view(np.int64)), pa.array((hashes[1] >> U(32)).astype(np.uint32).view(np.int32))], ["doc_id", "fp", "at", "many", "h", "g"])
 
     return run
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, fp (24 bits of the text's fingerprint), spans: (place of the first repeated window, number of windows)."""
-    folder(docs.sparkSession)
-    found = stretches(docs, length)
-    cold = found.where(~F.col("hot")).select("key", "own", "doc_id", "at", "before", "n", "around")
-    cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_finish(length), "doc_id long, at long, n long")
+def removals(docs: DataFrame, length: int, slots: DataFrame) -> DataFrame:
+    """doc_id, fp (``told_apart``), spans: (place of the first repeated window, number of windows)."""
+    found = stretches(docs, length, slots)
+    cold = found.where(~F.col("hot")).select("key", "own", "doc_id", "fp", "at", "before", "n", "around")
+    cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_finish(length), "doc_id long, fp long, at long, n long")
     hot = found.where("hot")
     # equal surroundings are counted first; those that occur once carry their only place
     same = ["key", "own", "before", "n"]
-    first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("around").alias("around"), F.first("doc_id").alias("doc_id"), F.first("at").alias("at")).checkpoint()
-    whole = hot.select("key", "own", "doc_id", "at", "n").join(first.where("many > 1").select("key", "own"), ["key", "own"]).select("doc_id", "at", F.col("n").cast("long").alias("n"))
+    first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("around").alias("around"), F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("at").alias("at")).checkpoint()
+    whole = hot.select("key", "own", "doc_id", "fp", "at", "n").join(first.where("many > 1").select("key", "own"), ["key", "own"]).select("doc_id", "fp", "at", F.col("n").cast("long").alias("n"))
     some = first.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    windows = first.join(some, "key").select("key", "before", "n", "around", "doc_id", "at", "many").mapInArrow(_expand(length), "doc_id long, at long, many long, h long, g int")
+    windows = first.join(some, "key").select("key", "before", "n", "around", "doc_id", "fp", "at", "many").mapInArrow(_expand(length), "doc_id long, fp long, at long, many long, h long, g int")
     again = windows.groupBy("h", "g").agg(F.sum("many").alias("all"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "g")
-    single = windows.where("many = 1").join(again, ["h", "g"]).select("doc_id", "at", F.lit(1).cast("long").alias("n"))
+    single = windows.where("many = 1").join(again, ["h", "g"]).select("doc_id", "fp", "at", F.lit(1).cast("long").alias("n"))
     gone = cold.union(whole).union(single)
-    spans = F.collect_list(F.struct(F.col("at").bitwiseAND((1 << _AT) - 1).alias("start"), "n")).alias("spans")
-    return gone.groupBy("doc_id", F.shiftrightunsigned("at", _AT).alias("fp")).agg(spans)
+    spans = F.collect_list(F.struct(F.col("at").alias("start"), "n")).alias("spans")
+    return gone.groupBy("doc_id", "fp").agg(spans)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
-    gone = removals(docs, length).select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "spans")
-    own = squeezed(docs.select("doc_id", "text", F.xxhash64("text").bitwiseAND((1 << 24) - 1).alias("fp")))
-    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left").select("doc_id", "text", "spans")
+    folder(docs.sparkSession)
+    slots = shared_slots(docs)
+    gone = removals(docs, length, slots).select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "spans")
+    own = squeezed(told_apart(docs.select("doc_id", "text"), slots))
+    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("fp").eqNullSafe(F.col("fp2")), "left").select("doc_id", "text", "spans")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, borders = utf8(unsqueezed(part.column("text")))
@@ -291,8 +292,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         step = np.zeros(len(data) + 1, np.int64)
         if len(flat):
             start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(borders[:-1], counts)
-            np.add.at(step, start, 1)
-            np.add.at(step, start + flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64) + length - 1, -1)
+            stop = np.repeat(borders[1:], counts)
+            np.add.at(step, np.minimum(start, stop), 1)
+            np.add.at(step, np.minimum(start + flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64) + length - 1, stop), -1)
         gone = np.cumsum(step[:-1]) > 0
         c = np.r_[0, np.cumsum(gone)]
         begin = gone.copy()

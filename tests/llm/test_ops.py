@@ -554,6 +554,19 @@ def test_rounds_give_the_same(spark, odd, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows)
 
 
+def test_null_and_shared_ids_are_told_apart(spark):
+    passage = " ".join(f"passage{i}" for i in range(30))
+    mark = F.xxhash64("t").bitwiseAND((1 << 24) - 1).alias("mark")
+    long = spark.range(20000).select(F.concat("id", F.lit(" " + passage)).alias("t")).select(F.col("t").alias("long"), mark)
+    short = spark.range(20000).select(F.concat(F.lit("short "), "id").alias("t")).select(F.col("t").alias("short"), mark)
+    pairs = long.join(short, "mark").orderBy("long").limit(2).collect()  # their fingerprints agree in 24 bits
+    rows = [(1, passage), *((i, t) for i, p in zip([None, 7], pairs, strict=True) for t in (p.long, p.short))]
+    docs = frame(spark, rows, 1)
+    assert sorted(map(tuple, substring.digest(docs).collect()), key=str) == brute_windows(rows)
+    got = suffixes.deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows)
+
+
 def test_deduplicated_texts(spark, docs, corpus):
     folder(spark)
     own = docs.select("doc_id", "text", "key")
