@@ -24,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def no_clash(columns: list[str] | tuple[str, ...], added: list[str]) -> None:
+    """Raises if a carried column has the name of one that the operator adds, or comes twice."""
+    if bad := sorted(set(columns) & set(added)) or sorted({c for c in columns if list(columns).count(c) > 1}):
+        raise ValueError(f"columns called {', '.join(bad)} cannot be carried; rename them")
+
+
+def as_long(df: DataFrame, column: str) -> DataFrame:
+    """df, checked: the operator compares ids as 64-bit integers."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; ids are whole numbers of up to 64 bits (hash others with xxhash64 first)")
+    return df.withColumn(column, F.col(column).cast("long")) if kind != "bigint" else df
+
+
+def spread(df: DataFrame, column: str = "text") -> DataFrame:
+    """df, dealt out anew where its scan has fewer partitions than the session has cores, so that none stands idle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def crc_is(column: str, modulus: int, remainder: int):
     """True where crc32 of the id as text leaves the remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))

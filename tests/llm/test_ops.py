@@ -334,8 +334,8 @@ def test_decontamination(spark, odd):
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
     sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, sentence(rng.randint(6, 30))) for i in range(12)] + [(20, "tiny"), (21, ""), (22, None), (23, "  "), (24, None)]
-    items.append((25, items[3][1]))
-    rows = [(0, None), (1, ""), (2, "a tiny thing")]
+    items += [(25, items[3][1]), (26, "fourteen bytes"), (27, "twenty-seven bytes or so, x"), (28, "one or two edits are to be")]
+    rows = [(0, None), (1, ""), (2, "a tiny thing"), (3, "of fourteXn bytes"), (4, "of foXrteXn bytes"), (5, "so twenty-sexen byts or so, x it was"), (6, "one ortwo edits are be"), (7, "one or two edits arx tx be")]
     for n in range(60):
         item = list(rng.choice(items[:12])[1])
         for _ in range(rng.choice([0, 0, 1, 3, 6, 12, 30])):
@@ -359,9 +359,10 @@ def test_decontamination(spark, odd):
                 expected[d, i] = e
     for limit in (1 << 20, 300):
         got = decontaminate.matches(docs, benchmark, ["doc_id"], block_bytes=limit).collect()
-        assert {(r.doc_id, r.item_id): min(x.edits for x in got if (x.doc_id, x.item_id) == (r.doc_id, r.item_id)) for r in got if r.item_id != 23} == expected
+        assert {(r.doc_id, r.item_id): min(x.edits for x in got if (x.doc_id, x.item_id) == (r.doc_id, r.item_id)) for r in got} == expected
         left = decontaminate.clean(docs, benchmark, block_bytes=limit)
         assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {r.doc_id for r in got} and left.columns == docs.columns
+    assert {(3, 26), (5, 27), (7, 28)} <= set(expected) and (4, 26) not in expected
     exact = next(r for r in got if r.edits == 0 and r.item_id < 12)
     assert normal(dict(rows)[exact.doc_id].encode()[exact.start : exact.end].decode()) == normal(dict(items)[exact.item_id])
     assert decontaminate.matches(odd, benchmark.limit(0), ["doc_id"]).collect() == [] and decontaminate.clean(odd, benchmark.limit(0)).count() == odd.count()
@@ -369,6 +370,32 @@ def test_decontamination(spark, odd):
     assert decontaminate.clean(odd, benchmark).columns == odd.columns
 
 
+def test_decontamination_hot_gram(monkeypatch):
+    """Many items with a common opening, a text that repeats it, and items and texts of one letter, in small chunks."""
+    rng = random.Random(13)
+    opening = "the following question has one answer: "
+    ends = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(300)]
+    texts = [(opening + e).encode() for e in ends] + [b"a" * 70]
+    long = (" ".join([opening * 20, ends[7], opening + ends[9], "a" * 300, opening + ends[12][:30] + "x" + ends[12][30:]])).replace("  ", " ")
+    part = pa.RecordBatch.from_arrays([pa.array([long, "none", opening * 3])], ["text"])
+    texts = [decontaminate.normal(np.frombuffer(t, np.uint8))[0].tobytes() for t in texts]
+    items = decontaminate.Items(list(range(len(texts))), texts, decontaminate.Q, decontaminate.RATE)
+    wanted = {(r, i) for r, t in enumerate(part.column("text").to_pylist()) for i, x in enumerate(texts) if edits_within(x, re.sub(rb"[\x20\x09-\x0d]+", b" ", t.encode())) <= items.edits[i]}
+    whole = decontaminate.find(part, items)
+    assert {f[:2] for f in whole} == wanted and (0, 300) in wanted and (0, 9) in wanted
+    monkeypatch.setattr(decontaminate, "POSTINGS", 500)
+    monkeypatch.setattr(decontaminate, "ALIGN_BYTES", 2000)
+    assert decontaminate.find(part, items) == whole
+
+
+def test_clashing_columns(spark, docs):
+    one = docs.select("doc_id", "text", F.lit(1).alias("item_id"))
+    with pytest.raises(ValueError):
+        decontaminate.matches(one, spark.createDataFrame([(1, "x")], "item_id long, text string"), ["doc_id", "item_id"])
+    with pytest.raises(TypeError):
+        decontaminate.matches(docs, spark.createDataFrame([("a", "x")], "item_id string, text string"), ["doc_id"])
+
+
 # --- 6
 
 
