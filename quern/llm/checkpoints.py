@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,29 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """URI of the session's checkpoint folder; only where ``spark.checkpoint.dir`` is unset, as in tests, a local one is set."""
+    """URI of the session's checkpoint folder. Only a local master, as in tests, may leave ``spark.checkpoint.dir`` unset."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in it."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in it, removed when the driver ends."""
+    uri = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return uri
+
+
+def removed(spark: SparkSession, uri: str) -> None:
+    """Removes what lies under a path of ``fresh`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

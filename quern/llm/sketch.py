@@ -1,140 +1,136 @@
-"""A count-min sketch over all rows, built from partition sketches and merged by segment.
+"""A count-min sketch over all rows, built from partition sketches, merged by part, and asked by shuffle.
 
-Each task turns its keys into the indexes of two rows of counters and emits, per segment of 2**20 counters, the sorted
-indexes as gaps (a sparse partition sketch). The gaps of a segment meet in one task, which adds them up one after the
-other, so a merge holds one segment. Counters only ever grow, so an estimate is never below the true count.
+Two scans, whatever the input's size, and no broadcast:
 
-The merged sketch that tasks later consult is two bits of knowledge for each counter: whether it is at least 2 (a bit
-array), and whether it is at least ``HOT`` (a sorted list, at most keys / HOT long). Its width follows the number of keys
-up to ``MAX_BITS``; more keys are split by hash into rounds with a sketch each, so that its size has a bound and the
-share of false alarms stays the same at every size.
+1. Each block of texts (``blocks.py``) turns its keys into the indexes of two rows of counters and emits, for each part of
+   2**PART_BITS counters, the distinct indexes as gaps with their counts: a sparse partition sketch.
+2. The sketches of a part meet in one task, which adds them up at the indexes that they name (a merge holds one part) and
+   answers each block at once with two bits an index: whether its counter is at least 2, and at least ``hot``. The second
+   scan of a block, beside its answers, knows the estimate of each of its keys.
+
+Counters only ever grow, so an estimate is never below the true count. The width follows the number of keys, so the share
+of false alarms is the same at every size; what is shuffled is a byte or two for each key and row, and answers an eighth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .text import member, mix
+from .blocks import Blocks
+from .text import mix, runs
 
-SEGMENT_BITS, MAX_BITS, HOT = 20, 29, 32
-_FLUSH = 1 << 21
+PART_BITS, LOAD = 22, 6
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
-SCHEMA = "round int, segment int, gaps binary"
-
-
-def width_bits(keys: int, load: int = 6) -> tuple[int, int]:
-    """Bits of a row's index for at least ``load`` counters a key, and the number of rounds."""
-    bits = max(SEGMENT_BITS, int(max(1, keys) * load - 1).bit_length())
-    return (bits, 1) if bits <= MAX_BITS else (MAX_BITS, -(-keys * load // (1 << MAX_BITS)))
+_MOST = np.uint32(1 << 30)
+ANSWERS = "block long, part long, yes binary, hot binary"
 
 
-def round_of(keys: np.ndarray, rounds: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32)).astype(np.int64)
+def width_bits(keys: int) -> int:
+    """Bits of a row's index for at least LOAD counters a key."""
+    return max(PART_BITS, int(max(1, keys) * LOAD - 1).bit_length())
 
 
-def indexes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix(keys ^ s) >> np.uint64(64 - bits)).astype(np.int64) for s in _SALT]
+def rows_of(keys: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of counters: the distinct indexes, which of them each key has, and how many keys have it."""
+    for salt in _SALT:
+        at = (mix(keys ^ salt) >> np.uint64(64 - bits)).astype(np.int64)
+        yield np.unique(at, return_inverse=True, return_counts=True)
 
 
-def pack(sorted_values: np.ndarray) -> bytes:
-    """Gaps as bytes; 255 adds 255 without a value."""
-    gaps = np.diff(sorted_values, prepend=0)
+def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places within a part and their counts. Gaps are bytes (255 adds 255 without a place) where that is shorter
+    than four bytes a place; counts are left out where all are 1, and end at 65,535."""
+    gaps = np.diff(at, prepend=0)
     more = gaps // 255
-    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gaps % 255
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
-
-
-def partition_sketches(keys: Iterator[np.ndarray], bits: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        x = np.concatenate(held)
-        held.clear()
-        part = round_of(x, rounds)
-        for r in range(rounds):
-            own = x[part == r] if rounds > 1 else x
-            rows, packed = [], []
-            for j, at in enumerate(indexes(own, bits)):
-                at.sort()
-                cuts = np.searchsorted(at, np.arange((1 << bits - SEGMENT_BITS) + 1) << SEGMENT_BITS)
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    rows.append((j << bits - SEGMENT_BITS) + s)
-                    packed.append(pack(at[cuts[s] : cuts[s + 1]] - (s << SEGMENT_BITS)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array(packed, pa.binary())], ["round", "segment", "gaps"])
-
-    for k in keys:
-        held.append(k)
-        if sum(map(len, held)) >= _FLUSH:
-            yield from flush()
-    if held:
-        yield from flush()
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, counts = None, np.zeros(1 << SEGMENT_BITS, np.uint16)
-
-    def done() -> pa.RecordBatch:
-        bits = np.packbits(counts >= 2).tobytes()
-        hot = np.flatnonzero(counts >= HOT).astype(np.int32).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([bits], pa.binary()), pa.array([hot], pa.binary())], ["round", "segment", "bits", "hot"])
-
-    for batch in batches:
-        for key, data in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2), strict=True):
-            if key != now:
-                if now is not None:
-                    yield done()
-                now = key
-                counts[:] = 0
-            counts = np.minimum(counts + np.bincount(unpack(data.as_py()), minlength=1 << SEGMENT_BITS), HOT).astype(np.uint16)
-    if now is not None:
-        yield done()
-
-
-def merged(parts: DataFrame) -> DataFrame:
-    """round, segment, bits, hot from partition sketches."""
-    return parts.repartition("round", "segment").sortWithinPartitions("round", "segment").mapInArrow(_merge, "round int, segment int, bits binary, hot binary")
-
-
-class Sketch:
-    """What tasks consult: for one round, at most 2 * 2**MAX_BITS bits and the hot counters."""
-
-    def __init__(self, bits: int, rows: Iterator) -> None:
-        self.bits = bits
-        each = (1 << bits) >> 3
-        self.repeated = [np.zeros(each, np.uint8) for _ in _SALT]
-        hot: list[list[np.ndarray]] = [[] for _ in _SALT]
-        for r in rows:
-            j, s = divmod(r.segment, 1 << bits - SEGMENT_BITS)
-            self.repeated[j][s << SEGMENT_BITS - 3 : (s + 1) << SEGMENT_BITS - 3] = np.frombuffer(r.bits, np.uint8)
-            hot[j].append(np.frombuffer(r.hot, np.int32).astype(np.int64) + (s << SEGMENT_BITS))
-        self.hot = [np.sort(np.concatenate(h)) if h else np.zeros(0, np.int64) for h in hot]
-
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key's estimate is at least 2, and at least HOT."""
-        yes, hot = np.ones(len(keys), bool), np.ones(len(keys), bool)
-        for at, bits, many in zip(indexes(keys, self.bits), self.repeated, self.hot, strict=True):
-            yes &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            hot &= member(many, at) >= 0
-        return yes, hot
-
-
-def sketches(parts: DataFrame, bits: int, rounds: int) -> Iterator[tuple[int, Sketch]]:
-    """The merged sketch of each round, one at a time on the driver; the merge itself runs once."""
-    if rounds == 1:
-        yield 0, Sketch(bits, merged(parts).toLocalIterator())
-        return
-    whole = merged(parts).checkpoint()
-    for r in range(rounds):
-        yield r, Sketch(bits, whole.where(F.col("round") == r).toLocalIterator())
+    wide = len(gaps) + int(more.sum()) > 4 * len(gaps)
+    if wide:
+        places = at.astype("<u4").tobytes()
+    else:
+        out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+        out[np.cumsum(more + 1) - 1] = gaps % 255
+        places = out.tobytes()
+    top = int(counts.max())
+    kind = 0 if top == 1 else 1 if top < 256 else 2
+    tail = b"" if not kind else np.minimum(counts, 65535).astype("u1" if kind == 1 else "<u2").tobytes()
+    return bytes((wide, kind)) + len(at).to_bytes(4, "little") + tail + places
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray | int]:
+    wide, kind, n = data[0], data[1], int.from_bytes(data[2:6], "little")
+    counts = 1 if not kind else np.frombuffer(data, "u1" if kind == 1 else "<u2", n, 6).astype(np.uint32)
+    if wide:
+        return np.frombuffer(data, "<u4", n, 6 + kind * n).astype(np.int64), counts
+    gaps = np.frombuffer(data, np.uint8, offset=6 + kind * n)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255], counts
+
+
+def partition_sketch(block: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """block, part, places: the sparse counters of a block's keys."""
+    parts, packed = [], []
+    for j, (at, _, counts) in enumerate(rows_of(keys, bits)):
+        part = at >> PART_BITS
+        cut = np.r_[runs(part), len(part)]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            parts.append((j << bits - PART_BITS) + int(part[a]))
+            packed.append(pack(at[a:b] & (1 << PART_BITS) - 1, counts[a:b]))
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], ["block", "part", "places"])
+
+
+def _answers(hot: int) -> Callable:
+    """For mapInArrow on partition sketches sorted by part: the answers to their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << PART_BITS, np.uint32)
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            own = [unpack(data) for _, data in held]
+            for at, n in own:
+                counts[at] = np.minimum(counts[at] + n, _MOST)
+            bits = [[np.packbits(counts[at] >= least).tobytes() for at, _ in own] for least in (2, hot)]
+            for at, _ in own:
+                counts[at] = 0
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([now] * len(held), pa.int64()), *(pa.array(b, pa.binary()) for b in bits)], ["block", "part", "yes", "hot"])
+
+        for batch in batches:
+            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != now:
+                    if held:
+                        yield done()
+                    now, held = part, []
+                held.append((block, data.as_py()))
+        if held:
+            yield done()
+
+    return run
+
+
+def answers(blocks: Blocks, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, hot: int) -> DataFrame:
+    """ANSWERS of the merged sketch of all blocks' keys, kept in the checkpoint folder."""
+
+    def sketch(block: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = keys(part)
+        if len(own):
+            yield partition_sketch(block, own, bits)
+
+    parts = blocks.each(sketch, "block long, part long, places binary")
+    return parts.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_answers(hot), ANSWERS).checkpoint()
+
+
+def look(keys: np.ndarray, bits: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the estimate of each key of a block is at least 2, and at least ``hot``; rows: (part, yes, hot), by part."""
+    yes, hot, i = np.ones(len(keys), bool), np.ones(len(keys), bool), 0
+    for at, which, _ in rows_of(keys, bits):
+        cut = np.r_[runs(at >> PART_BITS), len(at)]
+        found: list[list[np.ndarray]] = [[], []]
+        for n in np.diff(cut).tolist():
+            for out, data in zip(found, rows[i][1:], strict=True):
+                out.append(np.unpackbits(np.frombuffer(data.as_py(), np.uint8), count=n))
+            i += 1
+        yes &= np.concatenate(found[0]).astype(bool)[which]
+        hot &= np.concatenate(found[1]).astype(bool)[which]
+    return yes, hot

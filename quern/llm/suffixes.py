@@ -5,35 +5,38 @@ each pass, and the groups that are left at full depth are exactly the repeated s
 
 1. First digit: the smallest hashed ``GRAM``-byte string within the window (its anchor, the first one on ties). Equal
    windows have equal anchors at equal places, and neighbouring windows mostly share an anchor, so one row stands for a
-   stretch of about fifty suffixes. A count-min sketch (``sketch.py``) of the anchors drops those that occur once.
-2. The other stretches meet by anchor, with the bytes around it. Groups in which the bytes around all anchors are equal are
-   equal groups as they stand. In the rest the suffixes are put in order by digits of eight bytes, most significant first,
-   within (anchor, place of the anchor in the window).
-3. An anchor estimated at HOT or more occurrences could gather without bound in one task; there equal surroundings are
-   counted first (pre-aggregated), and only the suffixes of the different ones are told apart, by 96 bits of hash.
+   stretch of about fifty suffixes. A count-min sketch (``sketch.py``) of the anchors drops those that occur once. The
+   anchor only deals suffixes out; what decides are the other bytes.
+2. The stretches left meet by anchor, with the bytes around it. Where the bytes around all anchors of a group are equal,
+   compared byte by byte, its suffixes are equal as they stand. In the rest the suffixes are put in order by digits of
+   eight bytes, most significant first, within (anchor, place of the anchor in the window).
+3. An anchor estimated at HOT or more occurrences could gather without bound in one task. There equal surroundings are
+   counted first (grouped by their bytes, with partial counts before the shuffle), and the suffixes of the different ones
+   are grouped by (anchor, place, remaining bytes): the same order, made by Spark's sort.
+
+Texts are read from blocks (``blocks.py``) by each pass; a removal names its block and place.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose none; matches never cross texts, and a
-text may match itself at another place, overlapping or not. Rows that share an id are different documents (they
-and null ids are told apart by the text's 64-bit fingerprint; rows that share id and text get equal results).
+text may match itself at another place, overlapping or not. Rows that share an id or have none are different documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .checkpoints import folder
-from .text import BYTE_BASE, BYTE_CODE, SLICE_BYTES, WORD_BASE_2, by_slice, mix, powers, prefix, runs, shared_slots, slices, squeezed, table, told_apart, unsqueezed, utf8
+from .blocks import Blocks, store
+from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, table, utf8
 
-LENGTH, GRAM = 200, 100
+LENGTH, GRAM, HOT = 200, 100, 1024
 _PLACE = 22  # bits of a place within a chunk
 _CHUNK = (1 << _PLACE) - 4096
+_ROWS = 1 << 14  # stretches that are handed on, or put in order, at a time
 U = np.uint64
 _TOP = ~U((1 << _PLACE) - 1)
 
@@ -88,19 +91,6 @@ class Anchors:
         return where[cut] + at, g[where[cut]], first + at, last + at
 
 
-def _keys(length: int, bits: int, rounds: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys() -> Iterator[np.ndarray]:
-            for part in slices(batches):
-                a = Anchors(*utf8(part.column("text")), length)
-                if len(a.key):
-                    yield a.key
-
-        yield from sketch.partition_sketches(keys(), bits, rounds)
-
-    return run
-
-
 def _around(a: Anchors, which: np.ndarray) -> pa.Array:
     """The bytes of the windows before the anchor and after it, without the anchor."""
     left, right = a.place[which] - a.first[which], a.last[which] + a.length - a.place[which] - a.gram
@@ -113,40 +103,27 @@ def _around(a: Anchors, which: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(a.data[src])])
 
 
-def stretches(docs: DataFrame, length: int, slots: DataFrame) -> DataFrame:
-    """key, own (hash of what surrounds the anchor), doc_id, fp (``told_apart``), at (place of the first window), before (bytes
-    before the anchor), n (windows), around, hot: the stretches whose anchor is estimated to repeat."""
-    long = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
-    own = told_apart(long, slots)
-    total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, rounds = sketch.width_bits(total * 2 // (length - GRAM + 2) + 1)
-    parts = long.select("text").mapInArrow(_keys(length, bits, rounds), sketch.SCHEMA)
-    out = None
-    for r, whole in sketch.sketches(parts, bits, rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(whole)
-
-        def find(part: pa.RecordBatch, r=r, shared=shared) -> pa.RecordBatch:
-            a = Anchors(*utf8(part.column("text")), length)
-            yes, hot = shared.value.look(a.key)
-            if rounds > 1:
-                yes &= sketch.round_of(a.key, rounds) == r
-            which = np.flatnonzero(yes)
-            row = a.row[which]
-            at, rows = a.first[which] - a.borders[row], pa.array(row)
+def stretches(blocks: Blocks, length: int) -> DataFrame:
+    """key, block, at (place of the first window in the block's bytes), before (bytes before the anchor), n (windows), around,
+    hot: the stretches whose anchor is estimated to repeat."""
+    bits = sketch.width_bits(blocks.total * 2 // (length - GRAM + 2) + 1)
+    answers = sketch.answers(blocks, lambda part: Anchors(*utf8(part.column("text")), length).key, bits, HOT)
+
+    def find(block: int, read: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not any(np.frombuffer(r[1].as_py(), np.uint8).any() for r in rows):
+            return
+        a = Anchors(*utf8(read().column("text")), length)
+        yes, hot = sketch.look(a.key, bits, rows)
+        every = np.flatnonzero(yes)
+        for lo in range(0, len(every), _ROWS):
+            which = every[lo : lo + _ROWS]
             n, before = a.last[which] - a.first[which] + 1, a.place[which] - a.first[which]
-            around = _around(a, which)
-            p = prefix(BYTE_CODE[np.frombuffer(around.buffers()[2], np.uint8)], BYTE_BASE) if len(which) else np.zeros(1, U)
-            ends = np.frombuffer(around.buffers()[1], np.int32).astype(np.int64)
-            h = (p[ends[1:]] - p[ends[:-1]]) * powers(BYTE_BASE, len(p))[1][ends[:-1]]
-            h = mix(mix(h ^ a.key[which]) ^ (n * 1024 + before).astype(U))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a.key[which].view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(rows), part.column("fp").take(rows), pa.array(at), pa.array(before.astype(np.int16)), pa.array(n.astype(np.int16)), around, pa.array(hot[which])],
-                ["key", "own", "doc_id", "fp", "at", "before", "n", "around", "hot"],
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.key[which].view(np.int64)), pa.array(np.full(len(which), block)), pa.array(a.first[which].astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(n.astype(np.int16)), _around(a, which), pa.array(hot[which])],
+                ["key", "block", "at", "before", "n", "around", "hot"],
             )
 
-        found = own.mapInArrow(by_slice(find), "key long, own long, doc_id long, fp long, at long, before short, n short, around binary, hot boolean")
-        out = found if out is None else out.union(found)
-    return out
+    return blocks.beside(answers, find, "key long, block long, at int, before short, n short, around binary, hot boolean")
 
 
 def _words(buffer: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -188,23 +165,35 @@ def _ranges(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[cut], start[cut], start[np.r_[cut[1:], len(row)] - 1] if len(row) else start
 
 
+def _different(buffer: np.ndarray, borders: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each row differ from those of row of[row], which are as many."""
+    size = np.diff(borders)
+    at = np.arange(borders[-1])
+    other = at - np.repeat(borders[:-1] - borders[of], size)
+    wrong = np.r_[0, np.cumsum(buffer[at] != buffer[other])]
+    return wrong[borders[1:]] > wrong[borders[:-1]]
+
+
 def _finish(length: int):
-    """On cold stretches sorted by key: doc_id, fp, at, n of the windows that repeat."""
+    """On cold stretches sorted by key: block, at, n of the windows that repeat."""
     depth = length - GRAM
 
     def block(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks().to_batches()[0]
         col = lambda c: t.column(c).to_numpy()
-        key, own, at, before, n = col("key"), col("own"), col("at"), col("before").astype(np.int64), col("n").astype(np.int64)
+        key, at, before, n = col("key"), col("at").astype(np.int64), col("before").astype(np.int64), col("n").astype(np.int64)
+        buffer, borders = _offsets(t.column("around"))
         first = runs(key)
         size = np.diff(np.r_[first, len(key)])
-        same = np.minimum.reduceat(own, first) == np.maximum.reduceat(own, first)
         number = np.repeat(np.arange(len(first)), size)
+        lead = first[number]
+        alike = (before == before[lead]) & (n == n[lead])
+        alike &= ~_different(buffer, borders, np.where(alike, lead, np.arange(len(key))))
+        same = np.logical_and.reduceat(alike, first)
         done = np.flatnonzero((same & (size > 1))[number])
         rest = np.flatnonzero(~same[number])
         rows, starts, many = [done], [at[done]], [n[done]]
         if len(rest):
-            buffer, borders = _offsets(t.column("around"))
             k = np.repeat(rest, n[rest])
             j = np.arange(len(k)) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest])
             hit = equal_windows(buffer, borders[k] + j, number[k] * 1024 + (before[k] - j), depth)
@@ -214,7 +203,7 @@ def _finish(length: int):
             starts.append(at[r] + a)
             many.append(b - a + 1)
         rows = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([t.column("doc_id").take(rows), t.column("fp").take(rows), pa.array(np.concatenate(starts)), pa.array(np.concatenate(many))], ["doc_id", "fp", "at", "n"])
+        return pa.RecordBatch.from_arrays([t.column("block").take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(many).astype(np.int32))], ["block", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,67 +223,60 @@ def _finish(length: int):
 
 
 def _expand(length: int):
-    """The windows of stretches: two hashes of each, and its number in the stretch."""
+    """The windows of stretches: the anchor's place in each, and the bytes without the anchor."""
     depth = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                t = whole.slice(lo, 1024)
-                n, before, key = (t.column(c).to_numpy() for c in ("n", "before", "key"))
-                n = n.astype(np.int64)
+            for lo in range(0, whole.num_rows, 256):
+                t = whole.slice(lo, 256)
+                n, before, at = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "before", "at"))
                 data, borders = _offsets(t.column("around"))
                 k = np.repeat(np.arange(len(n)), n)
                 j = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                at, hashes = borders[k] + j, []
-                for base in (BYTE_BASE, WORD_BASE_2):
-                    p = prefix(BYTE_CODE[data], base)
-                    h = (p[at + depth] - p[at]) * powers(base, len(p))[1][at]
-                    hashes.append(mix(mix(h ^ key[k].view(U)) + (before[k] - j).astype(U)))
+                left = data[(borders[k] + j)[:, None] + np.arange(depth)]
+                tail = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * depth).astype(np.int32)), pa.py_buffer(left.tobytes())])
                 rows = pa.array(k)
-                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(rows), t.column("fp").take(rows), pa.array(t.column("at").to_numpy()[k] + j), t.column("many").take(rows), pa.array(hashes[0].view(np.int64)), pa.array((hashes[1] >> U(32)).astype(np.uint32).view(np.int32))], ["doc_id", "fp", "at", "many", "h", "g"])
+                yield pa.RecordBatch.from_arrays([t.column("key").take(rows), pa.array((before[k] - j).astype(np.int16)), tail, t.column("block").take(rows), pa.array((at[k] + j).astype(np.int32)), t.column("many").take(rows)], ["key", "place", "tail", "block", "at", "many"])
 
     return run
 
 
-def removals(docs: DataFrame, length: int, slots: DataFrame) -> DataFrame:
-    """doc_id, fp (``told_apart``), spans: (place of the first repeated window, number of windows)."""
-    found = stretches(docs, length, slots)
-    cold = found.where(~F.col("hot")).select("key", "own", "doc_id", "fp", "at", "before", "n", "around")
-    cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_finish(length), "doc_id long, fp long, at long, n long")
+def removals(blocks: Blocks, length: int) -> DataFrame:
+    """block, spans: (place of the first repeated window in the block's bytes, number of windows)."""
+    found = stretches(blocks, length)
+    cold = found.where(~F.col("hot")).select("key", "block", "at", "before", "n", "around")
+    cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_finish(length), "block long, at int, n int")
     hot = found.where("hot")
     # equal surroundings are counted first; those that occur once carry their only place
-    same = ["key", "own", "before", "n"]
-    first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("around").alias("around"), F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("at").alias("at")).checkpoint()
-    whole = hot.select("key", "own", "doc_id", "fp", "at", "n").join(first.where("many > 1").select("key", "own"), ["key", "own"]).select("doc_id", "fp", "at", F.col("n").cast("long").alias("n"))
+    same = ["key", "before", "n", "around"]
+    first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("block").alias("block"), F.first("at").alias("at")).checkpoint()
+    whole = hot.join(first.where("many > 1").select(*same), same).select("block", "at", F.col("n").cast("int").alias("n"))
     some = first.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    windows = first.join(some, "key").select("key", "before", "n", "around", "doc_id", "fp", "at", "many").mapInArrow(_expand(length), "doc_id long, fp long, at long, many long, h long, g int")
-    again = windows.groupBy("h", "g").agg(F.sum("many").alias("all"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "g")
-    single = windows.where("many = 1").join(again, ["h", "g"]).select("doc_id", "fp", "at", F.lit(1).cast("long").alias("n"))
+    windows = first.join(some, "key").select("key", "before", "n", "around", "block", "at", "many")
+    windows = windows.mapInArrow(_expand(length), "key long, place short, tail binary, block long, at int, many long")
+    by = ["key", "place", "tail"]
+    again = windows.groupBy(*by).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*by)
+    single = windows.where("many = 1").join(again, by).select("block", "at", F.lit(1).alias("n"))
     gone = cold.union(whole).union(single)
-    spans = F.collect_list(F.struct(F.col("at").alias("start"), "n")).alias("spans")
-    return gone.groupBy("doc_id", "fp").agg(spans)
-
-
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
-    folder(docs.sparkSession)
-    slots = shared_slots(docs)
-    gone = removals(docs, length, slots).select(F.col("doc_id").alias("id2"), F.col("fp").alias("fp2"), "spans")
-    own = squeezed(told_apart(docs.select("doc_id", "text"), slots))
-    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("fp").eqNullSafe(F.col("fp2")), "left").select("doc_id", "text", "spans")
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, borders = utf8(unsqueezed(part.column("text")))
-        spans = part.column("spans")
-        counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(spans).to_pylist()], np.int64)
-        flat = spans.flatten()
-        step = np.zeros(len(data) + 1, np.int64)
-        if len(flat):
-            start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(borders[:-1], counts)
-            stop = np.repeat(borders[1:], counts)
-            np.add.at(step, np.minimum(start, stop), 1)
-            np.add.at(step, np.minimum(start + flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64) + length - 1, stop), -1)
+    return gone.groupBy("block").agg(F.collect_list(F.struct(F.col("at").alias("start"), "n")).alias("spans"))  # at most a block's bytes
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
+    no_clash(columns, ["n_bytes", "n_removed", "n_spans", "kept"])
+    blocks = store(docs.select(F.struct(*columns).alias("own"), "text"))
+    gone = removals(blocks, length).withColumn("part", F.lit(0))
+
+    def run(block: int, read: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part = read()
+        data, borders = utf8(part.column("text"))
+        step = np.zeros(len(data) + 1, np.int32)
+        if rows:
+            spans = rows[0][1].values
+            start = spans.field("start").to_numpy().astype(np.int64)
+            np.add.at(step, start, 1)
+            np.add.at(step, start + spans.field("n").to_numpy() + length - 1, -1)
         gone = np.cumsum(step[:-1]) > 0
         c = np.r_[0, np.cumsum(gone)]
         begin = gone.copy()
@@ -302,11 +284,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         edge = borders[:-1][borders[:-1] < len(data)]
         begin[edge] = gone[edge]
         b = np.r_[0, np.cumsum(begin)]
-        kept = [data[x:y][~gone[x:y]].tobytes() for x, y in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+        left = data[~gone]
+        ends = borders - c[borders]
+        kept = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(left)])
         per = lambda x: pa.array(x[borders[1:]] - x[borders[:-1]])
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(borders)), per(c), per(b), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(np.diff(borders)), per(c), per(b), kept], ["own", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(by_slice(run, limit=SLICE_BYTES // 2), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = blocks.beside(gone, run, f"own {blocks.kinds['own']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,23 +49,6 @@ def crc_is(column: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))
 
 
-def _slot():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-
-
-def shared_slots(docs: DataFrame) -> DataFrame:
-    """_slot: hashes of the ids that several rows have; at most 2**18 rows, kept in the checkpoint folder."""
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return again.select(_slot().alias("_slot")).distinct().checkpoint()
-
-
-def told_apart(docs: DataFrame, slots: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ..) with fp: the text's 64-bit fingerprint where the id is null or in a slot with a shared one,
-    else null. Equal (doc_id, fp) then mean equal id and text, at the price of no bits for ids of one row."""
-    rows = docs.withColumn("_slot", _slot()).join(F.broadcast(slots.withColumn("_shared", F.lit(True))), "_slot", "left")
-    return rows.select(*docs.columns, F.when(F.col("doc_id").isNull() | F.col("_shared"), F.xxhash64("text")).alias("fp"))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: spreads a hash over all 64 bits."""
     x = x.astype(U, copy=True)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bm25, decontaminate, eliasfano, langid, lm, neardup, pieces, sketch, substring, suffixes, text, toxicity, warc
+from quern.llm import blocks, bm25, decontaminate, eliasfano, langid, lm, neardup, pieces, sketch, substring, suffixes, text, toxicity, warc
 from quern.llm.checkpoints import folder, fresh
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -68,6 +68,7 @@ def odd(spark, docs, corpus):
 @pytest.fixture(autouse=True)
 def small(monkeypatch):
     monkeypatch.setattr(text, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
 
 
 def empty(spark):
@@ -99,21 +100,24 @@ def test_elias_fano():
         assert (s.successor(q) == np.searchsorted(v, q)).all() and ((s.find(q) >= 0) == np.isin(q, v)).all()
 
 
-def test_sketch_never_underestimates(spark):
+def test_sketch_never_underestimates(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "PART_BITS", 12)
     rng = np.random.default_rng(2)
+    for at, n in (([0, 0, 254, 255, 256, 4000], [1] * 6), ([7, 4095], [3, 70000]), ([5], [300])):
+        got, counts = sketch.unpack(sketch.pack(np.array(at), np.array(n)))
+        assert got.tolist() == at and (counts == np.minimum(n, 65535)).all()
     keys = text.mix(rng.integers(0, 3000, 6000).astype(np.uint64))
-    assert np.array_equal(sketch.unpack(sketch.pack(np.array([0, 0, 254, 255, 256, 100000]))), [0, 0, 254, 255, 256, 100000])
-    for rounds in (1, 3):
-        parts = [b for k in np.array_split(keys, 7) for b in sketch.partition_sketches(iter([k]), 20, rounds)]
-        df = spark.createDataFrame(pa.Table.from_batches(parts).to_pandas(), sketch.SCHEMA)
-        count = collections.Counter(keys.tolist())
-        folder(spark)
-        for r, s in sketch.sketches(df, 20, rounds):
-            own = np.array([k for k in count if sketch.round_of(np.array([k], np.uint64), rounds)[0] == r], np.uint64)
-            yes, hot = s.look(own)
-            true = np.array([count[k] for k in own.tolist()])
-            assert yes[true >= 2].all() and hot[true >= sketch.HOT].all() and yes[true < 2].mean() < 0.1
-    assert sketch.width_bits(1 << 40)[1] > 1 and sketch.width_bits(10) == (20, 1)
+    own = np.array_split(keys, 7)
+    bits = 15
+    parts = pa.Table.from_batches([sketch.partition_sketch(i, k, bits) for i, k in enumerate(own)]).sort_by("part")
+    back = pa.Table.from_batches(list(sketch._answers(3)(iter(parts.to_batches())))).sort_by([("block", "ascending"), ("part", "ascending")])
+    count = collections.Counter(keys.tolist())
+    for i, k in enumerate(own):
+        rows = [(p, y, h) for b, p, y, h in zip(back["block"].to_pylist(), back["part"].to_pylist(), back["yes"], back["hot"]) if b == i]
+        yes, hot = sketch.look(k, bits, rows)
+        true = np.array([count[x] for x in k.tolist()])
+        assert yes[true >= 2].all() and hot[true >= 3].all() and yes[true < 2].mean() < 0.1
+    assert sketch.width_bits(1 << 45) == 48 and sketch.width_bits(10) == 12
 
 
 # --- 1
@@ -230,8 +234,9 @@ def brute_bytes(rows, length=200):
 
 @pytest.mark.parametrize("hot", [2, 8, 1 << 15])
 def test_suffixes(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(sketch, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "_CHUNK", 9000)
+    monkeypatch.setattr(suffixes, "_ROWS", 50)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = suffixes.deduplicated(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows)
@@ -564,21 +569,25 @@ def brute_windows(rows, size=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("hot", "bits"), [(2, 29), (8, 29), (1 << 15, 29)])
-def test_substring(spark, odd, monkeypatch, hot, bits):
-    monkeypatch.setattr(sketch, "HOT", hot)
-    folder(spark)
+@pytest.mark.parametrize(("hot", "share"), [(2, 1 << 16), (8, 100), (1 << 15, 1 << 16)])
+def test_substring(spark, odd, monkeypatch, hot, share):
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "SHARE", share)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, substring.digest(odd).collect()), key=str) == brute_windows(rows)
     assert substring.digest(empty(spark)).collect() == []
 
 
-def test_rounds_give_the_same(spark, odd, monkeypatch):
-    monkeypatch.setattr(sketch, "width_bits", lambda keys, load=6: (20, 3))
-    rows = [(r.doc_id, r.text) for r in odd.collect()]
-    assert sorted(map(tuple, substring.digest(odd).collect()), key=str) == brute_windows(rows)
-    got = suffixes.deduplicated(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert sorted(map(tuple, got), key=str) == brute_bytes(rows)
+def test_substring_within_a_document(spark, monkeypatch):
+    """Windows that a document has many times, and null ids that meet only each other."""
+    monkeypatch.setattr(substring, "HOT", 3)
+    same = "b c d e f g h i j k l m n o p "
+    rows = [(4, "x " * 60), (2, "x " * 200 + same * 3), (9, same * 5 + "y " * 30), (None, "y " * 40), (None, "z " * 40), (None, "z " * 50), (9, "z q " * 30)]
+    for hot in (3, 1 << 15):
+        monkeypatch.setattr(substring, "HOT", hot)
+        assert sorted(map(tuple, substring.digest(frame(spark, rows, 3)).collect()), key=str) == brute_windows(rows)
+    with pytest.raises(ValueError):
+        substring.deduplicated(frame(spark, rows, 1).withColumn("lost", F.lit(1)))
 
 
 def test_null_and_shared_ids_are_told_apart(spark):
