@@ -34,7 +34,7 @@ def encode(values: np.ndarray, universe: int) -> bytes:
             parts.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
     low = b"".join(parts)
     low += b"\0" * (8 + -len(low) % 8)
-    head = np.array([n, low_bits, len(words), zeros.itemsize, len(low)], "<u8").tobytes()
+    head = np.array([n, low_bits, len(words), zeros.itemsize, len(low), universe], "<u8").tobytes()
     tail = zeros.tobytes()
     return head + words.tobytes() + low + tail + b"\0" * (-len(tail) % 8)
 
@@ -43,9 +43,9 @@ class Sequence:
     """A view of an encoded sequence that starts at ``at`` of a buffer; ``end`` is where it ends."""
 
     def __init__(self, buffer, at: int = 0) -> None:
-        n, low_bits, words, width, low = np.frombuffer(buffer, "<u8", 5, at).astype(int).tolist()
-        self.n, self.low_bits = n, low_bits
-        at += 40
+        n, low_bits, words, width, low, universe = np.frombuffer(buffer, "<u8", 6, at).astype(int).tolist()
+        self.n, self.low_bits, self.universe = n, low_bits, universe
+        at += 48
         self.words = np.frombuffer(buffer, "<u8", words, at)
         at += 8 * words
         self.low = np.ndarray((low - 7,), "<u8", buffer, at, (1,))  # a word from each byte
@@ -88,19 +88,24 @@ class Sequence:
             hi[open_] = np.where(less, hi[open_], mid)
         return lo
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of x, or -1."""
-        if not self.n:
-            return np.full(len(x), -1, np.int64)
-        high = (x >> U(self.low_bits)).astype(np.int64)
-        lo, end = self._bucket(high)
+    def find(self, x: np.ndarray, least: np.ndarray | None = None, below: np.ndarray | None = None) -> np.ndarray:
+        """The place of x, or -1; where given, among the places from least to below."""
+        out = np.full(len(x), -1, np.int64)
+        possible = np.flatnonzero(x < U(self.universe))
+        if not self.n or not len(possible):
+            return out
+        x = x[possible]
+        lo, end = self._bucket((x >> U(self.low_bits)).astype(np.int64))
+        if least is not None:
+            lo, end = np.maximum(lo, least[possible]), np.minimum(end, below[possible])
         want, hi, stop = x & U((1 << self.low_bits) - 1), end.copy(), end
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._lows(mid) < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        return np.where((lo < stop) & (self._lows(np.minimum(lo, self.n - 1)) == want), lo, -1)
+        out[possible] = np.where((lo < stop) & (self._lows(np.minimum(lo, self.n - 1)) == want), lo, -1)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i (the place of the i-th one less i is the high part)."""

@@ -1,26 +1,30 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie of order 3.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token; the end token is also the context of a text's
 first word. With counts c over the training texts, N tokens and V distinct ones:
 
 - base probability  p1(w) = (c(w) + 1) / (N + V + 1), from exact counts;
-- model probability p(w | u) = (c(u w) + mu p1(w)) / (c(u) + mu), Dirichlet smoothing towards p1, which sums to one and
-  needs no count over a context's successors, so that the successors of a frequent context may lie in several shards.
-
-The trie has two levels of files in the folder that driver and executors share; a scoring task memory-maps them, and
-nothing that grows with the corpus is broadcast, collected or held in memory.
-
-- Level 1, by ranges of the word's hash: the hashes (Elias-Fano; a word's id is its place) and running sums of counts
-  (Elias-Fano). Level 2, by ranges of the context's id, for contexts seen ``HOT_CONTEXT`` times or more by a hash of the
-  pair: the contexts' ids; the monotone pointers to their successors; the successors, as context number * V + id, in
-  which a pair is found by successor search relative to its context; and log10 p(w | u) in 256 steps of ``STEP``.
-- Counts are merged from sorted, gap-coded blocks of the partitions, one shard at a time. Shards follow the input's size.
+- p2(w | v) = (c(v w) + m2 p1(w)) / (c(v) + m2), and p3(w | u v) = (c(u v w) + m3 p2(w | v)) / (c(u v) + m3): Dirichlet
+  smoothing towards the shorter context; each sums to one. A text's first token takes p2, all others p3.
+
+The trie has levels of files in the folder that driver and executors share; a scoring task memory-maps them, and nothing
+that grows with the corpus is broadcast, collected or held in memory, but for two figures a shard.
+
+- Level 1, by ranges of the word's hash: the hashes (Elias-Fano; a word's id is its shard's base and its place) and running
+  sums of counts (Elias-Fano).
+- Levels 2 and 3 of a context u lie in one file, by ranges of u's id: the contexts; monotone pointers to each one's
+  successors v; these, relative to their context, i.e. with the end of the range before added, so that they ascend;
+  monotone pointers from each pair u v to its successors w; and these, relative to the pair. A query looks its context up,
+  takes the range from the pointers, adds the end of the range before, and searches the successor within the range.
+- Each pair has two bytes, each triple one: log10 of c(v|u) / (c(u) + m2), of the pair's weight m3 / (c(u v) + m3) for what it
+  hands to p2, and of c(w|u v) / (c(u v) + m3), each by a code book of 256 values for its level and file. p2 and p3 are sums of these.
+- The pairs of a context that makes up a 65,536th of all tokens (there are 65,536 at most) lie by a hash of the pair.
+- Triples are counted in one scan, in sorted, packed blocks; a shard's blocks meet in one task. Shards follow the input's size.
 
 A file is written under a temporary name and renamed; repeated attempts make the same bytes.
 
 Defined cases: null and empty texts have the end token only. Without training rows every token is unknown,
 N = V = 0 and p1 = 1. Rows with a null id are scored and not learned from. Repeated rows count as often as they occur.
-Vocabularies of 2**31 words or more raise an error.
 """
 
 from __future__ import annotations
@@ -38,13 +42,13 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .checkpoints import fresh
-from .text import Words, crc_is, mix, runs, slices, table, utf8
+from .text import Words, crc_is, mix, no_clash, runs, slices, spread, table, utf8
 
 U = np.uint64
 END = np.uint64(0x5BF0_3635_DCF6_1F2B)
-MU, STEP, HOT_CONTEXT = 50.0, 0.05, 100_000
+MU, HOT_CONTEXT, SHARE = (20.0, 4.0), 100_000, 1 << 16
 SLICE, FLUSH = 3 << 20, 1 << 21
-VOCABULARY_SHARD, PAIR_SHARD = 1 << 23, 1 << 21  # tokens of the input a shard
+VOCABULARY_SHARD, GRAM_SHARD = 1 << 24, 1 << 21  # tokens of the input a shard
 
 
 def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -57,52 +61,89 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    """The token before each token; the end token before a row's first."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
+def before(values: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """The value of the token before each token; end before a row's first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
     out[first[:-1]] = end
     return out
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys as gaps of four bytes (eight where one is larger), and counts of one byte (or eight)."""
-    gaps = np.diff(keys)
-    wide, many = bool(len(gaps)) and int(gaps.max()) >= 1 << 32, int(counts.max()) > 255
-    head = np.array([len(keys), wide, many], "<u8").tobytes() + keys[:1].tobytes()
-    return head + gaps.astype("<u8" if wide else "<u4").tobytes() + counts.astype("<u8" if many else "u1").tobytes()
+def after(values: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """The value of the token after each token; none after a row's last."""
+    out = np.empty_like(values)
+    out[:-1] = values[1:]
+    out[first[1:] - 1] = none
+    return out
+
+
+def _narrow(x: np.ndarray, sizes: tuple[int, ...]) -> tuple[int, bytes]:
+    """The values in the fewest bytes each that sizes offer."""
+    top = int(x.max()) if len(x) else 0
+    size = next(b for b in sizes if top < 1 << 8 * b)
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return size, raw[:, :size].tobytes()
+
+
+def _wide(data: bytes, n: int, size: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)
+    return out.view("<u8").ravel()
+
 
+def pack(a: np.ndarray, w: np.ndarray, counts: np.ndarray) -> bytes:
+    """Distinct (a, w) in order with their counts: the gaps of the distinct a, how many w each has, the w, the counts."""
+    first = runs(a)
+    parts = [np.diff(a[first], prepend=U(0)), np.diff(np.r_[first, len(a)]), w, counts]
+    packed = [_narrow(x, s) for x, s in zip(parts, ((4, 8), (1, 4, 8), (1, 2, 3, 4, 5, 8), (1, 8)), strict=True)]
+    return np.array([len(first), len(a), *(s for s, _ in packed)], "<u8").tobytes() + b"".join(b for _, b in packed)
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, wide, many = np.frombuffer(data, "<u8", 3).astype(int).tolist()
-    keys = np.empty(n, U)
-    keys[0] = np.frombuffer(data, "<u8", 1, 24)[0]
-    size = 8 if wide else 4
-    keys[1:] = np.frombuffer(data, f"<u{size}", n - 1, 32)
-    return np.cumsum(keys, dtype=U), np.frombuffer(data, "<u8" if many else "u1", n, 32 + size * (n - 1)).astype(np.int64)
 
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, n, *sizes = np.frombuffer(data, "<u8", 6).astype(int).tolist()
+    out, at = [], 48
+    for many, size in zip((k, k, n, n), sizes, strict=True):
+        out.append(_wide(data, many, size, at))
+        at += many * size
+    return np.repeat(np.cumsum(out[0], dtype=U), out[1].astype(np.int64)), out[2], out[3].astype(np.int64)
 
-def merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*map(unpack, blocks), strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = runs(keys)
-    return keys[first], np.add.reduceat(counts[order], first)
 
+def counted(a: np.ndarray, w: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (a, w) in order, and the sums of their counts."""
+    bits = int(w.max()).bit_length()
+    if int(a.max()).bit_length() + bits <= 64:
+        key = a << U(bits) | w
+        if counts is None:
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key, counts = key[order], counts[order]
+        first = runs(key)
+        a, w = key[first] >> U(bits), key[first] & U((1 << bits) - 1)
+    else:
+        order = np.lexsort((w, a))
+        a, w = a[order], w[order]
+        counts = None if counts is None else counts[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
+        a, w, size = a[first], w[first], len(a)
+        return a, w, np.diff(np.r_[first, size]) if counts is None else np.add.reduceat(counts, first)
+    return a, w, np.diff(np.r_[first, len(key)]) if counts is None else np.add.reduceat(counts, first)
 
-def _blocks(find: Callable, limit: int = FLUSH) -> Callable:
-    """For mapInArrow: find(part) gives keys of 64 bits and each key's shard; emits counted blocks."""
+
+def merge(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return counted(*(np.concatenate(x) for x in zip(*map(unpack, blocks), strict=True)))
+
+
+def _blocks(find: Callable) -> Callable:
+    """For mapInArrow: find(part) gives keys (a, w) and each one's shard; emits counted blocks."""
 
     def flush(held: list) -> pa.RecordBatch:
-        keys, shards = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((keys, shards)) if int(shards.max()) else np.argsort(keys)
-        keys, shards = keys[order], shards[order]
-        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (shards[1:] != shards[:-1])])
-        n = np.diff(np.r_[first, len(keys)])
-        keys, shards = keys[first], shards[first]
-        cut = np.r_[runs(shards), len(keys)]
-        packed = [pack(keys[a:b], n[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(shards[cut[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "block"])
+        a, w, shard = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(shard, kind="stable")
+        a, w, shard = a[order], w[order], shard[order]
+        cut = np.r_[runs(shard), len(shard)]
+        packed = [pack(*counted(a[x:y], w[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -110,7 +151,7 @@ def _blocks(find: Callable, limit: int = FLUSH) -> Callable:
             got = find(part)
             held.append(got)
             n += len(got[0])
-            if n >= limit:
+            if n >= FLUSH:
                 yield flush(held)
                 held, n = [], 0
         if n:
@@ -119,15 +160,18 @@ def _blocks(find: Callable, limit: int = FLUSH) -> Callable:
     return run
 
 
+_BUILT = "shard int, n long, total long, places array<long>, counts array<long>"
+
+
 def _by_shard(build: Callable[[int, list[bytes]], tuple]) -> Callable:
-    """For mapInArrow on rows sorted by shard: build(shard, blocks) writes a file and gives (entries, count)."""
+    """For mapInArrow on rows sorted by shard: build(shard, blocks) writes a file and gives _BUILT without the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, size = None, [], 0
 
         def done() -> pa.RecordBatch:
-            n, total = build(now, blocks)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, n, total), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["shard", "n", "total"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, *build(now, blocks)), kinds, strict=True)], [c.split()[0] for c in _BUILT.split(", ")])
 
         for batch in batches:
             for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block"), strict=True):
@@ -137,9 +181,9 @@ def _by_shard(build: Callable[[int, list[bytes]], tuple]) -> Callable:
                     now, blocks, size = shard, [], 0
                 blocks.append(block.as_py())
                 size += len(blocks[-1])
-                if size > 16 << 20 and len(blocks) > 8:  # add up what has come, so that repeats take no room
-                    keys, counts = merge(blocks)
-                    blocks, size = [pack(keys, counts)], 0
+                if size > 24 << 20 and len(blocks) > 8:  # add up what has come, so that repeats take no room
+                    blocks = [pack(*merge(blocks))]
+                    size = len(blocks[0]) // 2
         if now is not None:
             yield done()
 
@@ -164,26 +208,55 @@ def _opened(uri: str, name: str):
         return f.read()
 
 
+def relative(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """The values of each range, which ascend, with the end of the range before added: they ascend throughout."""
+    size = np.diff(pointers)
+    some = np.flatnonzero(size)
+    ends = np.zeros(len(size), U)
+    ends[some] = values[pointers[1:][some] - 1].astype(U) + U(1)
+    return values.astype(U) + np.repeat(np.cumsum(ends, dtype=U) - ends, size)
+
+
+def within(values: eliasfano.Sequence, pointers: eliasfano.Sequence, of: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of x among the successors of each context (by number), or -1."""
+    lo, hi = (pointers.get(of + i).astype(np.int64) for i in (0, 1))
+    start = np.where(lo > 0, values.get(np.maximum(lo - 1, 0)) + U(1), U(0)) if values.n else np.zeros(len(lo), U)
+    return values.find(start + x, lo, hi)
+
+
+def code_book(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of one byte, and the 256 values that they stand for: means of as many distinct values each."""
+    known = np.unique(x)
+    if len(known) > 256:
+        cut = known[np.arange(1, 256) * len(known) // 256]
+        code = np.searchsorted(cut, x, "right")
+        of = np.searchsorted(cut, known, "right")
+        book = np.bincount(of, known, 256) / np.maximum(1, np.bincount(of, minlength=256))
+    else:
+        code, book = np.searchsorted(known, x), np.r_[known, np.zeros(256 - len(known))]
+    return code.astype(np.uint8), book.astype("<f4")
+
+
 class Trie:
-    """What a task needs to know: where the files are, and small figures of each shard."""
+    """What a task needs to know: where the files are, small figures of each shard, and the frequent contexts."""
 
-    def __init__(self, uri: str, bits: int, vocabulary: list[tuple[int, int, int]], pair_shards: int, mu: float) -> None:
-        self.uri, self.bits, self.mu, self.pair_shards = uri, bits, mu, pair_shards
+    def __init__(self, uri: str, bits: int, vocabulary: list[tuple], shards: int, least: int, mu: tuple[float, float]) -> None:
+        self.uri, self.bits, self.mu, self.shards = uri, bits, mu, shards
         self.sizes = np.zeros((1 << bits) + 1, np.int64)
-        for shard, n, _ in vocabulary:
+        for shard, n, *_ in vocabulary:
             self.sizes[shard + 1] = n
         self.base = np.cumsum(self.sizes)
-        self.v, self.n = int(self.base[-1]), sum(t for _, _, t in vocabulary)
-        self.pairs: set[int] = set()
-        if self.v >= 1 << 31:
-            raise ValueError("2**31 words or more")
-
-    def _level1(self, shard: int):
-        return _file(self.uri, f"words-{shard:06d}", 2)
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """id (-1: unknown) and count of each hash."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+        self.v, self.n = int(self.base[-1]), sum(r[2] for r in vocabulary)
+        hot = sorted((int(self.base[r[0]]) + p, c) for r in vocabulary for p, c in zip(r[3], r[4], strict=True) if c >= least)
+        self.hot, self.hot_counts = np.array([h for h, _ in hot], np.int64), np.array([c for _, c in hot], np.int64)
+        self.range = self.v // shards + 2  # ids a shard, at most
+        self.end: tuple[int, int] = (-1, 0)
+        if self.v:
+            (i,), (c,) = self.words(np.array([END]))
+            self.end = int(i), int(c)
+
+    def words(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """id (-1: unknown) and count of each hash; hashes ascend."""
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         shard = (distinct >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(distinct), np.int64)
         cut = np.r_[runs(shard), len(shard)]
@@ -191,65 +264,53 @@ class Trie:
             s = int(shard[a])
             if not self.sizes[s + 1]:
                 continue
-            (known, sums), _ = self._level1(s)
+            (known, sums), _ = _file(self.uri, f"words-{s:06d}", 2)
             at = known.find(distinct[a:b] << U(self.bits) >> U(self.bits + 1))
             ok = np.flatnonzero(at >= 0)
             ids[a + ok] = at[ok] + self.base[s]
             x = at[ok]
             counts[a + ok] = (sums.get(x + 1) - sums.get(x)).astype(np.int64)
-        return ids[back], counts[back]
-
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of ascending ids."""
-        out = np.zeros(len(ids), np.int64)
-        shard = np.searchsorted(self.base, ids, "right") - 1
-        cut = np.r_[runs(shard), len(shard)]
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            (_, sums), _ = self._level1(int(shard[a]))
-            x = ids[a:b] - self.base[shard[a]]
-            out[a:b] = (sums.get(x + 1) - sums.get(x)).astype(np.int64)
-        return out
+        return ids, counts
 
     def base_probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.n + self.v + 1)
 
-    def shard_of(self, u: np.ndarray, w: np.ndarray, count_u: np.ndarray) -> np.ndarray:
-        split = (mix(u.astype(U) << U(32) | w.astype(U)) % U(self.pair_shards)).astype(np.int64)
-        return np.where(count_u >= HOT_CONTEXT, split, u * self.pair_shards // max(1, self.v))
-
-    def pair_codes(self, u: np.ndarray, w: np.ndarray, count_u: np.ndarray) -> np.ndarray:
-        """The stored step of log10 p(w | u) for each pair of ids, or -1."""
-        out = np.full(len(u), -1, np.int64)
-        shard = self.shard_of(u, w, count_u)
-        order = np.argsort(shard, kind="stable")
-        cut = np.r_[runs(shard[order]), len(order)]
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            at = order[a:b]
-            s = int(shard[at[0]])
-            if s not in self.pairs:
-                continue
-            (known, pointers, after), codes = _file(self.uri, f"pairs-{s:06d}", 3)
-            c = known.find(u[at].astype(U))
-            ok = np.flatnonzero(c >= 0)
-            at, c = at[ok], c[ok]
-            x = c.astype(U) * U(self.v) + w[at].astype(U)
-            i = after.find(x)
-            ok = np.flatnonzero(i >= 0)
-            out[at[ok]] = codes[i[ok]]
-        return out
-
-
-@lru_cache(4096)
+    def places(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each pair, and the context's number there."""
+        shard = u * self.shards // max(1, self.v)
+        code = u - -(-shard * self.v // self.shards)
+        rank = np.searchsorted(self.hot, u)
+        hot = rank < len(self.hot)
+        hot[hot] = self.hot[rank[hot]] == u[hot]
+        shard[hot] = (mix(mix(u[hot].astype(U)) ^ v[hot].astype(U)) % U(self.shards)).astype(np.int64)
+        code[hot] = self.range + rank[hot]
+        return shard, code
+
+    def shard(self, s: int) -> tuple | None:
+        """contexts, pointers, pairs, pointers of pairs, triples; their three code books; and three arrays of codes."""
+        got = _file(self.uri, f"grams-{s:06d}", 5)
+        if got is None:
+            return None
+        levels, rest = got
+        books = np.frombuffer(rest, "<f4", 768).reshape(3, 256)
+        k, n = levels[2].n, levels[4].n
+        return levels, books, (rest[3072 : 3072 + k], rest[3072 + k : 3072 + 2 * k], rest[3072 + 2 * k : 3072 + 2 * k + n])
+
+
+@lru_cache(1024)
 def _file(uri: str, name: str, sequences: int):
-    """The Elias-Fano sequences of a memory-mapped file and the bytes after them."""
-    data, at, out = _opened(uri, name), 0, []
+    """The Elias-Fano sequences of a memory-mapped file and the bytes after them; None if no token led to the file."""
+    try:
+        data, at, out = _opened(uri, name), 0, []
+    except FileNotFoundError:
+        return None
     for _ in range(sequences):
         out.append(eliasfano.Sequence(data, at))
         at = out[-1].end
     return out, np.frombuffer(data, np.uint8, offset=at)
 
 
-def learn(docs: DataFrame, uri: str, mu: float = MU) -> Trie:
+def learn(docs: DataFrame, uri: str, mu: tuple[float, float] = MU) -> Trie:
     """Builds the trie of all texts of docs in the folder."""
     store, folder = fs.FileSystem.from_uri(uri)
     store.create_dir(folder)
@@ -258,92 +319,132 @@ def learn(docs: DataFrame, uri: str, mu: float = MU) -> Trie:
     about = (size[0] or 0) // 6 + size[1]
     bits = max(0, int(about // VOCABULARY_SHARD).bit_length())
     shift = U(64 - bits)
+    least = max(HOT_CONTEXT, about // SHARE)
 
-    def find(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def find(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         t, _ = tokens(part)
-        return t, (t >> shift).astype(np.int64) if bits else np.zeros(len(t), np.int64)
+        return t, np.zeros(len(t), U), (t >> shift).astype(np.int32) if bits else np.zeros(len(t), np.int32)
 
-    def build(shard: int, blocks: list[bytes]) -> tuple[int, int]:
-        keys, counts = merge(blocks)
+    def build(shard: int, blocks: list[bytes]) -> tuple:
+        keys, _, counts = merge(blocks)
         low = keys << U(bits) >> U(bits + 1)  # without the shard's bits, and 63 bits at most
         first = runs(low)  # two hashes that differ in the last bit alone count as one word
         low, counts = low[first], np.add.reduceat(counts, first)
         sums = np.r_[0, np.cumsum(counts)].astype(U)
         save(uri, f"words-{shard:06d}", [eliasfano.encode(low, 1 << 63 - bits), eliasfano.encode(sums, int(sums[-1]) + 1)])
-        return len(low), int(counts.sum())
+        hot = np.flatnonzero(counts >= least)
+        return len(low), int(counts.sum()), hot.tolist(), counts[hot].tolist()
 
-    def shards(n: int, find: Callable, build: Callable) -> list[tuple[int, int, int]]:
+    def shards(n: int, find: Callable, build: Callable) -> list[tuple]:
         parts = docs.mapInArrow(_blocks(find), "shard int, block binary")
         parts = parts.repartition(n, "shard").sortWithinPartitions("shard")
-        return [tuple(r) for r in parts.mapInArrow(_by_shard(build), "shard int, n long, total long").collect()]  # a row a shard
+        return [tuple(r) for r in parts.mapInArrow(_by_shard(build), _BUILT).collect()]  # a row a shard
 
-    trie = Trie(uri, bits, shards(1 << bits, find, build), max(1, int(about // PAIR_SHARD)), mu)
+    trie = Trie(uri, bits, shards(1 << bits, find, build), max(1, int(about // GRAM_SHARD)), least, mu)
 
-    def find_pairs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def find_triples(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         t, first = tokens(part)
-        ids, counts = trie.words(t)
-        u = contexts(ids, first, _end(trie)[0])
-        shard = trie.shard_of(u, ids, contexts(counts, first, _end(trie)[1]))
-        return u.astype(U) * U(trie.v) + ids.astype(U), shard
-
-    def build_pairs(shard: int, blocks: list[bytes]) -> tuple[int, int]:
-        keys, counts = merge(blocks)
-        u, w = (keys // U(trie.v)).astype(np.int64), (keys % U(trie.v)).astype(np.int64)
-        at = runs(u)
-        own = u[at]
-        order = np.argsort(w, kind="stable")
-        c = np.empty(len(w), np.int64)
-        c[order] = trie.counts(w[order])
-        cu = np.repeat(trie.counts(own), np.diff(np.r_[at, len(u)]))
-        p = np.log10((counts + mu * trie.base_probability(c)) / (cu + mu))
-        codes = np.clip(np.rint(-p / STEP), 0, 255).astype(np.uint8)
-        number = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(u)])).astype(U)
-        after = number * U(trie.v) + w.astype(U)
-        pointers = np.r_[at, len(u)].astype(U)
-        save(uri, f"pairs-{shard:06d}", [eliasfano.encode(own.astype(U), trie.v), eliasfano.encode(pointers, len(u) + 1), eliasfano.encode(after, len(at) * trie.v), codes.tobytes()])
-        return len(u), int(counts.sum())
+        distinct, back = np.unique(t, return_inverse=True)
+        ids = trie.words(distinct)[0][back]
+        u = before(ids, first, trie.end[0])
+        shard, code = trie.places(u, ids)
+        return code.astype(U) * U(trie.v) + ids.astype(U), after(ids, first, trie.v).astype(U), shard.astype(np.int32)
+
+    def build_grams(shard: int, blocks: list[bytes]) -> tuple:
+        a, w, counts = merge(blocks)
+        first = runs(a)
+        pair, own = a[first], np.add.reduceat(counts, first)
+        u, v = (pair // U(trie.v)).astype(np.int64), pair % U(trie.v)
+        context = runs(u)
+        of = np.repeat(np.arange(len(context)), np.diff(np.r_[context, len(u)]))
+        total, hot = np.add.reduceat(own, context), u[context] >= trie.range
+        total[hot] = trie.hot_counts[u[context][hot] - trie.range]
+        real = w < U(trie.v)  # else nothing follows
+        follows = np.add.reduceat(np.where(real, counts, 0), first)
+        number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(a)]))[real]
+        ends = np.r_[0, np.cumsum(np.bincount(number, minlength=len(first)))]
+        starts = np.r_[context, len(u)]
+        m2, m3 = trie.mu
+        codes, books = zip(*map(code_book, (np.log10(own / (total[of] + m2)), np.log10(m3 / (follows + m3)), np.log10(counts[real] / (follows[number] + m3)))), strict=True)
+        pairs, triples = relative(v, starts), relative(w[real], ends)
+        above = lambda x: int(x[-1]) + 1 if len(x) else 1
+        levels = [(u[context].astype(U), int(u[-1]) + 1), (starts.astype(U), len(u) + 1), (pairs, above(pairs)), (ends.astype(U), len(number) + 1), (triples, above(triples))]
+        save(uri, f"grams-{shard:06d}", [*(eliasfano.encode(x, n) for x, n in levels), *(b.tobytes() for b in books), *(c.tobytes() for c in codes)])
+        return len(u), len(number), [], []
 
     if trie.v:
-        trie.pairs = {s for s, _, _ in shards(trie.pair_shards, find_pairs, build_pairs)}
+        shards(trie.shards, find_triples, build_grams)
     return trie
 
 
-def _end(trie: Trie) -> tuple[int, int]:
-    got = getattr(trie, "_end", None)
-    if got is None:
-        i, c = trie.words(np.array([END]))
-        got = trie._end = (int(i[0]), int(c[0]))
-    return got
+def probabilities(part: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' borders, and count, base and model probability of each token."""
+    t, first = tokens(part)
+    distinct, local = np.unique(t, return_inverse=True)
+    ids, counts = trie.words(distinct) if trie.v else (np.full(len(distinct), -1), np.zeros(len(distinct), np.int64))
+    n = len(distinct)
+    end = int(np.searchsorted(distinct, END))  # each row has one
+    prior = before(local, first, end)
+    base = trie.base_probability(counts[local])
+    m2, m3 = trie.mu
+    p = m2 / (counts[prior] + m2) * base
+    pairs, pair = np.unique(prior * n + local, return_inverse=True)
+    u, v = ids[pairs // n], ids[pairs % n]
+    shard, place, weight, own = np.full(len(pairs), -1), np.full(len(pairs), -1), np.ones(len(pairs)), np.zeros(len(pairs))
+    known = np.flatnonzero((u >= 0) & (v >= 0))
+    shard[known], code = trie.places(u[known], v[known])
+    numbers = np.empty(len(pairs), np.int64)
+    numbers[known] = code
+    # the tokens that follow a pair of their row
+    later = np.ones(len(t), bool)
+    later[first[:-1]] = False
+    later = np.flatnonzero(later)
+    wanted, triple = np.unique(pair[later - 1] * n + local[later], return_inverse=True)
+    from_pair, w = wanted // n, ids[wanted % n]
+    third = np.zeros(len(wanted))
+    order, of = np.argsort(shard, kind="stable"), np.argsort(shard[from_pair], kind="stable")
+    present = np.unique(shard[known])
+    cut, cut3 = (np.stack([np.searchsorted(shard[x], present, side) for side in ("left", "right")]).T.tolist() for x in (order, from_pair[of]))
+    for s, (lo, hi), (lo3, hi3) in zip(present.tolist(), cut, cut3, strict=True):
+        got = trie.shard(s)
+        if got is None:
+            continue
+        (contexts, starts, seconds, ends, thirds), books, codes = got
+        at = order[lo:hi]
+        c = contexts.find(numbers[at].astype(U))
+        at, c = at[c >= 0], c[c >= 0]
+        i = within(seconds, starts, c, v[at].astype(U))
+        at, i = at[i >= 0], i[i >= 0]
+        place[at], own[at], weight[at] = i, 10.0 ** books[0][codes[0][i]], 10.0 ** books[1][codes[1][i]]
+        at = of[lo3:hi3]
+        at = at[(place[from_pair[at]] >= 0) & (w[at] >= 0)]
+        i = within(thirds, ends, place[from_pair[at]], w[at].astype(U))
+        at, i = at[i >= 0], i[i >= 0]
+        third[at] = 10.0 ** books[2][codes[2][i]]
+    p = p + own[pair]
+    p[later] = third[triple] + weight[pair[later - 1]] * p[later]
+    return first, counts[local], base, p
 
 
 def score(docs: DataFrame, trie: Trie, columns: list[str]) -> DataFrame:
     """The named columns, n_tokens, n_known, train_tokens, base_score, score."""
+    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    no_clash(columns, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
-            t, first = tokens(part)
-            ids, counts = trie.words(t)
-            base = trie.base_probability(counts)
-            end = _end(trie)
-            u, cu = contexts(ids, first, end[0]), contexts(counts, first, end[1])
-            model = np.log10(np.where(cu > 0, trie.mu * base / (cu + trie.mu), base))
-            both = np.flatnonzero((ids >= 0) & (u >= 0))
-            distinct, back = np.unique(u[both].astype(U) << U(32) | ids[both].astype(U), return_inverse=True)
-            where = np.empty(len(distinct), np.int64)
-            where[back] = both
-            codes = trie.pair_codes((distinct >> U(32)).astype(np.int64), (distinct & U(0xFFFFFFFF)).astype(np.int64), cu[where])[back]
-            model[both[codes >= 0]] = -STEP * codes[codes >= 0]
+            first, counts, base, model = probabilities(part, trie)
             rows = first[:-1]
-            out = [np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), rows), np.full(part.num_rows, trie.n, np.int64), np.add.reduceat(np.log10(base), rows), np.add.reduceat(model, rows)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out)], [*columns, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out = [np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), rows), np.full(part.num_rows, trie.n, np.int64), np.add.reduceat(np.log10(base), rows), np.add.reduceat(np.log10(model), rows)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out)], [*columns, *added])
 
-    chosen = docs.select(*columns, "text")
+    chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns)
     return chosen.mapInArrow(run, kinds + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     trie = learn(docs.where(F.col("doc_id").isNotNull() & ~crc_is("doc_id", 7, 2)), fresh(spark, "lm"))
     return score(docs.select("doc_id", crc_is("doc_id", 7, 2).alias("held_out"), "text"), trie, ["doc_id", "held_out"])
 
