@@ -3,16 +3,17 @@
 Scores use statistics of all documents (their number, mean length, and each term's document frequency), so a document's
 score does not depend on its shard; each shard gives its k best for each query, and the k best of those are the answer.
 
-A shard is an inverted index of some thousands of documents, built in memory. For a query, the lists of its less frequent
-terms are added up document by document. Lists that hold over 1 / ``DENSE`` of a shard are kept by blocks of ``BLOCK``
-documents with each block's maximum, which bounds what they can add. WAND's test, whether the bound reaches the k-th best
-score so far, is made for all blocks: those with the best bounds are scored in full first, which raises the threshold,
-then the others whose bound still reaches it. ``CHUNK`` queries go through a block together. The threshold is carried on to
-a task's next shard. (Cursors that move from pivot to pivot, one query at a time, make the same test one document at a
-time; here it is made by arrays.)
-
-Queries are a stated set: they come to the driver in blocks of at most ``BLOCK_TERMS`` terms, each of which is broadcast to
-one scan for its terms' frequencies and one for the search. Only terms of the block are indexed.
+1. One scan builds the index: shards of at most ``SHARD_BYTES`` of text and ``SHARD_ROWS`` documents, each a file in the
+   shared folder with its terms, their lists, lengths and ids. A checkpointed table names the files.
+2. Queries are a stated set: they come to the driver in blocks of at most ``BLOCK_TERMS`` terms, each of which is broadcast
+   to two scans of the index, not of the texts: one of the shards' term directories for document frequencies, one to search.
+3. In a shard, documents are put in an order in which like ones are near each other, and each list of a query's term is cut
+   into blocks of ``BLOCK`` documents with its maximum in each. WAND's test is made on these, for all lists and all blocks of
+   the order at once: a block can hold a pivot only where the maxima of the lists that reach it sum to the k-th best score so
+   far. The blocks with the best sums are scored in full first, which raises the threshold, then those that still reach it;
+   postings of all other blocks are never touched. (Cursors that move one query at a time from pivot to pivot make the same
+   test, one document at a time.) Lists in over 1 / ``DENSE`` of a shard are kept as rows, the others as postings by block.
+   ``CHUNK`` queries go through a shard together, and thresholds are carried on to a task's next shard.
 
 score = sum over the query's words of idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)),
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)); words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Scores are rounded to
@@ -20,24 +21,29 @@ six places before they are ranked; ties go to the smaller doc_id (a null one is
 
 Defined cases: null and blank texts count as documents of length 0 and are never found; as queries they find nothing. A
 document without a word of the query is no answer, so a query may have fewer than k. Repeated document rows are separate
-documents; repeated query rows are answered each. Extra columns stay out.
+documents; repeated query rows are answered each. Extra columns stay out. Ids are whole numbers of up to 64 bits; others raise
+an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import Words, by_slice, member, slices, table, utf8
+from .checkpoints import fresh
+from .text import Words, as_long, by_slice, member, slices, spread, table, utf8
 
 K, K1, B = 10, 1.2, 0.75
-BLOCK, DENSE, CHUNK, SHARD_BYTES, BLOCK_TERMS = 64, 16, 64, 24 << 20, 2_000_000
+BLOCK, DENSE, CHUNK, SHARD_BYTES, SHARD_ROWS, BLOCK_TERMS = 64, 16, 64, 24 << 20, 1 << 16, 2_000_000
 _ROUND = 6
+_KINDS = ("<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
 
 
 def bags(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,39 +101,111 @@ def _block(held: list[tuple], number: int) -> Queries:
     return Queries(np.array([-1 if i is None else i for i, _, _ in held]), np.array([i is None for i, _, _ in held]), np.arange(number, number + len(held)), terms, first, term, np.concatenate([c for _, _, c in held]))
 
 
-def frequencies(docs: DataFrame, q: Queries) -> None:
-    """Sets the block's weights (count in the query * idf) from all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(q.terms)
+def _saved(uri: str, arrays: list[np.ndarray]) -> str:
+    """Writes the arrays of _KINDS as a file of the folder; its name."""
+    store, folder = fs.FileSystem.from_uri(uri)
+    name, codec = uuid.uuid4().hex, pa.Codec("zstd", compression_level=1)
+    with store.open_output_stream(f"{folder}/{name}") as out:
+        for x, kind in zip(arrays, _KINDS, strict=True):
+            raw = x.astype(kind).tobytes()
+            data = codec.compress(raw).to_pybytes()
+            out.write(np.array([len(raw), len(data)], "<u8").tobytes() + data)
+    return name
+
+
+def _loaded(uri: str, name: str, some: int = len(_KINDS)) -> list[np.ndarray]:
+    """The first arrays of a file."""
+    store, folder = fs.FileSystem.from_uri(uri)
+    codec, out = pa.Codec("zstd"), []
+    with store.open_input_file(f"{folder}/{name}") as f:
+        for kind in _KINDS[:some]:
+            raw, size = np.frombuffer(f.read(16), "<u8").tolist()
+            out.append(np.frombuffer(codec.decompress(f.read(size), raw), kind))
+    return out
+
+
+@dataclass
+class Index:
+    """files: file, documents, words of each shard."""
+
+    uri: str
+    files: DataFrame
+    documents: int
+    words: int
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, size, rows = [], 0, 0
+    for part in slices(batches):
+        for lo in range(0, part.num_rows, SHARD_ROWS):
+            piece = part.slice(lo, SHARD_ROWS)
+            if held and rows + piece.num_rows > SHARD_ROWS:
+                yield held
+                held, size, rows = [], 0, 0
+            held.append(piece)
+            rows += piece.num_rows
+            size += len(utf8(piece.column("text"))[0])
+            if size >= SHARD_BYTES:
+                yield held
+                held, size, rows = [], 0, 0
+    if held:
+        yield held
+
+
+def index(docs: DataFrame) -> Index:
+    """Builds the index of docs (doc_id, text) in the shared folder."""
+    uri = fresh(docs.sparkSession, "bm25")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for parts in _shards(batches):
+            every, n = [], 0
+            for part in parts:
+                row, h, tf, length = bags(part)
+                every.append((row + n, h, tf, length, part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), part.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
+                n += part.num_rows
+            doc, h, tf, length, ids, none = (np.concatenate(x) for x in zip(*every, strict=True))
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            rows.append((_saved(uri, [h[start], np.r_[start, len(h)], doc[order], tf[order], length, ids, none]), n, int(length.sum())))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "documents", "words"])
+        pa.default_memory_pool().release_unused()
+
+    files = as_long(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "file string, documents long, words long").checkpoint()
+    total = files.agg(F.sum("documents"), F.sum("words")).first()
+    return Index(uri, files, total[0] or 0, total[1] or 0)
+
+
+def frequencies(of: Index, q: Queries) -> None:
+    """Sets the block's weights (count in the query * idf) from the term directories of all shards."""
+    shared, uri = of.files.sparkSession.sparkContext.broadcast(q.terms), of.uri
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(shared.value), np.int64)
-        documents = words = 0
-        for part in slices(batches):
-            _, h, _, length = bags(part)
-            at = member(shared.value, h)
-            df += np.bincount(at[at >= 0], minlength=len(df))
-            documents, words = documents + part.num_rows, words + int(length.sum())
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                terms, start = _loaded(uri, name, 2)
+                at = member(terms, shared.value)
+                some = np.flatnonzero(at >= 0)
+                df[some] += np.diff(start.astype(np.int64))[at[some]]
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1, -2]), pa.array(np.r_[df[some], documents, words])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "n"])
 
-    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = of.files.select("file").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(len(q.terms), np.int64)
-    words = 0
     for r in got.toLocalIterator():  # at most a row for each term of the block
-        if r.term >= 0:
-            df[r.term] = r.n
-        elif r.term == -1:
-            q.documents = r.n
-        else:
-            words = r.n
-    q.mean_length = max(words, 1) / max(q.documents, 1)
+        df[r.term] = r.n
+    q.documents, q.mean_length = of.documents, max(of.words, 1) / max(of.documents, 1)
     q.weight = q.weight * np.log(1 + (q.documents - df + 0.5) / (df + 0.5))[q.term]
 
 
 class Shard:
-    """An inverted index of some documents over the block's terms; impacts are what multiplies a term's weight.
+    """A shard's lists for a block's terms; impacts are what multiplies a term's weight.
 
     Documents are ordered by their strongest frequent term, so that a block's documents are alike and its maxima tight.
+    rows, maxima: the frequent lists. For the others, by term: entries (block, maximum, first posting) and their postings.
     """
 
     def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, terms: int) -> None:
@@ -147,11 +225,15 @@ class Shard:
         self.rows[:, :n] = rows[:, self.order]
         self.blocks = self.wide // BLOCK
         self.maxima = self.rows.reshape(len(self.dense), self.blocks, BLOCK).max(axis=2)
-        doc, term, impact = place[doc[~frequent]], term[~frequent], impact[~frequent]
-        order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order], impact[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
-        self.size = np.diff(self.start)
+        where, term, impact = place[doc[~frequent]], term[~frequent], impact[~frequent]
+        order = np.argsort(term * self.wide + where)
+        where, term, self.impact = where[order], term[order], impact[order]
+        self.place, block = where % BLOCK, where // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.posting = block[first], np.r_[first, len(term)]
+        self.top = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(term[first], np.arange(terms + 1))
+        self.entries = np.diff(self.entry)
 
     def best(self, q: Queries, lo: int, hi: int, k: int, threshold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query from lo to hi: its number, and all documents that may be among its k best and reach its
@@ -159,102 +241,103 @@ class Shard:
         a, b, many = q.first[lo], q.first[hi], hi - lo
         term, weight = q.term[a:b], q.weight[a:b]
         query = np.repeat(np.arange(many), np.diff(q.first[lo : hi + 1]))
-        # the lists of the less frequent terms, document by document
-        some = np.flatnonzero(self.size[term])
-        n = self.size[term[some]]
-        total = int(n.sum())
-        at = np.repeat(self.start[term[some]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-        part = np.bincount(np.repeat(query[some] * self.wide, n) + self.doc[at], self.impact[at] * np.repeat(weight[some], n), many * self.wide).reshape(many, self.wide)
-        # what the frequent terms can add, block by block
+        # what the lists can add to each block
+        some = np.flatnonzero(self.entries[term])
+        n = self.entries[term[some]]
+        entry = np.repeat(self.entry[term[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cell, own = np.repeat(query[some], n) * self.blocks + self.block[entry], np.repeat(weight[some], n)
         number = self.number[term]
         frequent = np.flatnonzero(number >= 0)
         w = np.zeros((many, len(self.dense)))
         w[query[frequent], number[frequent]] = weight[frequent]
-        bound = part.reshape(many, self.blocks, BLOCK).max(axis=2) + w @ self.maxima
-        left = bound > 0
-        found: list[list[np.ndarray]] = [[] for _ in range(many)]
-        docs: list[list[np.ndarray]] = [[] for _ in range(many)]
-        slack, rank, done = 10.0**-_ROUND, np.argsort(-bound, axis=1), 0
-        step = 2
+        bound = np.bincount(cell, self.top[entry] * own, many * self.blocks).reshape(many, self.blocks) + w @ self.maxima
+        possible = bound > 0
+        slack, rank, done, step = 10.0**-_ROUND, np.argsort(-bound, axis=1), 0, 2
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(many)]
         while done < self.blocks:
             # each query's next blocks by bound; thresholds rise between the rounds
-            now = np.zeros_like(left)
+            now = np.zeros_like(possible)
             np.put_along_axis(now, rank[:, done : done + step], True, axis=1)
-            now &= left & (bound >= threshold[lo:hi, None] - slack)
+            now &= possible & (bound >= threshold[lo:hi, None] - slack)
             done, step = done + step, step * 4
-            for j in np.flatnonzero(now.any(axis=0)).tolist():
-                rows = np.flatnonzero(now[:, j])
-                cut = slice(j * BLOCK, (j + 1) * BLOCK)
-                scores = part[rows, cut] + w[rows] @ self.rows[:, cut]
-                r, x = np.nonzero(scores >= np.maximum(threshold[lo + rows, None] - slack, slack))
-                for i in np.flatnonzero(np.bincount(r, minlength=len(rows))).tolist():
-                    c0, c1 = np.searchsorted(r, (i, i + 1))
-                    found[rows[i]].append(scores[i, x[c0:c1]])
-                    docs[rows[i]].append(x[c0:c1] + j * BLOCK)
-            for i in np.flatnonzero(now.any(axis=1)).tolist():
-                if found[i]:
-                    s, d = np.concatenate(found[i]), np.concatenate(docs[i])
-                    if len(s) >= k:
-                        threshold[lo + i] = max(threshold[lo + i], float(np.partition(s, -k)[-k]))
-                        ok = s >= threshold[lo + i] - slack
-                        s, d = s[ok], d[ok]
-                    found[i], docs[i] = [s], [d]
-        for i in range(many):
-            if found[i]:
-                s, d = np.concatenate(found[i]), np.concatenate(docs[i])
-                ok = (d < self.n) & (s >= threshold[lo + i] - slack)
-                yield lo + i, self.order[d[ok]], np.round(s[ok], _ROUND)
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    held, size = [], 0
-    for part in slices(batches):
-        held.append(part)
-        size += len(utf8(part.column("text"))[0])
-        if size >= SHARD_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+            rows, columns = np.nonzero(now)
+            if not len(rows):
+                continue
+            # the postings of these blocks alone
+            slot = np.full(many * self.blocks, -1, np.int32)
+            slot[rows * self.blocks + columns] = np.arange(len(rows))
+            here = np.flatnonzero(slot[cell] >= 0)
+            e = entry[here]
+            size = self.posting[e + 1] - self.posting[e]
+            at = np.repeat(self.posting[e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            scores = np.bincount(np.repeat(slot[cell[here]].astype(np.int64) * BLOCK, size) + self.place[at], self.impact[at] * np.repeat(own[here], size), len(rows) * BLOCK).astype(float).reshape(len(rows), BLOCK)
+            for j in np.unique(columns).tolist() if len(self.dense) else ():
+                those = np.flatnonzero(columns == j)
+                scores[those] += w[rows[those]] @ self.rows[:, j * BLOCK : (j + 1) * BLOCK]
+            r, x = np.nonzero(scores >= np.maximum(threshold[lo + rows, None] - slack, slack))
+            s, x = scores[r, x], columns[r] * BLOCK + x
+            cut = np.searchsorted(rows[r], np.arange(many + 1))
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                each = slice(cut[i], cut[i + 1])
+                old, places = found[i]
+                values, places = np.r_[old, s[each]], np.r_[places, x[each]]
+                if len(values) >= k:
+                    threshold[lo + i] = max(threshold[lo + i], float(np.partition(values, -k)[-k]))
+                    ok = values >= threshold[lo + i] - slack
+                    values, places = values[ok], places[ok]
+                found[i] = values, places
+        for i, (values, places) in enumerate(found):
+            ok = (places < self.n) & (values >= threshold[lo + i] - slack)
+            if ok.any():
+                yield lo + i, self.order[places[ok]], np.round(values[ok], _ROUND)
+
+
+def _postings(start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists at (-1: none): the places of all their postings, and each one's list."""
+    some = np.flatnonzero(at >= 0)
+    lo = start[at[some]].astype(np.int64)
+    n = start[at[some] + 1] - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(some, n)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """query_id, rank (from 1), doc_id, score for docs (doc_id, text) and queries (query_id, text)."""
-    spark, out = docs.sparkSession, None
+    return ask(index(docs), queries, k, block_terms)
+
+
+def ask(of: Index, queries: DataFrame, k: int = K, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """The same from an index."""
+    spark, out, uri = of.files.sparkSession, None, of.uri
     schema = "number long, query_id long, doc_id long, score double"
-    for q in blocks(queries, block_terms):
-        frequencies(docs, q)
+    for q in blocks(as_long(queries.select("query_id", "text"), "query_id"), block_terms):
+        frequencies(of, q)
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q = shared.value
             threshold = np.zeros(len(q.ids))
-            for parts in _shards(batches):
-                docs_, terms_, impacts, ids, n = [], [], [], [], 0
-                for part in parts:
-                    row, h, tf, length = bags(part)
-                    at = member(q.terms, h)
-                    ok = at >= 0
+            for batch in batches:
+                for name in batch.column("file").to_pylist():
+                    terms, start, doc, tf, length, ids, none = _loaded(uri, name)
+                    at, term = _postings(start, member(terms, q.terms))
+                    doc, tf, n = doc[at].astype(np.int64), tf[at].astype(np.float64), len(length)
                     norm = K1 * (1 - B + B * length / q.mean_length)
-                    docs_.append(row[ok] + n)
-                    terms_.append(at[ok])
-                    impacts.append(tf[ok] * (K1 + 1) / (tf[ok] + norm[row[ok]]))
-                    ids += part.column("doc_id").to_pylist()
-                    n += part.num_rows
-                shard = Shard(n, np.concatenate(docs_), np.concatenate(terms_), np.concatenate(impacts), len(q.terms))
-                order_id = np.array([float("inf") if i is None else i for i in ids]) if None in ids else np.array(ids)
-                rows: list[tuple] = []
-                for lo in range(0, len(q.ids), CHUNK):
-                    for i, found, scores in shard.best(q, lo, min(lo + CHUNK, len(q.ids)), k, threshold):
-                        if len(found) > k:
-                            best = np.lexsort((order_id[found], -scores))[:k]
-                            found, scores = found[best], scores[best]
-                        rows += [(i, d, s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
-                if rows:
-                    i = np.array([r[0] for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array([ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["number", "query_id", "doc_id", "score"])
-
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+                    shard = Shard(n, doc, term, tf * (K1 + 1) / (tf + norm[doc]), len(q.terms))
+                    rank = np.lexsort((ids, none))
+                    rank[rank] = np.arange(n)  # a document's place by id, null ones last
+                    held: list[tuple] = []
+                    for lo in range(0, len(q.ids), CHUNK):
+                        for i, found, scores in shard.best(q, lo, min(lo + CHUNK, len(q.ids)), k, threshold):
+                            if len(found) > k:
+                                best = np.lexsort((rank[found], -scores))[:k]
+                                found, scores = found[best], scores[best]
+                            held.append((np.full(len(found), i), found, scores))
+                    if held:
+                        i, found, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array(ids[found], mask=none[found].astype(bool)), pa.array(scores)], ["number", "query_id", "doc_id", "score"])
+            pa.default_memory_pool().release_unused()
+
+        found = of.files.select("file").mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -269,7 +352,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, block_terms: int = B
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id is divisible by 100, in full, as a query against all documents."""
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    return search(spread(docs), docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
 
 
 SQL = {
