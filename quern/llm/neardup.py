@@ -3,43 +3,48 @@
 Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``); two are linked if
 100 * intersection >= percent * union, and a component is what links connect.
 
-1. Documents with equal sets form a class; its smallest id stands for it. Only these go on, so copies are never paired.
+1. Documents with equal sets form a class, numbered; one of them stands for it. Only these go on, so copies are never paired.
 2. Forest: ``TREES`` sorted orders, each of its own run of the signature's values. A tree's region is the documents that
    share its first ``DEPTH`` values. A pair at similarity s is in a common region with probability
    1 - (1 - s^3)^20, i.e. all but 6e-9 of the pairs at 0.85 and all but 6e-7 of those at 0.8.
-3. Round one: in each region, sorted by the rest of the order, a document's candidates are the region's first document
-   and its neighbour with the longest common prefix. Each document is verified against the candidate that it meets in
-   most trees, so one pair a document, and links are joined to components.
+3. Round one: candidates are each document's neighbours in the sorted order of a tree, which have the longest common prefix
+   with it, and the first document of its region. Each document is verified against the candidates that it meets in most
+   trees, and links are joined to components.
 4. Round two: in regions whose documents lie in several components, each document's shingles that occur in another
    component are counted. Documents are verified against the region's most central one, that with the most of them.
 5. Round three, so that no link is lost: what still lies in several components of a region is compared across components,
-   every pair, in blocks. Regions over ``DENSE`` documents go ``DEEPER`` values deeper (adaptive depth; of pairs at 0.85 all
-   but 4e-7 still share one of 20 regions of four values, at 0.8 all but 3e-5). Pairs are left out only where a link is
-   ruled out by the sizes, by the counts of round two, or by how many shingles a document shares with its main component
-   as a whole, or where so few of the 60 signature values agree as 5 standard deviations below the threshold.
+   every pair, in blocks. Here the forest is descended: a region of over ``DENSE`` documents is split by its next value, and
+   so on for up to ``DEEPER`` values, until it is small. (A pair that is split in every tree and that no chain of links
+   joins is missed: at 0.85 at most 4e-7 of the pairs in regions that are one deeper, 4e-4 at the full depth.) Pairs are left
+   out only where a link is ruled out by the sizes, by the counts of round two, or by how many shingles a document shares with
+   its main component as a whole, or where as few of the 60 signature values agree as 8 standard deviations below the
+   threshold (of pairs at 0.85 less than 1e-12).
 6. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
 
-Sets are recomputed from texts, which are shipped compressed and only to their pairs.
+Texts lie in blocks (``blocks.py``); only those of documents that share a region are read again, compressed, and sent to
+their pairs.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five words
-have one shingle, the whole sequence. Of rows that share an id but not the set, the set with the smallest fingerprint can
-be linked, the others keep their id as component. Rows with a null id get a null component and are kept. Each row
-reports its own n_shingles.
+have one shingle, the whole sequence. Rows that share an id are linked each by its own set. Rows with a null id get a null
+component, are linked with nothing and are kept. Each row reports its own n_shingles. Thresholds below 80 % are refused, as
+20 trees of three values would miss too many links. Ids are whole numbers of up to 64 bits; others raise an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import BYTE_BASE, WORD_BASE, Words, by_slice, mix, prefix, runs, span_hash, squeezed, table, unsqueezed, utf8
+from .blocks import Blocks, store
+from .checkpoints import folder
+from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, no_clash, prefix, runs, span_hash, table, utf8
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
-DEEPER, DENSE, PAIR_BLOCK = 1, 2048, 1024
+DEEPER, DENSE, PAIR_BLOCK = 4, 2048, 1024
 _ROW_BITS = 13
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BYTE_BASE))
 
@@ -79,22 +84,23 @@ def _sum_by_row(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return c[first[1:]] - c[first[:-1]]
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, f1, f2 (of the set), sig of each row."""
+def fingerprints(blocks: Blocks, size: int) -> DataFrame:
+    """doc_id, own, block, row, n, f1, f2 (of the set), sig of each row."""
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        h, first = sets(part, size)
-        sig = signatures(h, first)
-        f = [_sum_by_row(mix(h ^ np.uint64(s)), first).view(np.int64) for s in (11, 12)]
-        packed = pa.array([r.tobytes() for r in sig], pa.binary())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(np.diff(first)), *map(pa.array, f), packed], ["doc_id", "t", "n", "f1", "f2", "sig"])
+    def run(block: int, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, whole.num_rows, 1 << _ROW_BITS):
+            part = whole.slice(lo, 1 << _ROW_BITS)
+            h, first = sets(part, size)
+            f = [_sum_by_row(mix(h ^ np.uint64(s)), first).view(np.int64) for s in (11, 12)]
+            packed = pa.array([r.tobytes() for r in signatures(h, first)], pa.binary())
+            where = [pa.array(np.full(part.num_rows, block)), pa.array(np.arange(lo, lo + part.num_rows, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("own"), part.column("doc_id"), *where, pa.array(np.diff(first)), *map(pa.array, f), packed], ["own", "doc_id", "block", "row", "n", "f1", "f2", "sig"])
 
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return own.mapInArrow(by_slice(run), "doc_id long, t long, n long, f1 long, f2 long, sig binary")
+    return blocks.each(run, f"own {blocks.kinds['own']}, doc_id long, block long, row int, n long, f1 long, f2 long, sig binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """tree, key (hash of the first DEPTH values), deep (of DEEPER more), rest (the order within a region), rep."""
+    """tree, key (hash of the first DEPTH values), rest, more (the DEEPER values after them, in order), rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,20 +114,69 @@ def forest(reps: DataFrame) -> DataFrame:
                 key = np.zeros(n, np.uint64)
                 for j in range(DEPTH):
                     key = mix(key ^ (order[:, j] + np.uint64(j + 1)))
-                deep = key
-                for j in range(DEPTH, DEPTH + DEEPER):
-                    deep = mix(deep ^ (order[:, j] + np.uint64(j + 1)))
-                rest = (order[:, DEPTH] << np.uint64(32) | order[:, DEPTH + 1]) ^ np.uint64(1 << 63)
-                out.append((np.full(n, t, np.int32), key.view(np.int64), deep.view(np.int64), rest.view(np.int64)))
+                next_ = [(order[:, DEPTH + j] << np.uint64(32) | order[:, DEPTH + j + 1]) ^ np.uint64(1 << 63) for j in (0, 2)]
+                out.append((np.full(n, t, np.int32), key.view(np.int64), *(x.view(np.int64) for x in next_)))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.chunked_array([b.column("rep")] * TREES).combine_chunks()], ["tree", "key", "deep", "rest", "rep"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.chunked_array([b.column("rep")] * TREES).combine_chunks()], ["tree", "key", "rest", "more", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "tree int, key long, rest long, more long, rep long")
+
+
+def descended(rows: DataFrame) -> DataFrame:
+    """tree, part, rep: the regions of rows (tree, key, rest, more, rep, many), those of over DENSE documents split by their next
+    values until they are small or no value is left."""
+    high = lambda c: F.shiftright(c, 32)
+    paths = [("key", high("rest")), ("key", "rest"), ("key", "rest", high("more")), ("key", "rest", "more")]
+    out, big = rows.where(F.col("many") <= DENSE).select("tree", F.col("key").alias("part"), "rep"), rows.where(F.col("many") > DENSE)
+    if not big.limit(1).count():
+        return out
+    big = settled(big, 1_000_000)
+    for depth, path in enumerate(paths[:DEEPER], 1):
+        big = big.withColumn("part", F.xxhash64(F.lit(depth), *path))
+        sizes = settled(big.groupBy("tree", "part").agg(F.count("*").alias("size")).where("size > 1"))
+        big = settled(big.join(sizes, ["tree", "part"]), 1_000_000)
+        last = F.lit(depth == DEEPER)
+        out = out.union(big.where((F.col("size") <= DENSE) | last).select("tree", "part", "rep"))
+        big = big.where((F.col("size") > DENSE) & ~last).drop("size", "part")
+        if not big.limit(1).count():
+            break
+    return out
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """a, b: documents that stand next to each other in a tree's order and share its region. The order is cut into ranges, so
+    that a large region is many tasks; two that a cut parts meet in other trees or rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, key, rep = (b.column(c).to_numpy() for c in ("tree", "key", "rep"))
+            if last is not None:
+                tree, key, rep = (np.r_[x, y] for x, y in zip(last, (tree, key, rep), strict=True))
+            last = tree[-1:], key[-1:], rep[-1:]
+            ok = (tree[1:] == tree[:-1]) & (key[1:] == key[:-1])
+            x, y = rep[1:][ok], rep[:-1][ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    order = ["tree", "key", "rest", "more", "rep"]
+    return rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
-    return reps.select("rep", "sig").mapInArrow(run, "tree int, key long, deep long, rest long, rep long")
 
+def texts_of(blocks: Blocks, used: DataFrame) -> DataFrame:
+    """rep, z: the compressed texts of used (rep, block, row)."""
+    wanted = used.groupBy("block").agg(F.collect_list(F.struct("row", "rep")).alias("rows")).withColumn("part", F.lit(0))  # at most a block's rows
 
-def _squeeze(docs: DataFrame) -> DataFrame:
-    """rep, t, z: the texts compressed, with their fingerprint."""
-    return squeezed(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("t"), F.col("text").alias("z")), "z")
+    def run(block: int, read: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        own, codec = rows[0][1].values, pa.Codec("zstd", compression_level=1)
+        raw = [t.encode() for t in read().column("text").take(own.field("row")).to_pylist()]
+        z = [len(r).to_bytes(8, "little") + codec.compress(r).to_pybytes() for r in raw]
+        yield pa.RecordBatch.from_arrays([own.field("rep"), pa.array(z, pa.binary())], ["rep", "z"])
+
+    return blocks.beside(wanted, run, "rep long, z binary")
 
 
 def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -130,7 +185,8 @@ def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     for z in column.to_pylist():
         got = known.get(z)
         if got is None:
-            part = pa.RecordBatch.from_arrays([unsqueezed(pa.array([z], pa.binary()))], ["text"])
+            raw = pa.Codec("zstd").decompress(z[8:], int.from_bytes(z[:8], "little")).to_pybytes()
+            part = pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["text"])
             if len(known) > 64:
                 known.clear()
             got = known[z] = sets(part, size)[0]
@@ -238,7 +294,7 @@ def _in_blocks(left: DataFrame) -> DataFrame:
 
 def _cross(percent: int):
     """Within each region (rows arrive sorted by it), the pairs of different components that may be linked."""
-    least = int(TREES * DEPTH * percent / 100 - 5 * np.sqrt(TREES * DEPTH * percent / 100 * (1 - percent / 100)))
+    least = int(TREES * DEPTH * percent / 100 - 8 * np.sqrt(TREES * DEPTH * percent / 100 * (1 - percent / 100)))
 
     before = [(np.arange(t)[:, None] * DEPTH + np.arange(DEPTH + DEEPER)) % (TREES * DEPTH) for t in range(TREES)]
 
@@ -290,56 +346,67 @@ def _favourites(star: DataFrame) -> DataFrame:
     return best.select("a", (-F.col("x.b")).alias("b"))
 
 
-def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
-    prints = fingerprints(docs, size).checkpoint()
-    some = prints.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.first("sig").alias("sig"))
-    reps = reps.groupBy(F.col("x.doc_id").alias("rep")).agg(F.min(F.struct("f1", "f2", "n", "x.t", "sig")).alias("s")).select("rep", "s.*").checkpoint()
+def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """v, comp: the component of each linked class of reps (rep, block, row, n, sig); None without links."""
     rows = forest(reps)
     heads = settled(rows.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1"))
-    rows = settled(rows.join(heads, ["tree", "key"]).withColumn("part", F.when(F.col("many") > DENSE, F.col("deep")).otherwise(F.col("key"))), 1_000_000)
-    regions = rows.select("tree", "part", "rep")
-    used = settled(rows.select("rep").distinct().join(reps.select("rep", "t"), "rep"))
-    texts = settled(_squeeze(docs).join(used, ["rep", "t"], "left_semi").select("rep", "z"), 20_000)
-    # round one: the region's first document, and the neighbour in the sorted order
-    near = rows.withColumn("left", F.lag("rep").over(Window.partitionBy("tree", "part").orderBy("rest", "rep")))
-    star = near.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    star = star.union(near.where("left is not null").select(F.greatest("rep", "left"), F.least("rep", "left")))
-    found = components(settled(verified(settled(_favourites(star)), texts, size, percent)))
+    rows = settled(rows.join(heads, ["tree", "key"]), 1_000_000)
+    used = settled(rows.select("rep").distinct().join(reps.select("rep", "block", "row"), "rep"))
+    texts = settled(texts_of(blocks, used), 20_000)
+    # round one: the region's first document, and the neighbours in the sorted order
+    star = rows.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    near = neighbours(rows)
+    wanted = _favourites(star).union(_favourites(near)).union(_favourites(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = wanted.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = components(settled(verified(settled(pairs), texts, size, percent)))
     # round two: the most central document of regions that hold several components
+    regions = rows.select("tree", F.col("key").alias("part"), "rep")
     held = _spread(regions, found)
-    if held.limit(1).count():
-        shared = settled(shared_shingles(texts, held, size))
-        held = held.join(shared, "rep").join(reps.select("rep", "n"), "rep")
-        centre = settled(held.groupBy("tree", "part").agg(F.max(F.struct((F.col("m") - F.col("n")).alias("own"), "m", "rep", "comp")).alias("c")))
-        star = held.join(centre, ["tree", "part"]).where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
-        found = extended(found, settled(verified(settled(_favourites(star)), texts, size, percent)))
-        # round three: all pairs of different components that may be linked
-        left = _spread(regions, found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
-        left = settled(left.where(100 * F.col("m") >= percent * F.col("n")), 250_000)
-        left = left.join(shared_with_main(texts, left, size), "rep", "left")
-        none = F.lit(-1).cast("long")
-        left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig")
-        more = _in_blocks(left).mapInArrow(_cross(percent), "a long, b long").distinct()
-        more = settled(more)
-        if more.limit(1).count():
-            found = extended(found, settled(verified(more, texts, size, percent)))
-    of = reps.select("f1", "f2", "n", "rep").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = prints.join(of, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    if not held.limit(1).count():
+        return found
+    shared = settled(shared_shingles(texts, held, size))
+    held = held.join(shared, "rep").join(reps.select("rep", "n"), "rep")
+    centre = settled(held.groupBy("tree", "part").agg(F.max(F.struct((F.col("m") - F.col("n")).alias("own"), "m", "rep", "comp")).alias("c")))
+    star = held.join(centre, ["tree", "part"]).where("comp <> c.comp").select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
+    found = extended(found, settled(verified(settled(_favourites(star)), texts, size, percent)))
+    # round three: all pairs of different components that may be linked
+    left = _spread(descended(rows), found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
+    left = settled(left.where(100 * F.col("m") >= percent * F.col("n")), 250_000)
+    left = left.join(shared_with_main(texts, left, size), "rep", "left")
+    none = F.lit(-1).cast("long")
+    left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig")
+    more = settled(_in_blocks(left).mapInArrow(_cross(percent), "a long, b long").distinct())
+    return extended(found, settled(verified(more, texts, size, percent))) if more.limit(1).count() else found
+
+
+def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns, n_shingles, component_id and first (whether the row is the one of its component that stays: the
+    smallest text's place among the rows with the smallest id) of each row of docs (doc_id, text)."""
+    if percent < 80:
+        raise ValueError("thresholds below 80 % need more trees")
+    no_clash(columns, ["n_shingles", "component_id", "first"])
+    docs = as_long(docs, "doc_id")
+    blocks = store(docs.select(F.struct(*columns).alias("own"), "doc_id", "text"))
+    prints = fingerprints(blocks, size).checkpoint()
+    some = prints.where("n > 0 and doc_id is not null")
+    reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "block", "row")).alias("x"), F.first("sig").alias("sig"))
+    reps = reps.select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "n", "x.doc_id", "x.block", "x.row", "sig").checkpoint()
+    found = linked(blocks, reps, size, percent)
+    # of each component the row with the smallest id (ties: by its place), for all classes
+    of = reps.select("rep", "f1", "f2", "n", "doc_id", "block", "row").join(found.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    least = of.groupBy("comp").agg(F.min(F.struct("doc_id", "block", "row")).alias("least"))
+    of = of.join(least, "comp").select("f1", "f2", "n", "least")
+    out = prints.drop("sig").join(of, ["f1", "f2", "n"], "left")
+    # null ids and empty sets have a component of their own
+    alone = F.col("least").isNull() | F.col("doc_id").isNull()
+    first = alone | ((F.col("block") == F.col("least.block")) & (F.col("row") == F.col("least.row")))
+    return out.select("own.*", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_checkpoints(spark)
-    out = classes(table(spark, sf_dir, "documents"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    from .checkpoints import folder
-
     folder(spark)
+    out = classes(table(spark, sf_dir, "documents")).drop("first")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 SQL = {
