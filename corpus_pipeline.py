@@ -31,10 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    folder(spark)
-    found = neardup.classes(docs, percent=SIMILARITY_PERCENT)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = docs.select("doc_id", "text", F.struct("*").alias("own"))
+    return neardup.classes(own, percent=SIMILARITY_PERCENT, columns=("own",)).where("first").select("own.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
