@@ -10,8 +10,8 @@ each pass, and the groups that are left at full depth are exactly the repeated s
 2. The stretches left meet by anchor, with the bytes around it. Where the bytes around all anchors of a group are equal,
    compared byte by byte, its suffixes are equal as they stand. In the rest the suffixes are put in order by digits of
    eight bytes, most significant first, within (anchor, place of the anchor in the window).
-3. An anchor estimated at HOT or more occurrences could gather without bound in one task. There equal surroundings are
-   counted first (grouped by their bytes, with partial counts before the shuffle), and the suffixes of the different ones
+3. An anchor that is estimated frequent (a 65,536th of all stretches, or 16,384) could gather without bound in one task.
+   There the stretches are written out once and equal surroundings are counted first (grouped by their bytes, with partial counts before the shuffle), and the suffixes of the different ones
    are grouped by (anchor, place, remaining bytes): the same order, made by Spark's sort.
 
 Texts are read from blocks (``blocks.py``) by each pass; a removal names its block and place.
@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .blocks import Blocks, store
+from .checkpoints import fresh
 from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, table, utf8
 
-LENGTH, GRAM, HOT = 200, 100, 1024
+LENGTH, GRAM = 200, 100
+#: An anchor is frequent from a SHARE-th of all stretches on, but from HOT[0] at least and HOT[1] at most.
+SHARE, HOT = 1 << 16, (32, 1 << 14)
 _PLACE = 22  # bits of a place within a chunk
 _CHUNK = (1 << _PLACE) - 4096
 _ROWS = 1 << 14  # stretches that are handed on, or put in order, at a time
@@ -106,8 +109,9 @@ def _around(a: Anchors, which: np.ndarray) -> pa.Array:
 def stretches(blocks: Blocks, length: int) -> DataFrame:
     """key, block, at (place of the first window in the block's bytes), before (bytes before the anchor), n (windows), around,
     hot: the stretches whose anchor is estimated to repeat."""
-    bits = sketch.width_bits(blocks.total * 2 // (length - GRAM + 2) + 1)
-    answers = sketch.answers(blocks, lambda part: Anchors(*utf8(part.column("text")), length).key, bits, HOT)
+    about = blocks.total * 2 // (length - GRAM + 2) + 1
+    bits = sketch.width_bits(about)
+    answers = sketch.answers(blocks, lambda part: Anchors(*utf8(part.column("text")), length).key, bits, min(HOT[1], max(HOT[0], about // SHARE)))
 
     def find(block: int, read: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not any(np.frombuffer(r[1].as_py(), np.uint8).any() for r in rows):
@@ -247,7 +251,9 @@ def removals(blocks: Blocks, length: int) -> DataFrame:
     found = stretches(blocks, length)
     cold = found.where(~F.col("hot")).select("key", "block", "at", "before", "n", "around")
     cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_finish(length), "block long, at int, n int")
-    hot = found.where("hot")
+    path = fresh(found.sparkSession, "stretches")
+    found.where("hot").write.mode("overwrite").parquet(path)
+    hot = found.sparkSession.read.schema(found.schema).parquet(path)
     # equal surroundings are counted first; those that occur once carry their only place
     same = ["key", "before", "n", "around"]
     first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("block").alias("block"), F.first("at").alias("at")).checkpoint()

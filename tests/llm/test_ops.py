@@ -234,7 +234,7 @@ def brute_bytes(rows, length=200):
 
 @pytest.mark.parametrize("hot", [2, 8, 1 << 15])
 def test_suffixes(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT", (hot, hot))
     monkeypatch.setattr(suffixes, "_CHUNK", 9000)
     monkeypatch.setattr(suffixes, "_ROWS", 50)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
