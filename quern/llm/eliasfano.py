@@ -43,7 +43,7 @@ class Sequence:
     """A view of an encoded sequence that starts at ``at`` of a buffer; ``end`` is where it ends."""
 
     def __init__(self, buffer, at: int = 0) -> None:
-        n, low_bits, words, width, low, universe = np.frombuffer(buffer, "<u8", 6, at).astype(int).tolist()
+        n, low_bits, words, width, low, universe = np.frombuffer(buffer, "<u8", 6, at).tolist()
         self.n, self.low_bits, self.universe = n, low_bits, universe
         at += 48
         self.words = np.frombuffer(buffer, "<u8", words, at)

@@ -91,7 +91,7 @@ def test_words_and_hashes():
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, u in [(0, 10), (1, 1), (5, 9), (1000, 1000), (3000, 1 << 40), (70000, 1 << 62)]:
+    for n, u in [(0, 10), (1, 1), (5, 9), (1000, 1000), (3000, 1 << 40), (70000, 1 << 62), (2000, 1 << 63)]:
         v = np.sort(rng.choice(u, n, replace=False).astype(np.uint64)) if u < 1 << 30 else np.unique(rng.integers(0, u, n, dtype=np.uint64))
         s = eliasfano.Sequence(b"head1234" + eliasfano.encode(v, u) + b"tail", 8)
         if len(v):
