@@ -115,7 +115,7 @@ def main(args: list[str]) -> int:
     try:
         match args:
             case ["sort", source, target, *_]:
-                external_sort(session(), source, target)
+                external_sort(session(), source, target, single=True)
             case ["isSorted", source, *_]:
                 return 0 if is_sorted(session(), source) else 2
             case ["generate", target, n]:

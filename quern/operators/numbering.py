@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 
 def numbered(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:
     """df with a BIGINT column that counts its rows from start, in the order given (else as they come).
 
-    The rows are sorted by range and kept; one count a partition comes to the driver and gives each its first number.
+    The rows are sorted by range and checkpointed, so that lost executors change no number; one count a partition comes to
+    the driver and gives each its first number.
     """
-    rows = (df.orderBy(*order) if order else df).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    shared_folder(df.sparkSession)
+    rows = (df.orderBy(*order) if order else df).checkpoint()
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
     first, at = [], start
     for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
         first.append((part, at))

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ExpressionFunction, arg, const, weak_and, weak_not, weak_or
+from .functions import ExpressionFunction, arg, const, is_false, is_true, is_unknown, weak_and, weak_not, weak_or
 from .functions.expr import horner
-from .operators import HashJoin, InMemoryScan, Node, Projection, Selection, TableScan
-from .operators.hashing import match_count, multiplicity
+from .operators import Collector, HashJoin, InMemoryScan, Node, Print, Projection, Selection, TableScan
+from .operators.hashing import lookup_counts, match_count, multiplicity
 from .operators.index import UniqueIndex
 from .operators.nodes import printed
 from .operators.numbering import numbered
+from .operators.two_q import TwoQ
+from .sources import Catalog, ParserError, parse
 from .sources.records import decoded, encoded
-from .sources.segment import replaced, without
-from .sources.u64 import sorted_in_order
+from .sources.scratch import scratch
+from .sources.segment import SegmentTable, UnknownTid, replaced, without
+from .sources.u64 import external_sort, generate, is_sorted, read_u64, shown, write_u64
+from .types import Cell
 
-STUDENTS = ((1, "Alf", 50), (2, "Bert", 20), (3, "Bert's twin", 20), (4, "Carl", 33))
+#: Rows of an in-memory table: number, name, weight; a quote, a repeated weight, an empty and a longer name.
+PARCELS = ((1, "lamp", 900), (2, "o'clock", 150), (3, "", 150), (4, "two wooden chairs", 7300), (5, "lamp", 20))
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -45,9 +50,33 @@ def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(sf_dir, "nation").to_df(spark)
 
 
-@query("SELECT * FROM (VALUES (1, 'Alf', 50), (2, 'Bert', 20), (3, 'Bert''s twin', 20), (4, 'Carl', 33)) s(c0, c1, c2)")
+@query("SELECT * FROM (VALUES (1, 'lamp', 900), (2, 'o''clock', 150), (3, '', 150), (4, 'two wooden chairs', 7300), (5, 'lamp', 20)) s(c0, c1, c2)")
 def scan_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return InMemoryScan(STUDENTS, "c0 int, c1 string, c2 int").to_df(spark)
+    return InMemoryScan(PARCELS, "c0 int, c1 string, c2 int").to_df(spark)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def print_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a printing node passes on; its lines go to a string, whose number of lines must be theirs."""
+    import io
+
+    out = io.StringIO()
+    df = Print(scan(sf_dir, "nation"), out).to_df(spark)
+    if out.getvalue().count("\n") != df.count():
+        raise AssertionError("a line for each row")
+    return df
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(Collector(scan(sf_dir, "region")).run(spark), "r_regionkey int, r_name string")
+
+
+@query("SELECT * FROM (VALUES (0, '-5'), (1, '3'), (2, '20'), (3, ''), (4, '20'), (5, 'a'), (6, 'b')) c(place, cell)")
+def cell_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of both types in their order: whole numbers first, strings by their bytes."""
+    cells = sorted(map(Cell, ["b", 20, "", "20", 3, "a", -5]))
+    return spark.createDataFrame([(i, str(c)) for i, c in enumerate(cells)], "place int, cell string")
 
 
 @query("SELECT n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS value FROM nation")
@@ -130,6 +159,11 @@ def hash_join_build_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Projection(join, _place(join, spark, "n_name", "r_name")).to_df(spark)
 
 
+@query("SELECT * FROM nation JOIN customer ON n_nationkey = c_nationkey")
+def hash_join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HashJoin(scan(sf_dir, "nation"), scan(sf_dir, "customer"), 0, 2, build="broadcast").to_df(spark)
+
+
 @query("SELECT n_name, r_name FROM region JOIN nation ON false")
 def hash_join_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = HashJoin(scan(sf_dir, "region"), scan(sf_dir, "nation"), 1, 2)
@@ -173,6 +207,12 @@ def key_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiplicity(_keys(spark, sf_dir)[1], "k")
 
 
+@query("SELECT s.k, coalesce(r.multiplicity, 0) AS multiplicity FROM (SELECT o_orderkey * 2 AS k FROM orders) s LEFT JOIN (SELECT l_orderkey AS k, count(*) AS multiplicity FROM lineitem GROUP BY 1) r ON r.k = s.k")
+def key_lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, many = _keys(spark, sf_dir)
+    return lookup_counts(many, one.select((F.col("k") * 2).alias("k")), "k")
+
+
 def _index(spark: SparkSession, sf_dir: str) -> UniqueIndex:
     df = scan(sf_dir, "orders").to_df(spark)
     return UniqueIndex(df.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("tid")))
@@ -209,6 +249,59 @@ def index_range_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return UniqueIndex(df, ("a", "b")).lookup_range((9, 4), (3, 2))
 
 
+def _spelled(spark: SparkSession, sf_dir: str) -> UniqueIndex:
+    """Names of nations, every other one in lower case, in an index whose comparator ignores case."""
+    key = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("key")
+    rows = scan(sf_dir, "nation").to_df(spark).select(key, F.col("n_nationkey").cast("bigint").alias("tid"))
+    return UniqueIndex.empty(spark, "key string", (F.lower("key"),)).insert(rows)[0]
+
+
+_SPELLED = "(SELECT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS key, n_nationkey::BIGINT AS tid FROM nation)"
+
+
+@query(f"SELECT key, tid FROM {_SPELLED} WHERE lower(key) BETWEEN 'nation_10' AND 'nation_2'")
+def index_comparator_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir).lookup_range("Nation_2", "NATION_10")
+
+
+@query(f"SELECT upper(key) AS key, tid + 100 AS tid, 1::BIGINT AS n FROM {_SPELLED}")
+def index_comparator_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _spelled(spark, sf_dir)
+    more = index.df.select(F.upper("key").alias("key"), (F.col("tid") + 100).alias("tid"))
+    return index.insert(more.union(spark.createDataFrame([("Atlantis", 500)], "key string, tid bigint")))[1]
+
+
+@query(f"SELECT upper(key) AS key, CASE WHEN tid % 3 = 0 THEN NULL ELSE tid END AS tid FROM {_SPELLED}")
+def index_comparator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _spelled(spark, sf_dir)
+    left = index.erase(index.df.where("tid % 3 = 0").select(F.initcap("key").alias("key")))[0]
+    return left.lookup(index.df.select(F.upper("key").alias("key")))
+
+
+@query(f"SELECT 2 * key + 1 AS key {_INDEX} WHERE 2 * key + 1 > (SELECT max(o_orderkey) FROM orders)")
+def index_erase_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return index.erase(index.df.select((F.col("key") * 2 + 1).alias("key")))[1]
+
+
+@query("""WITH l AS (SELECT r_regionkey // 2 AS n, '  n' || (r_regionkey // 2) || ' [label="' || string_agg(r_regionkey || ': ' || r_regionkey, '|' ORDER BY r_regionkey) || '"];' AS line, max(r_regionkey) AS top FROM region GROUP BY 1, r_regionkey // 2)
+SELECT line FROM l UNION ALL SELECT 'digraph index {' UNION ALL SELECT '  node [shape=record];' UNION ALL SELECT '}'
+UNION ALL SELECT '  n' || (n - 1) || ' -> n' || n || ' [style=dashed, constraint=false];' FROM l WHERE n > 0
+UNION ALL SELECT * FROM (VALUES ('  n3 [label="1|3"];'), ('  n3 -> n0;'), ('  n3 -> n1;'), ('  n4 [label="4"];'), ('  n4 -> n2;'), ('  n5 [label="3|4"];'), ('  n5 -> n3;'), ('  n5 -> n4;'))""")
+def index_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a drawing with two entries a node."""
+    rows = scan(sf_dir, "region").to_df(spark).select(F.col("r_regionkey").alias("key"), F.col("r_regionkey").alias("tid"))
+    return spark.createDataFrame([(x,) for x in UniqueIndex(rows).export_dot(2).splitlines()], "line string")
+
+
+@query(f"SELECT key, tid {_INDEX} WHERE key BETWEEN 70 AND 90")
+def index_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of an index that was stored and read again."""
+    path = scratch(spark, "index") + "/stored"
+    _index(spark, sf_dir).save(path)
+    return UniqueIndex.load(spark, path).lookup_range(70, 90)
+
+
 @query(f"SELECT key, tid {_INDEX} WHERE key % 7 <> 0")
 def index_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
@@ -247,6 +340,12 @@ def expr_div(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.on(scan(sf_dir, "lineitem").to_df(spark).select("l_orderkey", "l_linenumber"), "l_linenumber")
 
 
+@query("SELECT o_orderkey, o_custkey + (o_orderkey - 2) AS e FROM orders")
+def expr_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ExpressionFunction("e", arg(1) + (arg(0) - 2))
+    return f.on(scan(sf_dir, "orders").to_df(spark).select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey").drop("o_custkey")
+
+
 @query("SELECT o_orderkey, -o_custkey AS n, 5 - o_custkey AS s FROM orders")
 def expr_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scan(sf_dir, "orders").to_df(spark)
@@ -274,10 +373,69 @@ def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(sf_dir, "orders").to_df(spark).select("o_orderkey").orderBy("o_orderkey")
 
 
-@query("SELECT NOT EXISTS (SELECT 1 FROM (SELECT o_orderkey k, lag(o_orderkey) OVER (ORDER BY o_orderkey) p FROM orders) WHERE p > k) AS s")
-def is_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(scan(sf_dir, "orders").to_df(spark).select(F.col("o_orderkey").alias("k")), "place", "k")
-    return spark.createDataFrame([(sorted_in_order(rows),)], "s boolean")
+@query("SELECT a, a IS NOT NULL AND a AS t, a IS NOT NULL AND NOT a AS f, a IS NULL AS u FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) l(a)")
+def logic_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("a")
+    return InMemoryScan([(True,), (False,), (None,)], "a boolean").to_df(spark).select(a, is_true(a).alias("t"), is_false(a).alias("f"), is_unknown(a).alias("u"))
+
+
+def _unsigned(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of unsigned numbers, a multiple of each order's key modulo 2**64, in the order of the keys."""
+    wide, half, whole = "decimal(38,0)", F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
+    value = F.pmod(F.col("o_orderkey").cast("decimal(18,0)") * F.lit("11400714819323198485").cast("decimal(20,0)"), whole).cast(wide)
+    path = scratch(spark, "u64") + "/numbers"
+    rows = scan(sf_dir, "orders").to_df(spark).select("o_orderkey", (value - half).cast("bigint").alias("k"))
+    write_u64(rows.orderBy("o_orderkey").select("k"), path)
+    return path
+
+
+_UNSIGNED = "(SELECT o_orderkey, (o_orderkey::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS v FROM orders)"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, v::DECIMAL(20, 0) AS v FROM {_UNSIGNED}")
+def u64_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_u64(spark, _unsigned(spark, sf_dir)).select("place", shown(F.col("k")).alias("v"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY v) - 1 AS place, v::DECIMAL(20, 0) AS v FROM {_UNSIGNED}")
+def u64_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers after an external sort from files to files, read back."""
+    source = _unsigned(spark, sf_dir)
+    external_sort(spark, source, f"{source}.sorted")
+    return read_u64(spark, f"{source}.sorted").select("place", shown(F.col("k")).alias("v"))
+
+
+@query(f"""SELECT 'source' AS file, NOT EXISTS (SELECT 1 FROM (SELECT v, lag(v) OVER (ORDER BY o_orderkey) AS p FROM {_UNSIGNED}) WHERE p > v) AS s
+UNION ALL SELECT 'sorted', NOT EXISTS (SELECT 1 FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM {_UNSIGNED}) WHERE p > v)""")
+def u64_is_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check on a sequence that is not in order, and on what the sort made of it."""
+    source = _unsigned(spark, sf_dir)
+    external_sort(spark, source, f"{source}.sorted", single=True)
+    return spark.createDataFrame([(name, is_sorted(spark, path)) for name, path in (("source", source), ("sorted", f"{source}.sorted"))], "file string, s boolean")
+
+
+_ORDERS = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, {} AS k FROM orders"
+
+
+@query(f"""SELECT 'key' AS c, NOT EXISTS (SELECT 1 FROM (SELECT k, lag(k) OVER (ORDER BY place) AS p FROM ({_ORDERS.format('o_orderkey')})) WHERE p > k) AS s
+UNION ALL SELECT 'customer', NOT EXISTS (SELECT 1 FROM (SELECT k, lag(k) OVER (ORDER BY place) AS p FROM ({_ORDERS.format('o_custkey')})) WHERE p > k)""")
+def rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two columns of orders never fall in the order of the keys."""
+    from .sources.u64 import sorted_in_order
+
+    rows = numbered(scan(sf_dir, "orders").to_df(spark).select("o_orderkey", "o_custkey"), "place", "o_orderkey")
+    found = [(name, sorted_in_order(rows.select("place", F.col(c).alias("k")))) for name, c in (("key", "o_orderkey"), ("customer", "o_custkey"))]
+    return spark.createDataFrame(found, "c string, s boolean")
+
+
+@query("""WITH RECURSIVE g AS (SELECT 0 AS place, 88172645463325252::HUGEINT AS x UNION ALL
+SELECT place + 1, xor(b, (b << 17) % 18446744073709551616::HUGEINT) FROM (SELECT place, xor(a, a >> 7) AS b FROM (SELECT place, xor(x, (x << 13) % 18446744073709551616::HUGEINT) AS a FROM g WHERE place < 500)))
+SELECT place - 1 AS place, x::DECIMAL(20, 0) AS v FROM g WHERE place > 0""")
+def u64_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 numbers of the fixture generator, through a file."""
+    path = scratch(spark, "u64") + "/generated"
+    generate(path, 500)
+    return read_u64(spark, path).select("place", shown(F.col("k")).alias("v"))
 
 
 def _tids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,3 +467,112 @@ def tid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced(rows, rows.where("tid % 5 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
 
 
+def _segment(spark: SparkSession, sf_dir: str) -> SegmentTable:
+    """The nations, stored, without every third; then the regions, which take the freed ids."""
+    rows = scan(sf_dir, "nation").to_df(spark).select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("name"))
+    table = SegmentTable(spark, scratch(spark, "segment"), rows.schema)
+    table.insert(rows, "number")
+    table.remove(table.scan().where("number % 3 = 0"))
+    table.insert(scan(sf_dir, "region").to_df(spark).select(F.col("r_regionkey").alias("number"), F.col("r_name").alias("name")), "number")
+    return table
+
+
+_SEGMENT = """(SELECT n_nationkey::BIGINT AS tid, n_nationkey AS number, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT 3 * r_regionkey::BIGINT, r_regionkey, r_name FROM region)"""
+
+
+@query(f"SELECT tid, number, name FROM {_SEGMENT}")
+def segment_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment(spark, sf_dir).scan()
+
+
+@query("SELECT n_nationkey::BIGINT AS tid FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey >= 3 * (SELECT count(*) FROM region)")
+def segment_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that are free for the next rows."""
+    return _segment(spark, sf_dir).free()
+
+
+@query(f"SELECT tid, number, name FROM {_SEGMENT} WHERE tid IN (3, 4)")
+def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _segment(spark, sf_dir)
+    return table.lookup(3).union(table.lookup(spark.createDataFrame([(4,)], "tid bigint")))
+
+
+@query(f"SELECT tid, CASE WHEN tid % 2 = 0 THEN -number ELSE number END AS number, CASE WHEN tid % 2 = 0 THEN 'a longer name than before: ' || name ELSE name END AS name FROM {_SEGMENT}")
+def segment_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that grow keep their ids."""
+    table = _segment(spark, sf_dir)
+    table.update(table.scan().where("tid % 2 = 0").select("tid", (-F.col("number")).alias("number"), F.concat(F.lit("a longer name than before: "), "name").alias("name")))
+    return table.scan()
+
+
+@query("SELECT * FROM (VALUES ('lookup', true), ('remove', true), ('remove again', false), ('update', true)) u(action, raised)")
+def segment_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an id without a row does; only a removal that asks to passes over it."""
+    table, none = _segment(spark, sf_dir), spark.createDataFrame([(99_999, 1, "x")], "tid bigint, number int, name string")
+    actions = {"lookup": lambda: table.lookup(99_999), "remove": lambda: table.remove(none), "remove again": lambda: table.remove(none, missing="ignore"), "update": lambda: table.update(none)}
+    out = []
+    for name, act in actions.items():
+        try:
+            act()
+            out.append((name, False))
+        except UnknownTid:
+            out.append((name, True))
+    return spark.createDataFrame(out, "action string, raised boolean")
+
+
+DDL = """create table Shelf ( id INTEGER not null, label char(12), Width integer, PRIMARY KEY (id, label) );
+CREATE TABLE box (weight Numeric(8, 2) NOT NULL, primary key (weight), owner CHAR(3) not NULL,);"""
+_ATTRIBUTES = """(VALUES ('Shelf', 0, 'id', 'INTEGER', NULL, true, true), ('Shelf', 1, 'label', 'CHAR', 12, false, true), ('Shelf', 2, 'Width', 'INTEGER', NULL, false, false),
+('box', 0, 'weight', 'NUMERIC', NULL, true, true), ('box', 1, 'owner', 'CHAR', 3, true, false)) d(relation, place, attribute, type, length, not_null, is_key)"""
+
+
+def _attributes(spark: SparkSession, relations: list) -> DataFrame:
+    rows = [(r.name, i, a.name, a.type.name, a.length, a.not_null, i in r.primary_key) for r in relations for i, a in enumerate(r.attributes)]
+    return spark.createDataFrame(rows, "relation string, place int, attribute string, type string, length int, not_null boolean, is_key boolean")
+
+
+@query(f"SELECT * FROM {_ATTRIBUTES}")
+def ddl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attributes(spark, parse(DDL))
+
+
+@query(f"SELECT * FROM {_ATTRIBUTES}")
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations after they were stored in a catalog and read again."""
+    catalog = Catalog(scratch(spark, "catalog") + "/relations")
+    catalog.store(spark, parse(DDL))
+    return _attributes(spark, catalog.read(spark))
+
+
+@query("SELECT * FROM (VALUES (0, 'TABLE Shelf:'), (1, '  id INTEGER NOT NULL'), (2, '  label CHAR(12)'), (3, '  Width INTEGER'), (4, '  primary key: 0 1'), (5, 'TABLE box:'), (6, '  weight NUMERIC(8, 2) NOT NULL'), (7, '  owner CHAR(3) NOT NULL'), (8, '  primary key: 0')) l(place, line)")
+def ddl_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate("".join(map(str, parse(DDL))).splitlines())), "place int, line string")
+
+
+@query("SELECT * FROM (VALUES (0, 2), (1, 1), (2, 3), (3, 1), (4, 0)) e(number, line)")
+def ddl_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines at which texts stop making sense; 0 for a blank one, which has no relation."""
+    texts = ("create table a (x integer,\ny text);", "create table a (x integer)", "create table a (\nx integer,\nprimary key (z));", "drop table a;", " \n\t ")
+    out = []
+    for i, text in enumerate(texts):
+        try:
+            out.append((i, len(parse(text))))
+        except ParserError as e:
+            out.append((i, e.line))
+    return spark.createDataFrame(out, "number int, line int")
+
+
+@query("SELECT * FROM (VALUES (0, 'b'), (1, 'd'), (2, 'c'), (3, 'a'), (4, 'none')) t(place, page)")
+def two_q_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaves in turn after a, b, a, c, c, d, e, a were used and e was erased: first those used once."""
+    queue, out = TwoQ(), []
+    for page in "abaccdea":
+        queue.access(page)
+    queue.erase("e")
+    for place in range(5):
+        try:
+            out.append((place, queue.evict()))
+        except LookupError:
+            out.append((place, "none"))
+    return spark.createDataFrame(out, "place int, page string")

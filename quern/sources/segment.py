@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from ..operators.numbering import numbered
 
 
+#: Snapshots that stay beside the current one, for readers that have begun.
+KEPT = 2
+
+
 class UnknownTid(KeyError):
     pass
 
@@ -71,6 +75,8 @@ class SegmentTable:
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = option
         context.rename(temporary, current, options)
+        for old in range(max(0, version - KEPT), version - KEPT + 1):
+            self._fs.delete(self._path(f"{self.path}/v{old}"), True)
 
     def insert(self, rows: DataFrame, *order: str) -> DataFrame:
         """Appends the rows (in the order given, else as they come); the rows with their tids."""

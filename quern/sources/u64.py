@@ -2,12 +2,14 @@
 
 Spark has no such type: a value v is the BIGINT ``k`` = v with its top bit flipped, whose signed order is v's unsigned
 order. ``shown`` gives it as DECIMAL(20,0). Files are read in parts of ``PART`` values by offset through ``pyarrow.fs``,
-so a large file is many tasks. Bytes after the last whole value are ignored.
+so a large file is many tasks. Bytes after the last whole value are ignored. A sequence may also be a folder of such files,
+as ``write_u64`` leaves it: its ``MANIFEST`` has the parts in order and their numbers of values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,29 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def count(path: str) -> int:
+def parts_of(path: str) -> list[tuple[str, int]]:
+    """The files of a sequence, in order, and how many values each has."""
     store, name = _place(path)
     info = store.get_file_info(name)
-    if not info.is_file:
+    if info.is_file:
+        return [(path, info.size // 8)]
+    if not store.get_file_info(f"{name}/MANIFEST").is_file:
         raise FileNotFoundError(path)
-    return info.size // 8
+    with store.open_input_stream(f"{name}/MANIFEST") as f:
+        rows = [line.split() for line in f.read().decode().splitlines()]
+    return [(f"{path}/{part}", int(n)) for part, n in rows]
+
+
+def count(path: str) -> int:
+    return sum(n for _, n in parts_of(path))
+
+
+@dataclass
+class _Part(InputPartition):
+    path: str
+    first: int
+    at: int
+    n: int
 
 
 class _Reader(DataSourceReader):
@@ -52,15 +71,21 @@ class _Reader(DataSourceReader):
         self.path, self.part = path, part
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(0, count(self.path), self.part)] or [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        store, name = _place(self.path)
-        end = min(count(self.path), partition.value + self.part)
+        out, first = [], 0
+        for path, n in parts_of(self.path):
+            out += [_Part(path, first, at, min(self.part, n - at)) for at in range(0, n, self.part)]
+            first += n
+        return out or [_Part(self.path, 0, 0, 0)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if not partition.n:
+            return
+        store, name = _place(partition.path)
+        end = partition.at + partition.n
         with store.open_input_file(name) as f:
-            for at in range(partition.value, end, _BATCH):
+            for at in range(partition.at, end, _BATCH):
                 values = np.frombuffer(f.read_at(8 * min(_BATCH, end - at), 8 * at), "<u8")
-                places = np.arange(at, at + len(values))
+                places = np.arange(partition.first + at, partition.first + at + len(values))
                 yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(flip(values))], ["place", "k"])
 
 
@@ -84,15 +109,17 @@ def read_u64(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
     return spark.read.format("u64").option("part", part).load(path)
 
 
-def write_u64(df: DataFrame, path: str, single: bool = True) -> int:
+def write_u64(df: DataFrame, path: str, single: bool = False) -> int:
     """Writes column k in the order of df's partitions and rows; the number of values.
 
-    Each partition becomes a part in a folder beside the path, under a temporary name until it is whole; then the parts
-    are put together in a file (single), or stay as ``path/part-*``.
+    Each partition becomes a part in the folder ``path``, under a temporary name until it is whole, and the manifest, written
+    last, names those of this run; what the folder held before goes. With single the driver puts the parts together in one
+    file instead, which is for files that one machine can write.
     """
     store, name = _place(path)
     folder = f"{name}.parts" if single else name
     store.create_dir(folder)
+    store.delete_dir_contents(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -117,11 +144,15 @@ def write_u64(df: DataFrame, path: str, single: bool = True) -> int:
                         out.write(block)
                         left -= len(block)
         store.delete_dir(folder)
+    else:
+        with store.open_output_stream(f"{folder}/.MANIFEST") as out:
+            out.write("".join(f"part-{number:06d} {n}\n" for number, n in done).encode())
+        store.move(f"{folder}/.MANIFEST", f"{folder}/MANIFEST")
     return sum(n for _, n in done)
 
 
-def external_sort(spark: SparkSession, source: str, target: str, single: bool = True) -> int:
-    """Sorts a file's values, ascending and unsigned, repeats kept; the number of values. Memory is Spark's to manage."""
+def external_sort(spark: SparkSession, source: str, target: str, single: bool = False) -> int:
+    """Sorts a sequence's values, ascending and unsigned, repeats kept; the number of values. Memory is Spark's to manage."""
     return write_u64(read_u64(spark, source).select("k").orderBy("k"), target, single)
 
 

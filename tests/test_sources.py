@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.cli.__main__ import Repl, main, matches
 from quern.operators.index import UniqueIndex
-from quern.plans.two_q import TwoQ
+from quern.operators.two_q import TwoQ
 from quern.sources import Attribute, Catalog, ParserError, RelationSchema, parse
 from quern.sources.records import RecordError, decode, decoded, encode, encoded
 from quern.sources.segment import SegmentTable, UnknownTid
@@ -69,9 +69,17 @@ def test_external_sort(spark, tmp_path, values):
     np.array(values, "<u8").tofile(a)
     with open(a, "ab") as f:
         f.write(b"xyz")  # ignored
-    assert external_sort(spark, a, b) == len(values)
+    assert external_sort(spark, a, b, single=True) == len(values)
     assert np.fromfile(b, "<u8").tolist() == sorted(values)
     assert is_sorted(spark, a) == (values == sorted(values)) and is_sorted(spark, b)
+    parts = str(tmp_path / "parts")
+    for source, expected in ((a, values), (b, values[:0])):  # a second run leaves nothing of the first behind
+        if not expected:
+            np.array([], "<u8").tofile(b)
+        external_sort(spark, source, parts)
+        rows = read_u64(spark, parts, part=2).orderBy("place").collect()
+        assert [r.place for r in rows] == list(range(len(expected))) and [(r.k + 2**63) for r in rows] == sorted(expected)
+        assert is_sorted(spark, parts)
 
 
 def test_sort_in_parts(spark, tmp_path):
@@ -82,7 +90,7 @@ def test_sort_in_parts(spark, tmp_path):
     assert (x.min(), x.max(), int((x >= 2**63).sum())) == (10489504892952, 18446617110369215684, 50090)
     df = read_u64(spark, a, part=1024)
     assert df.rdd.getNumPartitions() == 98 and df.agg(F.max(shown(F.col("k")))).head()[0] == int(x.max())
-    external_sort(spark, a, b)
+    assert main(["sort", a, b]) == 0
     assert np.fromfile(b, "<u8").tolist() == np.sort(x).tolist()
     assert main(["isSorted", a]) == 2 and main(["isSorted", b]) == 0 and main(["isSorted", str(tmp_path / "none")]) == 1 and main([]) == 1
 
@@ -118,7 +126,7 @@ def test_index_range(spark, tmp_path):
     assert got == list(range(91_000, 95_001))
     index.save(str(tmp_path / "i"))
     assert UniqueIndex.load(spark, str(tmp_path / "i")).lookup_range(3, 5).count() == 3
-    backward = UniqueIndex(index.df.limit(10), order=(F.desc("key"),))
+    backward = UniqueIndex(index.df.limit(10), order=(-F.col("key"),))
     assert [r.key for r in backward.lookup_range(2, 4).collect()] == [4, 3, 2]
     dot = UniqueIndex(index.df.where("key < 30")).export_dot(4)
     assert dot.startswith("digraph") and dot.count("label") == 8 + 2 + 1
