@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and the reader of what it committed.
 
-1. Shards are ranges of page_id that hold about ``shard_bytes`` of payload each, cut from an exact histogram of the ids
-   (``BINS`` bins), so that the same rows give the same shards however they are partitioned.
+1. Shards are ranges of page_id, cut where the running sum of payloads in the ids' order passes a multiple of ``shard_bytes``.
+   The sum is exact (sorted by range, one sum a partition comes to the driver), so the same rows give the same shards however
+   they are partitioned and however the ids are spread. Rows without an id go to shards of their own, by digest.
 2. Equal payloads (SHA-1, at least ``min_bytes`` long): the smallest page_id is the response, the others revisit it. Ids
    are pre-aggregated by digest and joined back without the payloads, which are shuffled once, to their shard.
 3. Each shard is sorted by page_id and written in one pass: one gzip member a record, headers and digests made anew, a new
@@ -12,15 +13,14 @@
 Files go through ``pyarrow.fs`` to a folder that driver and executors share (a file:, hdfs:, s3: or gs: URI).
 
 Defined cases: a null html is an empty payload; a null url gives no WARC-Target-URI; line breaks in a url are
-percent-encoded. A null page_id comes first and is the response only if no row with an id has its payload. Rows that
-share id and payload are all responses if theirs is the smallest id, else all revisits. An empty table gives a manifest
-without files. Extra columns stay out.
+percent-encoded. A null page_id is the response only if no row with an id has its payload. Rows that
+share id and payload are all responses if theirs is the smallest id, else all revisits; they lie in one shard. An empty table gives a manifest
+without files. Extra columns stay out. Ids are whole numbers of up to 64 bits; others raise an error.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import gzip
 import hashlib
 import io
@@ -28,16 +28,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import checkpoints
 from .checkpoints import fresh
-from .text import table
+from .text import as_long, table
 
-BINS, SHARD_BYTES, ROLL_BYTES = 1 << 16, 32 << 20, 8 << 20
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID(int=0x51AEC0DE)
@@ -66,21 +69,39 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def shard_starts(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """The first page_id of each shard but the first."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return []
-    step = max(1, -(-(high - low + 1) // BINS))
-    size = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 600)  # 600: headers
-    bins = pages.where("page_id is not null").groupBy(F.expr(f"cast((page_id - {low}) div {step} as int)").alias("bin")).agg(size.alias("size")).collect()  # at most BINS rows
-    out, held = [], 0
-    for b in sorted(bins):
-        if held and held + b.size > shard_bytes:
-            out.append(low + b.bin * step)
-            held = 0
-        held += b.size
-    return out
+def _size() -> Column:
+    return F.sum((F.coalesce(F.octet_length("html"), F.lit(0)) + 600).cast("long"))  # 600: headers
+
+
+def shard_starts(pages: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first page_id of each shard but the first: as many as the payloads' bytes over shard_bytes, at most."""
+    sizes = pages.where("page_id is not null").groupBy("page_id").agg(_size().alias("size")).orderBy("page_id").checkpoint()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = last = 0
+        for b in batches:
+            if b.num_rows:
+                size = b.column("size").to_numpy()
+                total, last = total + int(size.sum()), int(size[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), total, last)], ["part", "total", "last"])
+
+    before, at, last = {}, 0, 0
+    for part, total, own in sorted(tuple(r) for r in sizes.mapInArrow(ends, "part long, total long, last long").collect()):  # a row a partition
+        before[part] = at, at - last
+        at, last = at + total, own if total else last
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, previous = before[TaskContext.get().partitionId()]
+        for b in batches:
+            if b.num_rows:
+                done = start + np.cumsum(b.column("size").to_numpy())
+                own = np.r_[start, done[:-1]]  # where each id begins
+                new = own // shard_bytes > np.r_[previous, own[:-1]] // shard_bytes
+                start, previous = int(done[-1]), int(own[-1])
+                yield pa.RecordBatch.from_arrays([b.column("page_id").filter(pa.array(new))], ["page_id"])
+
+    rows = sizes.mapInArrow(cuts, "page_id long").toPandas()
+    return np.sort(rows["page_id"].to_numpy(np.int64))
 
 
 class _File:
@@ -146,34 +167,34 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0, shard_bytes: int = SHA
     """Writes pages (page_id, url, html) to the folder, commits the manifest there, and returns it."""
     spark = pages.sparkSession
     checkpoints.folder(spark)
+    pages = as_long(pages, "page_id")
     store, folder = fs.FileSystem.from_uri(uri)
     store.create_dir(folder)
     starts = shard_starts(pages, shard_bytes)
-    shard = F.array_size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("page_id"))) if len(starts) < 64 else _searched(starts)(F.col("page_id"))
+    nameless = pages.where("page_id is null").agg(_size()).first()[0] or 0
+    first = -(-nameless // shard_bytes)  # shards of rows without an id
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def ranged(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        return pd.Series(np.where(known, np.searchsorted(shared.value, ids.where(known, 0).astype("int64"), "right") + first, -1).astype("int32"))
+
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     keyed = pages.select("page_id", digest.alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).where(F.col("size") >= min_bytes)
     # written first, so that both sides of the join are plain shuffles, of which Spark splits the large partitions
     least = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first").checkpoint()
     again = keyed.select("page_id", "digest").join(least, "digest").where("page_id is null or page_id <> first")
-    number = F.coalesce(shard, F.lit(0)).cast("int").alias("shard")
-    rows = again.select(number, "page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    rows = rows.union(pages.select(number, "page_id", F.lit(1), digest, F.lit(None).cast("long"), "url", "html"))
-    rows = rows.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    def number(digest: Column) -> Column:
+        return F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64(digest), F.lit(max(1, first))).cast("int")).otherwise(ranged(F.coalesce("page_id", F.lit(0)))).alias("shard")
+
+    rows = again.select(number(F.col("digest")), "page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = rows.union(pages.select(number(digest), "page_id", F.lit(1), digest, F.lit(None).cast("long"), "url", "html"))
+    rows = rows.repartitionById(len(starts) + 1 + first, "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     rows.mapInArrow(_writer(uri, roll_bytes), MANIFEST).write.json(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).json(f"{uri}/manifest")
 
 
-def _searched(starts: list[int]):
-    @F.pandas_udf("int")
-    def shard(ids):
-        known = ids.notna()
-        out = ids.copy()
-        out[known] = [bisect.bisect_right(starts, int(x)) for x in ids[known]]
-        return out.fillna(0).astype("int32")
-
-    return shard
-
-
 def members(stream) -> Iterator[bytes]:
     """The gzip members of a stream, one after the other."""
     held, inflate, out = b"", zlib.decompressobj(31), io.BytesIO()
