@@ -5,11 +5,11 @@ every piece that ends at each position; a Viterbi table relaxes the best score o
 starts a piece and never stands within one (checked when a model is loaded), so a text splits exactly into stretches that
 are encoded alone, and a worker keeps the ids of the stretches it has met (a bounded cache).
 
-Unigram models: the best segmentation is that with the largest sum of scores. BPE models: the scores are merge ranks,
-and the segmentation that the merges give is the one in which each two neighbours are compatible, i.e. merging their
-joined text gives just the two. So a piece may relax a position only if it is compatible with the last piece of the best
-segmentation before it; that leaves one way for each position. (With plain sums of merge ranks the ids would differ from
-those of the public library.)
+Unigram models: the best segmentation is that with the largest sum of scores. BPE models: the scores are merge ranks, and
+plain sums of ranks would choose other pieces than merging does. There a step from one piece to the next scores minus
+infinity unless merging the two pieces' joined text gives just the two, and all other steps the piece's own score; the same
+relaxation of best scores then gives the one segmentation all of whose neighbours agree, which is that of the merges, so ids
+equal those of the public library.
 
 Characters without a piece become byte pieces, or the unknown piece where the model has none.
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import by_slice, table
+from .text import by_slice, no_clash, spread, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -137,16 +137,14 @@ class Model:
                 done += 1
                 if best[done] is None:
                     best[done] = best[done - 1] + self.low
-            at = best[start]
             end += 1
-            if bpe:
+            if bpe:  # a step between pieces that do not agree scores minus infinity
                 ok = known(last[start] * many + i)
-                if ok is None:
-                    ok = self.fits(last[start], i)
-                if ok:
-                    best[end], last[end], size[end] = at + score, i, length
-            elif best[end] is None or at + score > best[end]:
-                best[end], last[end], size[end] = at + score, i, length
+                if not (self.fits(last[start], i) if ok is None else ok):
+                    continue
+            total, now = best[start] + score, best[end]
+            if now is None or total > now:
+                best[end], last[end], size[end] = total, i, length
         while done < n:
             done += 1
             if best[done] is None:
@@ -197,6 +195,8 @@ def model(path: str) -> Model:
 def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns, n_tokens, token_ids, and whether decoding the ids gives the text back."""
 
+    no_clash(columns, ["n_tokens", "token_ids", "round_trip"])
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)
         texts = part.column("text").to_pylist()
@@ -206,13 +206,14 @@ def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_
         flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(ids)))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n), flat, pa.array(same)], [*columns, "n_tokens", "token_ids", "round_trip"])
 
-    chosen = docs.select(*columns, "text")
+    chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns)
     return chosen.mapInArrow(by_slice(run), kinds + "n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decode(ids: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns and the text of token_ids; null ids read as none."""
+    no_clash(columns, ["text"])
 
     def run(batches):
         m = model(path)
@@ -226,7 +227,7 @@ def decode(ids: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_i
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}
