@@ -3,10 +3,10 @@
 Learning (a bounded sample of labelled rows, ``max_rows``, those with the smallest hash of doc_id):
 
 1. Half of the sample gives each word, and each beginning of four, five or six letters, its log-odds between toxic and
-   other documents, with a Dirichlet prior in proportion to its count in both. Documents are counted, and of
-   documents whose smallest shingle hash is the same (copies, most near copies) one. Features are kept whose z-score is
-   at least ``min_z`` and whose log-odds are at least ``min_odds`` either way, at most ``max_features`` of them. A word's score is its own log-odds, else those of its longest
-   beginning that has any, less a drift that makes the expected score of clean text negative.
+   other documents, with a Dirichlet prior in proportion to its count in both. Documents are counted, each by one over the
+   number of those whose smallest shingle is the same (copies, most near copies). All features are kept whose z-score is at
+   least ``min_z`` and whose log-odds are at least ``min_odds`` either way. A word's score is its own log-odds, else those of its
+   longest beginning that has any, less a drift that makes the expected score of clean text negative.
 2. lambda solves sum p exp(lambda s) = 1 over clean tokens; the other half of the sample gives K (from its clean
    documents' best segments) and a logistic curve from the evidence x to P(toxic).
 
@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -32,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import by_slice, crc_is, table
+from .text import by_slice, crc_is, no_clash, spread, table
 
-MAX_ROWS, MAX_FEATURES = 20_000, 50_000
+MAX_ROWS = 20_000
+_ONE = 1 << 20  # a document's count
 TOKEN = re.compile(r"[^\W_]+")
 STEMS = (6, 5, 4)
 UNIT = 1000  # scores are whole thousandths
@@ -47,7 +49,7 @@ def features(tokens: set[str]) -> set[str]:
 
 @dataclass
 class Model:
-    """Bounded by max_features; small enough for each task's closure."""
+    """Its features occur in the sample of labelled rows, so it is bounded by max_rows."""
 
     weights: dict[str, int] = field(default_factory=dict)
     default: int = -500
@@ -132,35 +134,42 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, r - x) for a, b, x, r in stack]
 
 
+def smallest_shingle(text: str | None) -> int:
+    """A hash of the five tokens (all, if there are fewer) with the smallest crc32."""
+    tokens = TOKEN.findall((text or "").lower())
+    shingles = [" ".join(tokens[i : i + 5]).encode() for i in range(max(1, len(tokens) - 4))]
+    return int.from_bytes(blake2b(min(shingles, key=lambda x: (crc32(x), x)), digest_size=8).digest(), "little", signed=True)
+
+
 def _keyed(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Each row's smallest hash of five tokens (its own hash if it has fewer)."""
-    keys = []
-    for text in part.column("text").to_pylist():
-        tokens = TOKEN.findall((text or "").lower())
-        keys.append(min(crc32(" ".join(tokens[i : i + 5]).encode()) for i in range(max(1, len(tokens) - 4))))
+    keys = [smallest_shingle(t) for t in part.column("text").to_pylist()]
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()), part.column("toxic").cast(pa.int32())], ["doc_id", "key", "toxic"])
 
 
 def _count(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Sums of the weights of the documents that have each feature, toxic and other; "" counts all documents."""
     counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
-    for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-        own = set(TOKEN.findall((text or "").lower()))
-        counts[toxic > 0].update([*features(own), ""])  # "": documents
+    for text, toxic, weight in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+        own = counts[toxic > 0]
+        for f in (*features(set(TOKEN.findall((text or "").lower()))), ""):
+            own[f] += weight
     keys = [*{**counts[False], **counts[True]}]
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[t][k] for k in keys], pa.int64()) for t in (True, False))], ["feature", "n1", "n0"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, prior: float = 0.1, min_z: float = 3.0, min_odds: float = 1.5, drift: float = 0.5, max_e: float = 0.01) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float = 0.1, min_z: float = 3.0, min_odds: float = 1.5, drift: float = 0.5, max_e: float = 0.01) -> Model:
     """Fits a model on labels (doc_id, toxic) of docs (doc_id, text)."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most max_rows ids
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    single = sample.where(half).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(by_slice(_keyed), "doc_id long, key long, toxic int")
-    single = single.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
+    keyed = sample.where(half).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(by_slice(_keyed), "doc_id long, key long, toxic int").persist()
+    group = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    weights = keyed.join(group, "key").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("n").alias("n"))
+    weighted = weights.select("doc_id", "toxic", F.round(F.lit(_ONE) / F.col("n")).cast("long").alias("weight"))
     # again at most max_rows ids
-    counted = docs.select("doc_id", "text").join(F.broadcast(single), "doc_id").select("text", "toxic").mapInArrow(by_slice(_count), "feature string, n1 long, n0 long")
-    counted = counted.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).persist()
+    counted = docs.select("doc_id", "text").join(F.broadcast(weighted), "doc_id").select("text", "toxic", "weight").mapInArrow(by_slice(_count), "feature string, n1 long, n0 long")
+    counted = counted.groupBy("feature").agg((F.sum("n1") / _ONE).alias("n1"), (F.sum("n0") / _ONE).alias("n0")).persist()
     try:
         n1, n0 = next(((r.n1, r.n0) for r in counted.where("feature = ''").collect()), (0, 0))
         model = Model(max_e=max_e, curve=(math.log((n1 + 0.5) / (n0 + 0.5)), 0.0))
@@ -173,10 +182,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
             (F.log((F.col("n1") + prior * a) / (n1 + prior * n)) - F.log((F.col("n0") + prior * a) / (n0 + prior * n))).alias("odds"),
             F.sqrt(1 / (F.col("n1") + prior * a) + 1 / (F.col("n0") + prior * a)).alias("sd"),
         )
-        w = w.where((F.abs(F.col("odds")) >= min_z * F.col("sd")) & (F.abs(F.col("odds")) >= min_odds)).orderBy(F.desc(F.abs(F.col("odds") / F.col("sd"))), "feature").limit(max_features)
+        w = w.where((F.abs(F.col("odds")) >= min_z * F.col("sd")) & (F.abs(F.col("odds")) >= min_odds))
         rows = w.collect()
     finally:
         counted.unpersist()
+        keyed.unpersist()
     if not rows:
         return model
     model.default = -round(drift * UNIT)
@@ -251,6 +261,7 @@ def _calibrate(rest: DataFrame, model: Model) -> bool:
 
 def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns with score, predicted, evidence, and passages (start, end: token numbers; e_value)."""
+    no_clash(columns, ["score", "predicted", "evidence", "passages"])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         of = model.scorer()
@@ -272,7 +283,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     model = learn(docs, labels.where(F.col("doc_id").isNotNull() & ~crc_is("doc_id", 5, 0)))
     held = docs.select("doc_id", crc_is("doc_id", 5, 0).alias("held_out"), "text")
     out = score(held, model, ["doc_id", "held_out"])
