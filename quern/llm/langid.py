@@ -7,7 +7,8 @@ difference between its rank there and its rank in the profile, or ``K`` if the p
 Defined cases: a null text, a text without letters, or no profile at all gives ``und`` with score 0. Letters are
 those of ``str.isalpha``, lower-cased; characters beyond the basic plane count as one common symbol. Ties between
 n-grams go to the smaller code, ties between languages to the smaller name. Repeated rows give repeated results; extra
-columns stay out of the result. Rows with a null language or id are not learned from.
+columns stay out of the result. Rows with a null language are not learned from. A model of over ``MAX_LANGUAGES`` languages
+is refused: profiles are part of every task, so their number is bounded by contract, not cut.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import by_slice, crc_is, runs, table
+from .text import by_slice, crc_is, member, no_clash, runs, spread, table
 
 K = 300
 MAX_LANGUAGES = 1000
@@ -138,8 +139,6 @@ class Profiles:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and the margin to the second best; score = 1 - distance / the largest possible distance."""
-        from .text import member
-
         n = len(texts)
         row, rank, code = top_grams(texts, self.k)
         lang, score, margin = ["und"] * n, np.zeros(n), np.zeros(n)
@@ -178,7 +177,8 @@ def learn(docs: DataFrame, k: int = K, max_languages: int = MAX_LANGUAGES) -> Pr
 
 
 def predict(docs: DataFrame, profiles: Profiles, columns: list[str]) -> DataFrame:
-    """The named columns (none of which may be called text, lang_pred, score or margin) with lang_pred, score and margin."""
+    """The named columns with lang_pred, score and margin, names that no carried column may have."""
+    no_clash(columns, ["lang_pred", "score", "margin"])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         lang, score, margin = profiles.predict(part.column("text").to_pylist())
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str]) -> DataFram
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     profiles = learn(docs.where(F.col("doc_id").isNotNull() & ~crc_is("doc_id", 3, 1)))
     held = docs.select("doc_id", crc_is("doc_id", 3, 1).alias("held_out"), "text")
     return predict(held, profiles, ["doc_id", "held_out"])

@@ -160,6 +160,40 @@ def test_langid_distance(corpus):
         assert code[row == r].tolist() == top(t), t
 
 
+def test_langid_prediction(spark, corpus):
+    """Profiles, distances and predictions against plain dictionaries."""
+    def grams(t):
+        count = collections.Counter()
+        for w in "".join(c.lower() if c.isalpha() else " " for c in (t or "")).split():
+            padded = f" {w} "
+            count.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+        return count
+
+    code = lambda g: sum(ord(c if c != " " else "\0") << 16 * (len(g) - 1 - i) for i, c in enumerate(g)) + (len(g) << 16 * len(g))
+    ranked = lambda count: {g: r for r, g in enumerate(sorted(count, key=lambda g: (-count[g], code(g)))[: langid.K])}
+    texts = [(i, t) for i, t in corpus if t is None or all(ord(c) < 0x10000 and len(c.lower()) == 1 for c in t)]
+    lang = lambda i, t: ["aa", "bb", "cc", None][(len(t or "") + i) % 4]
+    rows = [(i, t, lang(i, t)) for i, t in texts]
+    profiles, total = {}, collections.defaultdict(collections.Counter)
+    for i, t, x in rows:
+        if x is not None:
+            total[x] += grams(t)
+    profiles = {x: ranked(c) for x, c in total.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.learn(df)
+    assert model.langs == sorted(profiles)
+    for r in langid.predict(df, model, ["doc_id", "text"]).collect():
+        own = ranked(grams(r.text))
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        far = {x: sum(abs(rank - p[g]) if g in p else langid.K for g, rank in own.items()) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 - far[best] / (len(own) * langid.K))
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumn("score", F.lit(1)), model, ["doc_id", "score"])
+
+
 # --- 2
 
 
@@ -312,6 +346,61 @@ def test_toxicity(spark, odd):
         assert len({r.score for r in toxicity.score(docs, flat, ["doc_id"]).collect()}) == 1
 
 
+def test_toxicity_against_brute_force(spark):
+    """Log-odds, lambda, K, evidence and scores by plain Python."""
+    rng = random.Random(14)
+    calm, bad = [f"calm{i}" for i in range(60)], ["scum", "idiot", "vile", "rotten"]
+    rows, labels = [], {}
+    for i in range(400):
+        t = [rng.choice(calm) for _ in range(rng.randint(0, 40))]
+        labels[i] = int(i % 5 == 0)
+        for _ in range(4 * labels[i]):
+            t.insert(rng.randrange(len(t) + 1), rng.choice(bad))
+        rows.append((i, " ".join(t) or None))
+    rows += [(i, rows[10][1]) for i in range(400, 440)]  # copies
+    labels |= {i: i % 2 for i in range(400, 440)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    half = {r.doc_id: r.h for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("h")).collect()}
+    tokens = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in rows}
+    group = collections.Counter(toxicity.smallest_shingle(t) for i, t in rows if half[i])
+    count = {0: collections.Counter(), 1: collections.Counter()}
+    for i, t in rows:
+        if half[i]:
+            own = {f"w{w}" for w in tokens[i]} | {f"p{w[:k]}" for w in tokens[i] for k in (4, 5, 6) if len(w) >= k} | {""}
+            for f in own:
+                count[labels[i]][f] += round(2**20 / group[toxicity.smallest_shingle(t)]) / 2**20
+    n1, n0 = count[1][""], count[0][""]
+    weights = {}
+    for f in {*count[0], *count[1]} - {""}:
+        a, x, y = count[1][f] + count[0][f], count[1][f], count[0][f]
+        odds = math.log((x + 0.1 * a) / (n1 + 0.1 * (n1 + n0))) - math.log((y + 0.1 * a) / (n0 + 0.1 * (n1 + n0)))
+        if abs(odds) >= max(1.5, 3 * math.sqrt(1 / (x + 0.1 * a) + 1 / (y + 0.1 * a))):
+            weights[f] = max(-6000, min(6000, round(odds * 1000))) - 500
+    assert weights and weights == model.weights
+    word = lambda w: weights.get(f"w{w}", next((weights[f"p{w[:k]}"] for k in (6, 5, 4) if len(w) >= k and f"p{w[:k]}" in weights), -500))
+    scores = {i: [word(w) for w in ws] for i, ws in tokens.items()}
+    # lambda: the expectation of exp(lambda s) over clean tokens of the other half (in steps of 0.1) is one
+    seen = collections.Counter(x // 100 for i in scores if not half[i] and not labels[i] for x in scores[i])
+    top = max(weights.values()) / 1000
+    total = sum(seen.values()) + 0.5
+    assert (sum(n * math.exp(model.lam * v / 10) for v, n in seen.items()) + 0.5 * math.exp(model.lam * top)) / total == pytest.approx(1, abs=1e-6)
+    best = lambda x: max((s for *_, s in brute_segments(x)), default=0)
+    clean = [i for i in scores if not half[i] and not labels[i]]
+    mean = sum(model.lam * (best(scores[i]) // 100) / 10 - math.log(max(1, 0.75 * 2 ** len(scores[i]).bit_length())) for i in clean) / len(clean)
+    assert model.k == pytest.approx(math.exp(mean - 0.5772))
+    for r in toxicity.score(docs, model, ["doc_id"]).collect():
+        own = scores[r.doc_id]
+        kn = math.log(model.k * max(1, len(own)))
+        es = sorted((model.lam * s / 1000 - kn for *_, s in brute_segments(own)), reverse=True)
+        es = [e for e in es if -e <= math.log(0.01)]
+        x = model.lam * best(own) / 1000 - kn
+        for k in range(1, len(es) + 1):
+            x = max(x, sum(es[:k]) + math.lgamma(k + 1))
+        assert r.evidence == pytest.approx(x) and len(r.passages) == len(es)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * min(max(x, -40), 60))))) and r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_repeated_words():
     model = toxicity.Model(weights={"wvile": 3000, "wscum": 3000}, k=0.01)
     calm = "so it goes on and on " * 5
@@ -499,6 +588,29 @@ def test_warc_many_shards_and_damage(spark, tmp_path):
         warc.parse(raw.replace(b"abc", b"abd"))
 
 
+def test_warc_outliers_and_null_ids(spark, tmp_path):
+    """Ids far apart, up to both ends of 64 bits, and many rows without an id, give shards of the size asked for."""
+    ids = [*range(1000), 10**15, -(2**63), 2**63 - 1, *[None] * 400]
+    rows = [(i, "u", f"page {n % 900}") for n, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = []
+    for parts in (2, 5):
+        uri = f"file://{tmp_path}/out{parts}"
+        manifest = warc.write(pages.repartition(parts), uri, shard_bytes=20 * 610)
+        assert manifest.agg(F.max("records")).head()[0] < 60 and 60 < manifest.count() < 110
+        files.append(sorted(map(tuple, manifest.collect())))
+    assert files[0] == files[1]
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h] = min(least.get(h, i), i)
+    got = [(r.page_id, r.payload_digest, r.refers_to) for r in warc.read(spark, uri, payloads=False).collect()]
+    expected = [(i, warc.base32_sha1(h.encode()), least[h] if h in least and least[h] != i else None) for i, _, h in rows]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    with pytest.raises(TypeError):
+        warc.write(pages.withColumn("page_id", F.col("url")), uri)
+
+
 # --- 8
 
 
