@@ -75,6 +75,15 @@ def test_stages(spark, docs):
     assert collections.Counter((r.doc_id, m.decode(r.token_ids)) for r in out) == texts
 
 
+def test_run(spark):
+    """The registered query: the stages over documents, each on what the one before left."""
+    kept = spark.read.parquet(f"{SF}/documents.parquet")
+    out = pipeline.QUERIES["pipeline"](spark, SF).collect()
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert out and {r.doc_id for r in out} <= ids and len({r.doc_id for r in out}) == len(out)
+    assert [*out[0].asDict()] == ["doc_id", "n_tokens", "token_ids", "round_trip"] and all(r.round_trip for r in out)
+
+
 def test_empty(spark, docs):
     none = docs.limit(0)
     for _, stage in pipeline.STAGES:
