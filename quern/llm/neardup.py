@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, store
 from .checkpoints import folder
-from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, no_clash, prefix, runs, span_hash, table, utf8
+from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, no_clash, prefix, runs, span_hash, spread, table, utf8
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
 DEEPER, DENSE, PAIR_BLOCK = 4, 2048, 1024
@@ -405,7 +405,7 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, columns:
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder(spark)
-    out = classes(table(spark, sf_dir, "documents")).drop("first")
+    out = classes(spread(table(spark, sf_dir, "documents"))).drop("first")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

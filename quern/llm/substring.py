@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .blocks import Blocks, store
-from .text import WORD_BASE, WORD_BASE_2, Words, as_long, member, mix, no_clash, prefix, span_hash, table, utf8
+from .text import WORD_BASE, WORD_BASE_2, Words, as_long, member, mix, no_clash, prefix, span_hash, spread, table, utf8
 
 SIZE = 13
 #: Estimated documents from which a window is counted beforehand, and the parts of all words that make one frequent.
@@ -228,7 +228,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(spread(table(spark, sf_dir, "documents")))
 
 
 SQL = {

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .blocks import Blocks, store
 from .checkpoints import fresh
-from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, table, utf8
+from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, spread, table, utf8
 
 LENGTH, GRAM = 200, 100
 #: An anchor is frequent from a SHARE-th of all stretches on, but from HOT[0] at least and HOT[1] at most.
@@ -301,7 +301,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...]
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents"))
+    out = deduplicated(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
