@@ -48,7 +48,7 @@ U = np.uint64
 END = np.uint64(0x5BF0_3635_DCF6_1F2B)
 MU, HOT_CONTEXT, SHARE = (20.0, 4.0), 100_000, 1 << 16
 SLICE, FLUSH = 3 << 20, 1 << 21
-VOCABULARY_SHARD, GRAM_SHARD = 1 << 24, 1 << 21  # tokens of the input a shard
+VOCABULARY_SHARD, GRAM_SHARD = 1 << 23, 1 << 21  # tokens of the input a shard
 
 
 def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +218,13 @@ def relative(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
 
 
 def within(values: eliasfano.Sequence, pointers: eliasfano.Sequence, of: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of x among the successors of each context (by number), or -1."""
-    lo, hi = (pointers.get(of + i).astype(np.int64) for i in (0, 1))
+    """The place of x among the successors of each context (by number), or -1. Equal contexts are looked up once where they
+    stand together."""
+    first = runs(of)
+    lo, hi = (pointers.get(of[first] + i).astype(np.int64) for i in (0, 1))
     start = np.where(lo > 0, values.get(np.maximum(lo - 1, 0)) + U(1), U(0)) if values.n else np.zeros(len(lo), U)
-    return values.find(start + x, lo, hi)
+    size = np.diff(np.r_[first, len(of)])
+    return values.find(np.repeat(start, size) + x, np.repeat(lo, size), np.repeat(hi, size))
 
 
 def code_book(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +414,9 @@ def probabilities(part: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndar
             continue
         (contexts, starts, seconds, ends, thirds), books, codes = got
         at = order[lo:hi]
-        c = contexts.find(numbers[at].astype(U))
+        context = numbers[at]
+        once = runs(context)
+        c = np.repeat(contexts.find(context[once].astype(U)), np.diff(np.r_[once, len(at)]))
         at, c = at[c >= 0], c[c >= 0]
         i = within(seconds, starts, c, v[at].astype(U))
         at, i = at[i >= 0], i[i >= 0]
