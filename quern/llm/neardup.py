@@ -126,21 +126,18 @@ def descended(rows: DataFrame) -> DataFrame:
     """tree, part, rep: the regions of rows (tree, key, rest, more, rep, many), those of over DENSE documents split by their next
     values until they are small or no value is left."""
     high = lambda c: F.shiftright(c, 32)
-    paths = [("key", high("rest")), ("key", "rest"), ("key", "rest", high("more")), ("key", "rest", "more")]
+    paths = [("key", high("rest")), ("key", "rest"), ("key", "rest", high("more")), ("key", "rest", "more")][:DEEPER]
     out, big = rows.where(F.col("many") <= DENSE).select("tree", F.col("key").alias("part"), "rep"), rows.where(F.col("many") > DENSE)
     if not big.limit(1).count():
         return out
-    big = settled(big, 1_000_000)
-    for depth, path in enumerate(paths[:DEEPER], 1):
-        big = big.withColumn("part", F.xxhash64(F.lit(depth), *path))
-        sizes = settled(big.groupBy("tree", "part").agg(F.count("*").alias("size")).where("size > 1"))
-        big = settled(big.join(sizes, ["tree", "part"]), 1_000_000)
-        last = F.lit(depth == DEEPER)
-        out = out.union(big.where((F.col("size") <= DENSE) | last).select("tree", "part", "rep"))
-        big = big.where((F.col("size") > DENSE) & ~last).drop("size", "part")
-        if not big.limit(1).count():
-            break
-    return out
+    big = big.select("tree", "rep", *(F.xxhash64(F.lit(d), *path).alias(f"p{d}") for d, path in enumerate(paths)))
+    sizes = [big.groupBy("tree", f"p{d}").agg(F.count("*").alias(f"n{d}")) for d in range(len(paths))]
+    for d, size in enumerate(sizes):
+        big = big.join(size, ["tree", f"p{d}"])
+    last = len(paths) - 1
+    choice = F.coalesce(*(F.when(F.col(f"n{d}") <= DENSE, F.struct(F.col(f"p{d}").alias("part"), F.col(f"n{d}").alias("n"))) for d in range(last)), F.struct(F.col(f"p{last}").alias("part"), F.col(f"n{last}").alias("n")))
+    big = big.select("tree", "rep", choice.alias("chosen")).where("chosen.n > 1")
+    return out.union(big.select("tree", "chosen.part", "rep"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -355,10 +352,7 @@ def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFram
     texts = settled(texts_of(blocks, used), 20_000)
     # round one: the region's first document, and the neighbours in the sorted order
     star = rows.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    near = neighbours(rows)
-    wanted = _favourites(star).union(_favourites(near)).union(_favourites(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    pairs = wanted.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = components(settled(verified(settled(pairs), texts, size, percent)))
+    found = components(settled(verified(settled(_favourites(star.union(neighbours(rows)))), texts, size, percent)))
     # round two: the most central document of regions that hold several components
     regions = rows.select("tree", F.col("key").alias("part"), "rep")
     held = _spread(regions, found)
