@@ -246,6 +246,15 @@ def _expand(length: int):
     return run
 
 
+def _semi(rows: DataFrame, kinds: DataFrame, on: list[str], count: str, share: int) -> DataFrame:
+    """The rows whose kind is among kinds. Kinds of over ``share`` rows, SHARE at most, are broadcast, and their rows judged where
+    they are; so no group that a shuffle brings together is larger than that."""
+    frequent = kinds.where(F.col(count) > share + HOT[0]).select(*on, F.lit(True).alias("_frequent"))
+    marked = rows.join(F.broadcast(frequent), on, "left")
+    rest = kinds.where(F.col(count) <= share + HOT[0]).select(*on)
+    return marked.where("_frequent").drop("_frequent").unionByName(marked.where("_frequent is null").drop("_frequent").join(rest, on))
+
+
 def removals(blocks: Blocks, length: int) -> DataFrame:
     """block, spans: (place of the first repeated window in the block's bytes, number of windows)."""
     found = stretches(blocks, length)
@@ -255,15 +264,16 @@ def removals(blocks: Blocks, length: int) -> DataFrame:
     found.where("hot").write.mode("overwrite").parquet(path)
     hot = found.sparkSession.read.schema(found.schema).parquet(path)
     # equal surroundings are counted first; those that occur once carry their only place
-    same = ["key", "before", "n", "around"]
+    same, by = ["key", "before", "n", "around"], ["key", "place", "tail"]
     first = hot.groupBy(*same).agg(F.count("*").alias("many"), F.first("block").alias("block"), F.first("at").alias("at")).checkpoint()
-    whole = hot.join(first.where("many > 1").select(*same), same).select("block", "at", F.col("n").cast("int").alias("n"))
+    share = (first.agg(F.sum("many")).first()[0] or 0) // SHARE  # so at most SHARE kinds have more than a share of the rows
+    whole = _semi(hot, first.where("many > 1"), same, "many", share).select("block", "at", F.col("n").cast("int").alias("n"))
     some = first.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     windows = first.join(some, "key").select("key", "before", "n", "around", "block", "at", "many")
     windows = windows.mapInArrow(_expand(length), "key long, place short, tail binary, block long, at int, many long")
-    by = ["key", "place", "tail"]
-    again = windows.groupBy(*by).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*by)
-    single = windows.where("many = 1").join(again, by).select("block", "at", F.lit(1).alias("n"))
+    again = windows.groupBy(*by).agg(F.count("*").alias("kinds")).where("kinds > 1").checkpoint()
+    # a stretch has at most (length - GRAM + 1) windows
+    single = _semi(windows.where("many = 1"), again, by, "kinds", share * (length - GRAM + 1)).select("block", "at", F.lit(1).alias("n"))
     gone = cold.union(whole).union(single)
     return gone.groupBy("block").agg(F.collect_list(F.struct(F.col("at").alias("start"), "n")).alias("spans"))  # at most a block's bytes
 
