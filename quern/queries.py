@@ -576,3 +576,36 @@ def two_q_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         except LookupError:
             out.append((place, "none"))
     return spark.createDataFrame(out, "place int, page string")
+
+
+@query("SELECT * FROM (VALUES (0, 'inserted 5 entries'), (1, '3: 9'), (2, 'deleted 1 entries'), (3, '2: not found'), (4, 'not inserted: 3'), (5, 'inserted 0 entries'), (6, 'not there: 2'), (7, 'deleted 0 entries'), (8, 'unknown command')) r(place, line)")
+def index_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an interactive index answers to typed commands."""
+    import io
+
+    from .cli.__main__ import Repl
+
+    repl = Repl(spark, io.StringIO())
+    for line in ("# squares", "i 1 5", "l 3", "d 2", "l 2", "i 3", "d 2", "x", ""):
+        repl.run(line)
+    return spark.createDataFrame(list(enumerate(repl.out.getvalue().splitlines())), "place int, line string")
+
+
+@query("SELECT * FROM (VALUES (0, 'generate', 0), (1, 'isSorted', 2), (2, 'sort', 0), (3, 'isSorted', 0), (4, 'parseSchema', 0), (5, 'loadSchema', 0), (6, 'showSchema', 0), (7, 'parseSchema', 1), (8, 'isSorted', 1)) c(place, command, code)")
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of the command line, on files of a folder on the driver."""
+    import contextlib
+    import io
+    import tempfile
+
+    from .cli.__main__ import main
+
+    with tempfile.TemporaryDirectory() as folder, contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        with open(f"{folder}/good.sql", "w") as f:
+            f.write(DDL)
+        with open(f"{folder}/bad.sql", "w") as f:
+            f.write("create table")
+        numbers, sorted_, catalog = (scratch(spark, "commands") + "/" + x for x in ("numbers", "sorted", "catalog"))
+        lines = (["generate", numbers, "300"], ["isSorted", numbers], ["sort", numbers, sorted_], ["isSorted", sorted_], ["parseSchema", f"{folder}/good.sql"], ["loadSchema", f"{folder}/good.sql", catalog], ["showSchema", catalog], ["parseSchema", f"{folder}/bad.sql"], ["isSorted", f"{folder}/none"])
+        rows = [(i, x[0], main(x)) for i, x in enumerate(lines)]
+    return spark.createDataFrame(rows, "place int, command string, code int")
