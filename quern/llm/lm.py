@@ -338,12 +338,12 @@ def learn(docs: DataFrame, uri: str, mu: tuple[float, float] = MU) -> Trie:
         hot = np.flatnonzero(counts >= least)
         return len(low), int(counts.sum()), hot.tolist(), counts[hot].tolist()
 
-    def shards(n: int, find: Callable, build: Callable) -> list[tuple]:
+    def shards(n: int, find: Callable, build: Callable) -> DataFrame:
         parts = docs.mapInArrow(_blocks(find), "shard int, block binary")
-        parts = parts.repartition(n, "shard").sortWithinPartitions("shard")
-        return [tuple(r) for r in parts.mapInArrow(_by_shard(build), _BUILT).collect()]  # a row a shard
+        return parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(build), _BUILT)
 
-    trie = Trie(uri, bits, shards(1 << bits, find, build), max(1, int(about // GRAM_SHARD)), least, mu)
+    vocabulary = [tuple(r) for r in shards(1 << bits, find, build).collect()]  # a row a shard of 2**23 tokens
+    trie = Trie(uri, bits, vocabulary, max(1, int(about // GRAM_SHARD)), least, mu)
 
     def find_triples(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         t, first = tokens(part)
@@ -376,7 +376,7 @@ def learn(docs: DataFrame, uri: str, mu: tuple[float, float] = MU) -> Trie:
         return len(u), len(number), [], []
 
     if trie.v:
-        shards(trie.shards, find_triples, build_grams)
+        shards(trie.shards, find_triples, build_grams).agg(F.sum("total")).first()
     return trie
 
 
