@@ -46,7 +46,7 @@ from .text import Words, crc_is, mix, no_clash, runs, slices, spread, table, utf
 
 U = np.uint64
 END = np.uint64(0x5BF0_3635_DCF6_1F2B)
-MU, HOT_CONTEXT, SHARE = (20.0, 4.0), 100_000, 1 << 16
+MU, HOT_CONTEXT, SHARE = (50.0, 10.0), 100_000, 1 << 16
 SLICE, FLUSH = 3 << 20, 1 << 21
 VOCABULARY_SHARD, GRAM_SHARD = 1 << 23, 1 << 21  # tokens of the input a shard
 
