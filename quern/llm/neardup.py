@@ -343,8 +343,8 @@ def _favourites(star: DataFrame) -> DataFrame:
     return best.select("a", (-F.col("x.b")).alias("b"))
 
 
-def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """v, comp: the component of each linked class of reps (rep, block, row, n, sig); None without links."""
+def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """v, comp: the component of each linked class of reps (rep, block, row, n, sig)."""
     rows = forest(reps)
     heads = settled(rows.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1"))
     rows = settled(rows.join(heads, ["tree", "key"]), 1_000_000)

@@ -38,7 +38,7 @@ def as_long(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("long")) if kind != "bigint" else df
 
 
-def spread(df: DataFrame, column: str = "text") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """df, dealt out anew where its scan has fewer partitions than the session has cores, so that none stands idle."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
@@ -183,22 +183,3 @@ def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
         pa.default_memory_pool().release_unused()
 
     return run
-
-
-def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with a string column compressed (binary; nulls stay), for shuffles that carry whole texts."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        codec = pa.Codec("zstd", compression_level=1)
-        raw = [None if t is None else t.encode() for t in part.column(column).to_pylist()]
-        out = [None if r is None else len(r).to_bytes(8, "little") + codec.compress(r).to_pybytes() for r in raw]
-        return part.set_column(part.schema.get_field_index(column), column, pa.array(out, pa.binary()))
-
-    kinds = ", ".join(f"`{c}` {'binary' if c == column else t}" for c, t in df.dtypes)
-    return df.mapInArrow(by_slice(run, column), kinds)
-
-
-def unsqueezed(column: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd")
-    raw = [None if z is None else codec.decompress(z[8:], int.from_bytes(z[:8], "little")).to_pybytes() for z in column.to_pylist()]
-    return pa.array(raw, pa.binary()).cast(pa.string())
