@@ -33,7 +33,7 @@ from .text import by_slice, no_clash, spread, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Cached stretches of a worker, and the longest that is cached.
+#: Cached stretches of a worker's generation, and the longest that is cached.
 CACHE, CACHED_CHARS = 300_000, 32
 
 
@@ -84,6 +84,7 @@ class Model:
         surface = {2: " ⁇ ", 3: ""}
         self.raw = [bytes((self.byte_of[i],)) if kind == 6 else surface.get(kind, p.replace(MARK, " ")).encode() for i, (p, _, kind) in enumerate(pieces)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def load(path: str) -> Model:
@@ -160,6 +161,17 @@ class Model:
             n -= size[n]
         return out[::-1]
 
+    def _known(self, s: str) -> bytes:
+        """The ids of a stretch; short ones are kept in two generations, of which the older goes when the younger is full."""
+        got = self.older.get(s)
+        if got is None:
+            got = np.array(self._stretch(s), np.int32).tobytes()
+        if len(s) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE:
+                self.cache, self.older = {}, self.cache
+            self.cache[s] = got
+        return got
+
     def encode(self, text: str | None) -> np.ndarray:
         if text and self.trim:
             text = re.sub(" +", " ", text.strip(" "))
@@ -167,16 +179,12 @@ class Model:
             return np.zeros(0, np.int32)
         if self.dummy_prefix:
             text = " " + text
-        cache, parts = self.cache, STRETCH.findall(text.replace(" ", MARK))
-        out = []
-        for s in parts:
+        cache, out = self.cache, []
+        for s in STRETCH.findall(text.replace(" ", MARK)):
             got = cache.get(s)
             if got is None:
-                got = np.array(self._stretch(s), np.int32).tobytes()
-                if len(s) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[s] = got
+                got = self._known(s)
+                cache = self.cache
             out.append(got)
         return np.frombuffer(b"".join(out), np.int32)
 

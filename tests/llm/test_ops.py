@@ -237,6 +237,18 @@ def test_bpe_equals_the_library(corpus):
         assert m.decode(m.encode(t)) == t.replace("▁", " ")
 
 
+def test_pieces_cache(monkeypatch):
+    m, plain = pieces.Model.load(pieces.MODEL), pieces.Model.load(pieces.MODEL)
+    monkeypatch.setattr(pieces, "CACHE", 7)
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    for _ in range(50):
+        t = " ".join(rng.choice(vocabulary) for _ in range(30))
+        assert m.encode(t).tolist() == plain.encode(t).tolist() and m.decode(m.encode(t)) == t
+        plain.cache.clear()
+        assert len(m.cache) <= 7 and len(m.older) <= 7
+
+
 def test_pieces_frames(spark, odd):
     out = pieces.encode(odd, columns=("doc_id", "key"))
     rows = out.collect()
