@@ -18,6 +18,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .checkpoints import fresh
 from .text import slices, utf8
@@ -28,11 +29,11 @@ REFS = "block long, file string, place long, size long, bytes long"
 
 @dataclass
 class Blocks:
-    """refs: REFS; kinds: the types of the stored columns; total: bytes of text; tasks: a fitting number of tasks."""
+    """refs: REFS; schema: of the stored columns; total: bytes of text; tasks: a fitting number of tasks."""
 
     uri: str
     refs: DataFrame
-    kinds: dict[str, str]
+    schema: T.StructType
     total: int
     tasks: int
 
@@ -59,7 +60,7 @@ class Blocks:
 
         return self.refs.select("block", "file", "place", "size").mapInArrow(run, schema)
 
-    def beside(self, more: DataFrame, fn: Callable[[int, Callable[[], pa.RecordBatch], list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def beside(self, more: DataFrame, fn: Callable[[int, Callable[[], pa.RecordBatch], list[tuple]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
         """What fn(block, read, rows) gives for each block, where rows are more's rows of that block (block, part, ..), by part."""
         read = self.reader()
         kinds = dict(more.dtypes)
@@ -134,4 +135,4 @@ def store(docs: DataFrame) -> Blocks:
     refs = docs.select(*names).mapInArrow(run, REFS).checkpoint()
     n, total = refs.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return Blocks(uri, refs, dict(docs.dtypes), total, max(1, min(n, 2 * cores), n // BLOCKS_A_TASK))
+    return Blocks(uri, refs, docs.schema, total, max(1, min(n, 2 * cores), n // BLOCKS_A_TASK))

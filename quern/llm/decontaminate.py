@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import BYTE_BASE, BYTE_CODE, LOWER, SPACE, as_long, by_slice, mix, no_clash, powers, prefix, runs, spread, table, utf8
+from .text import BYTE_BASE, BYTE_CODE, LOWER, SPACE, as_long, by_slice, mix, no_clash, powers, prefix, runs, spread, table, utf8, with_fields
 
 Q, RATE, BLOCK_BYTES = 9, 0.08, 4 << 20
 POSTINGS, ALIGN_BYTES = 1 << 21, 4 << 20
@@ -310,7 +310,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], q: int =
     session = docs.sparkSession
     no_clash(columns, ["item_id", "start", "end", "edits"])
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns) + SCHEMA
+    kinds = with_fields(chosen.schema, columns, SCHEMA)
     out = None
     for block in blocks(benchmark, block_bytes):
         shared = session.sparkContext.broadcast(block)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import by_slice, crc_is, member, no_clash, runs, spread, table
+from .text import by_slice, crc_is, member, no_clash, runs, spread, table, with_fields
 
 K = 300
 MAX_LANGUAGES = 1000
@@ -185,8 +185,7 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str]) -> DataFram
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], [*columns, "lang_pred", "score", "margin"])
 
     chosen = docs.select(*columns, F.col("text").alias("text")) if "text" not in columns else docs.select(*columns)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c in columns)
-    return chosen.mapInArrow(by_slice(run), kinds + ", lang_pred string, score double, margin double")
+    return chosen.mapInArrow(by_slice(run), with_fields(chosen.schema, columns, "lang_pred string, score double, margin double"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

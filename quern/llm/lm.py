@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .checkpoints import fresh
-from .text import Words, crc_is, mix, no_clash, runs, slices, spread, table, utf8
+from .text import Words, crc_is, mix, no_clash, runs, slices, spread, table, utf8, with_fields
 
 U = np.uint64
 END = np.uint64(0x5BF0_3635_DCF6_1F2B)
@@ -444,8 +444,7 @@ def score(docs: DataFrame, trie: Trie, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out)], [*columns, *added])
 
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns)
-    return chosen.mapInArrow(run, kinds + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chosen.mapInArrow(run, with_fields(chosen.schema, columns, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, store
 from .checkpoints import folder
-from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, no_clash, prefix, runs, span_hash, spread, table, utf8
+from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, prefix, runs, span_hash, spread, table, utf8, with_fields
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
 DEEPER, DENSE, PAIR_BLOCK = 4, 2048, 1024
@@ -85,7 +85,7 @@ def _sum_by_row(v: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(blocks: Blocks, size: int) -> DataFrame:
-    """doc_id, own, block, row, n, f1, f2 (of the set), sig of each row."""
+    """doc_id, block, row, n, f1, f2 (of the set), sig of each row."""
 
     def run(block: int, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, whole.num_rows, 1 << _ROW_BITS):
@@ -94,9 +94,9 @@ def fingerprints(blocks: Blocks, size: int) -> DataFrame:
             f = [_sum_by_row(mix(h ^ np.uint64(s)), first).view(np.int64) for s in (11, 12)]
             packed = pa.array([r.tobytes() for r in signatures(h, first)], pa.binary())
             where = [pa.array(np.full(part.num_rows, block)), pa.array(np.arange(lo, lo + part.num_rows, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column("own"), part.column("doc_id"), *where, pa.array(np.diff(first)), *map(pa.array, f), packed], ["own", "doc_id", "block", "row", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *where, pa.array(np.diff(first)), *map(pa.array, f), packed], ["doc_id", "block", "row", "n", "f1", "f2", "sig"])
 
-    return blocks.each(run, f"own {blocks.kinds['own']}, doc_id long, block long, row int, n long, f1 long, f2 long, sig binary")
+    return blocks.each(run, "doc_id long, block long, row int, n long, f1 long, f2 long, sig binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -373,14 +373,10 @@ def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFram
     return extended(found, settled(verified(more, texts, size, percent))) if more.limit(1).count() else found
 
 
-def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The named columns, n_shingles, component_id and first (whether the row is the one of its component that stays: the
-    smallest text's place among the rows with the smallest id) of each row of docs (doc_id, text)."""
+def _classified(blocks: Blocks, size: int, percent: int) -> DataFrame:
+    """block, row, doc_id, n_shingles, component_id, first (whether the row is the one of its component that stays)."""
     if percent < 80:
         raise ValueError("thresholds below 80 % need more trees")
-    no_clash(columns, ["n_shingles", "component_id", "first"])
-    docs = as_long(docs, "doc_id")
-    blocks = store(docs.select(F.struct(*columns).alias("own"), "doc_id", "text"))
     prints = fingerprints(blocks, size).checkpoint()
     some = prints.where("n > 0 and doc_id is not null")
     reps = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "block", "row")).alias("x"), F.first("sig").alias("sig"))
@@ -394,7 +390,27 @@ def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, columns:
     # null ids and empty sets have a component of their own
     alone = F.col("least").isNull() | F.col("doc_id").isNull()
     first = alone | ((F.col("block") == F.col("least.block")) & (F.col("row") == F.col("least.row")))
-    return out.select("own.*", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
+    return out.select("block", "row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
+
+
+def classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and first (one row of each component: the smallest id, ties by place) of each row."""
+    blocks = store(as_long(docs, "doc_id").select("doc_id", "text"))
+    return _classified(blocks, size, percent).drop("block", "row")
+
+
+def deduplicated(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each component."""
+    others = [c for c in docs.columns if c != "text"]
+    blocks = store(as_long(docs, "doc_id").select(F.struct(*(docs[f"`{c}`"] for c in others)).alias("own"), F.col("doc_id"), "text"))
+    stay = _classified(blocks, size, percent).where("first").groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows")).withColumn("part", F.lit(0))
+
+    def run(block: int, read: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield read().select(["own", "text"]).take(rows[0][1].values)
+
+    out = blocks.beside(stay, run, with_fields(blocks.schema, ["own"], "text string"))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

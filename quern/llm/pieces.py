@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import by_slice, no_clash, spread, table
+from .text import by_slice, no_clash, spread, table, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -215,8 +215,7 @@ def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n), flat, pa.array(same)], [*columns, "n_tokens", "token_ids", "round_trip"])
 
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns)
-    return chosen.mapInArrow(by_slice(run), kinds + "n_tokens long, token_ids array<int>, round_trip boolean")
+    return chosen.mapInArrow(by_slice(run), with_fields(chosen.schema, columns, "n_tokens long, token_ids array<int>, round_trip boolean"))
 
 
 def decode(ids: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -230,8 +229,7 @@ def decode(ids: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
 
     chosen = ids.select(*columns, "token_ids")
-    kinds = "".join(f"`{c}` {t}, " for c, t in chosen.dtypes if c in columns)
-    return chosen.mapInArrow(run, kinds + "text string")
+    return chosen.mapInArrow(run, with_fields(chosen.schema, columns, "text string"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .blocks import Blocks, store
-from .text import WORD_BASE, WORD_BASE_2, Words, as_long, member, mix, no_clash, prefix, span_hash, spread, table, utf8
+from .text import WORD_BASE, WORD_BASE_2, Words, as_long, member, mix, no_clash, prefix, span_hash, spread, table, utf8, with_fields
 
 SIZE = 13
 #: Estimated documents from which a window is counted beforehand, and the parts of all words that make one frequent.
@@ -178,7 +178,7 @@ def kept(docs: DataFrame, size: int, columns: list[str], finish: Callable, schem
         np.add.at(step, starts + size, -1)
         yield finish(part, words, np.cumsum(step)[: len(words.start)] > 0)
 
-    return blocks.beside(gone, run, f"own {blocks.kinds['own']}, {schema}").select("own.*", *[s.split()[0] for s in schema.split(", ")])
+    return blocks.beside(gone, run, with_fields(blocks.schema, ["own"], schema)).select("own.*", *[s.split()[0] for s in schema.split(", ")])
 
 
 def _texts(w: Words, gone: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .blocks import Blocks, store
 from .checkpoints import fresh
-from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, spread, table, utf8
+from .text import BYTE_BASE, BYTE_CODE, mix, no_clash, powers, prefix, runs, spread, table, utf8, with_fields
 
 LENGTH, GRAM = 200, 100
 #: An anchor is frequent from a SHARE-th of all stretches on, but from HOT[0] at least and HOT[1] at most.
@@ -306,7 +306,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...]
         per = lambda x: pa.array(x[borders[1:]] - x[borders[:-1]])
         yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(np.diff(borders)), per(c), per(b), kept], ["own", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = blocks.beside(gone, run, f"own {blocks.kinds['own']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = blocks.beside(gone, run, with_fields(blocks.schema, ["own"], "n_bytes long, n_removed long, n_spans long, kept binary"))
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 

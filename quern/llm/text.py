@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at a time.
 SLICE_BYTES = 1 << 20
@@ -30,6 +31,11 @@ def no_clash(columns: list[str] | tuple[str, ...], added: list[str]) -> None:
         raise ValueError(f"columns called {', '.join(bad)} cannot be carried; rename them")
 
 
+def with_fields(schema: T.StructType, columns: list[str] | tuple[str, ...], added: str) -> T.StructType:
+    """The carried columns' fields, whatever their names, and the added ones, given as DDL."""
+    return T.StructType([*(T.StructField(c, schema[c].dataType) for c in columns), *T.StructType.fromDDL(added).fields])
+
+
 def as_long(df: DataFrame, column: str) -> DataFrame:
     """df, checked: the operator compares ids as 64-bit integers."""
     kind = dict(df.dtypes)[column]

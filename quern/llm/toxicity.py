@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import by_slice, crc_is, no_clash, spread, table
+from .text import by_slice, crc_is, no_clash, spread, table, with_fields
 
 MAX_ROWS = 20_000
 _ONE = 1 << 20  # a document's count
@@ -278,8 +278,8 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         )
 
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c in columns)
-    return chosen.mapInArrow(by_slice(run), kinds + ", score double, predicted int, evidence double, passages array<struct<start: long, end: long, e_value: double>>")
+    added = "score double, predicted int, evidence double, passages array<struct<start: long, end: long, e_value: double>>"
+    return chosen.mapInArrow(by_slice(run), with_fields(chosen.schema, columns, added))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -725,18 +725,24 @@ def test_near_duplicates_odd_rows(spark, odd, corpus):
     other = " ".join(reversed(base.split()))
     extra = [(-3, base + " x"), (-3, other), (700, other + " y"), (701, other), (-2, base)]
     rows = [(r.doc_id, r.text) for r in odd.collect()] + extra
-    got = neardup.classes(odd.union(frame(spark, extra, 1)), columns=("doc_id", "key")).collect()
+    every = odd.union(frame(spark, extra, 1)).withColumn("first", F.lit("own")).withColumn("a b", F.lit(2))
+    got = neardup.classes(every).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 85)
     stay = collections.Counter(r.component_id for r in got if r.first and r.component_id is not None and r.n_shingles)
     linked = [r for r in got if r.doc_id is not None and r.n_shingles]
     assert all(r.component_id in stay for r in linked) and stay[-3] == 2 and all(r.first for r in got if r.doc_id is None or not r.n_shingles)
-    assert neardup.classes(empty(spark)).collect() == []
+    left = neardup.deduplicated(every)
+    assert left.dtypes == every.dtypes
+    texts = collections.defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
+    kept = [tuple(r) for r in left.collect()]
+    assert collections.Counter(r[0] for r in kept) == collections.Counter(r.doc_id for r in got if r.first) and all(r[1] in texts[r[0]] and r[-2:] == ("own", 2) for r in kept)
+    assert neardup.classes(empty(spark)).collect() == [] and neardup.deduplicated(empty(spark)).collect() == []
     with pytest.raises(ValueError):
         neardup.classes(odd, percent=50)
     with pytest.raises(TypeError):
         neardup.classes(odd.withColumn("doc_id", F.col("text")))
-    with pytest.raises(ValueError):
-        neardup.classes(odd.withColumn("first", F.lit(1)), columns=("first",))
 
 
 # --- 10
