@@ -33,12 +33,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = docs.select("doc_id", "text", F.struct("*").alias("own"))
-    return neardup.classes(own, percent=SIMILARITY_PERCENT, columns=("own",)).where("first").select("own.*")
+    return neardup.deduplicated(docs, percent=SIMILARITY_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substring.deduplicated(docs.select("doc_id", "text", F.struct("*").alias("own")))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own")
+    left = substring.deduplicated(docs.select("doc_id", "text", own))
     n_chars = F.when(F.col("lost"), F.length("text")).otherwise(F.col("own.n_chars"))
     new = {"text": F.col("text"), "n_chars": n_chars}
     return left.where("not lost or text <> ''").select(*(new.get(c, F.col(f"own.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes))
