@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .checkpoints import fresh
-from .text import slices, utf8
+from .text import release, slices, utf8
 
-BLOCK_BYTES, BLOCKS_A_TASK = 2 << 20, 16
+BLOCK_BYTES, BLOCKS_A_TASK = 1_000_000, 32
 REFS = "block long, file string, place long, size long, bytes long"
 
 
@@ -56,7 +56,7 @@ class Blocks:
             for batch in batches:
                 for block, file, place, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield from fn(block, read(file, place, size))
-            pa.default_memory_pool().release_unused()
+            release()
 
         return self.refs.select("block", "file", "place", "size").mapInArrow(run, schema)
 
@@ -88,7 +88,7 @@ class Blocks:
                         held.append((part[i], *(c[i] for c in rest)))
             if now is not None:
                 yield from done()
-            pa.default_memory_pool().release_unused()
+            release()
 
         return rows.mapInArrow(run, schema)
 
@@ -130,7 +130,7 @@ def store(docs: DataFrame) -> Blocks:
             out.close()
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "file", "place", "size", "bytes"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     refs = docs.select(*names).mapInArrow(run, REFS).checkpoint()
     n, total = refs.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import fresh
-from .text import Words, as_long, by_slice, member, slices, spread, table, utf8
+from .text import Words, as_long, by_slice, member, release, slices, spread, table, utf8
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK, DENSE, CHUNK, SHARD_BYTES, SHARD_ROWS, BLOCK_TERMS = 64, 16, 64, 24 << 20, 1 << 16, 2_000_000
@@ -171,7 +171,7 @@ def index(docs: DataFrame) -> Index:
             rows.append((_saved(uri, [h[start], np.r_[start, len(h)], doc[order], tf[order], length, ids, none]), n, int(length.sum())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "documents", "words"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     files = as_long(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "file string, documents long, words long").checkpoint()
     total = files.agg(F.sum("documents"), F.sum("words")).first()
@@ -335,7 +335,7 @@ def ask(of: Index, queries: DataFrame, k: int = K, block_terms: int = BLOCK_TERM
                     if held:
                         i, found, scores = (np.concatenate(x) for x in zip(*held, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array(ids[found], mask=none[found].astype(bool)), pa.array(scores)], ["number", "query_id", "doc_id", "score"])
-            pa.default_memory_pool().release_unused()
+            release()
 
         found = of.files.select("file").mapInArrow(run, schema)
         out = found if out is None else out.union(found)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .checkpoints import fresh
-from .text import Words, crc_is, mix, no_clash, runs, slices, spread, table, utf8, with_fields
+from .text import Words, crc_is, mix, no_clash, release, runs, slices, spread, table, utf8, with_fields
 
 U = np.uint64
 END = np.uint64(0x5BF0_3635_DCF6_1F2B)
@@ -156,6 +156,8 @@ def _blocks(find: Callable) -> Callable:
                 held, n = [], 0
         if n:
             yield flush(held)
+        held = []
+        release()
 
     return run
 
@@ -186,6 +188,8 @@ def _by_shard(build: Callable[[int, list[bytes]], tuple]) -> Callable:
                     size = len(blocks[0]) // 2
         if now is not None:
             yield done()
+        blocks = []
+        release()
 
     return run
 
@@ -442,6 +446,7 @@ def score(docs: DataFrame, trie: Trie, columns: list[str]) -> DataFrame:
             rows = first[:-1]
             out = [np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), rows), np.full(part.num_rows, trie.n, np.int64), np.add.reduceat(np.log10(base), rows), np.add.reduceat(np.log10(model), rows)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out)], [*columns, *added])
+        release()
 
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     return chosen.mapInArrow(run, with_fields(chosen.schema, columns, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))

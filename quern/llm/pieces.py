@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Cached stretches of a worker's generation, and the longest that is cached.
-CACHE, CACHED_CHARS = 300_000, 32
+CACHE, CACHED_CHARS = 150_000, 32
 
 
 def _fields(data: bytes):

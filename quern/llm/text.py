@@ -6,6 +6,9 @@ All functions work on one slice of a record batch (``slices``), so the memory of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,6 +181,14 @@ def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == x, at, -1)
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the machine, as the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int | None = None):
     """A function for mapInArrow that applies fn to each slice."""
 
@@ -186,6 +197,6 @@ def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
