@@ -15,7 +15,8 @@ Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-
 5. Round three, so that no link is lost: what still lies in several components of a region is compared across components,
    every pair, in blocks. Here the forest is descended: a region of over ``DENSE`` documents is split by its next value, and
    so on for up to ``DEEPER`` values, until it is small. (A pair that is split in every tree and that no chain of links
-   joins is missed: at 0.85 at most 4e-7 of the pairs in regions that are one deeper, 4e-4 at the full depth.) Pairs are left
+   joins is missed: of the pairs in regions that are one deeper at most 4e-7 at 0.85 and 3e-5 at 0.8, at the full depth 4e-4
+   and 9e-3.) Pairs are left
    out only where a link is ruled out by the sizes, by the counts of round two, or by how many shingles a document shares with
    its main component as a whole, or where as few of the 60 signature values agree as 8 standard deviations below the
    threshold (of pairs at 0.85 less than 1e-12).
