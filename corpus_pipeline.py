@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, langid, neardup, pieces, substring
 from quern.llm.checkpoints import fresh, removed
-from quern.llm.text import table
+from quern.llm.text import packed, table, unpacked
 
 MIN_SCORE, SIMILARITY_PERCENT = 0.25, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.learn(docs)
-    marked = langid.predict(docs.select(F.struct("*").alias("own"), "text"), profiles, ["own"])
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("own.*")
+    own = packed(docs)
+    marked = langid.predict(own, profiles, own.columns)
+    return unpacked(marked.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

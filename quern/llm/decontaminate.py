@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import BYTE_BASE, BYTE_CODE, LOWER, SPACE, as_long, by_slice, mix, no_clash, powers, prefix, runs, spread, table, utf8, with_fields
+from .text import BYTE_BASE, BYTE_CODE, LOWER, SPACE, as_long, by_slice, mix, no_clash, packed, powers, prefix, runs, spread, table, unpacked, utf8, with_fields
 
 Q, RATE, BLOCK_BYTES = 9, 0.08, 4 << 20
 POSTINGS, ALIGN_BYTES = 1 << 21, 4 << 20
@@ -335,7 +335,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], q: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs whose text holds no item; one pass for each block of items, nothing is shuffled."""
-    out = docs.select(F.struct("*").alias("own"), "text")
+    out = packed(docs)
     for block in blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -350,7 +350,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
             yield from by_slice(one)(batches)
 
         out = out.mapInArrow(run, out.schema)
-    return out.select("own.*")
+    return unpacked(out, docs)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from .text import by_slice, crc_is, member, no_clash, runs, spread, table, with_
 
 K = 300
 MAX_LANGUAGES = 1000
+#: Bytes of text that are compared at a time: their n-grams take some hundred times as much.
+PREDICT_BYTES = 1 << 18
 _ASTRAL = 0xFFFF
 _fold: list[np.ndarray] = []
 
@@ -185,7 +187,7 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str]) -> DataFram
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score), pa.array(margin)], [*columns, "lang_pred", "score", "margin"])
 
     chosen = docs.select(*columns, F.col("text").alias("text")) if "text" not in columns else docs.select(*columns)
-    return chosen.mapInArrow(by_slice(run), with_fields(chosen.schema, columns, "lang_pred string, score double, margin double"))
+    return chosen.mapInArrow(by_slice(run, limit=PREDICT_BYTES), with_fields(chosen.schema, columns, "lang_pred string, score double, margin double"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

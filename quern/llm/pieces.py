@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import by_slice, no_clash, spread, table, with_fields
+from .text import KEPT, by_slice, no_clash, spread, table, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -196,7 +196,8 @@ class Model:
 
 @lru_cache(2)
 def model(path: str) -> Model:
-    """One for each path and Python worker."""
+    """One for each path and Python worker, until a task of another operator comes."""
+    KEPT["pieces"] = model.cache_clear
     return Model.load(path)
 
 
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n), flat, pa.array(same)], [*columns, "n_tokens", "token_ids", "round_trip"])
 
     chosen = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    return chosen.mapInArrow(by_slice(run), with_fields(chosen.schema, columns, "n_tokens long, token_ids array<int>, round_trip boolean"))
+    return chosen.mapInArrow(by_slice(run, keeps="pieces"), with_fields(chosen.schema, columns, "n_tokens long, token_ids array<int>, round_trip boolean"))
 
 
 def decode(ids: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

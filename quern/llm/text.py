@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,21 @@ def with_fields(schema: T.StructType, columns: list[str] | tuple[str, ...], adde
     return T.StructType([*(T.StructField(c, schema[c].dataType) for c in columns), *T.StructType.fromDDL(added).fields])
 
 
+def _field(name: str, of: str = "") -> Column:
+    return F.col(of + "`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and a struct own of all other columns: what is carried along goes to Python without a second copy of the texts."""
+    rest = [_field(c) for c in docs.columns if c != "text"]
+    return docs.select(*([F.struct(*rest).alias("own")] if rest else []), "text")
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows of ``packed``."""
+    return df.select(*(F.col("text") if c == "text" else _field(c, "own.").alias(c) for c in docs.columns))
+
+
 def as_long(df: DataFrame, column: str) -> DataFrame:
     """df, checked: the operator compares ids as 64-bit integers."""
     kind = dict(df.dtypes)[column]
@@ -189,10 +204,23 @@ def release() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int | None = None):
-    """A function for mapInArrow that applies fn to each slice."""
+#: What an operator keeps in a worker from task to task: its name, and what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Drops what other operators keep in this worker, which would otherwise stay beside what the next task needs."""
+    if others := [name for name in KEPT if name != but]:
+        for name in others:
+            KEPT.pop(name)()
+        release()
+
+
+def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int | None = None, keeps: str | None = None):
+    """A function for mapInArrow that applies fn to each slice; keeps: the name in KEPT that the operator goes by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for part in slices(batches, column, limit):
             out = fn(part)
             if out is not None and out.num_rows:

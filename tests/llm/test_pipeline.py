@@ -2,12 +2,14 @@
 
 import collections
 import re
+import tracemalloc
 
 import corpus_pipeline as pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
-from quern.llm import decontaminate, langid, pieces
+from quern.llm import decontaminate, langid, pieces, text
 from quern.llm.registry import QUERIES, SQL
 from test_ops import brute_components, brute_windows, words
 
@@ -107,3 +109,47 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     wanted = c.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_texts_go_to_python_once(spark, docs, monkeypatch):
+    """Stages that carry whole rows along: what they hand to Python has each text once, and the rows come back as they were."""
+    odd = docs.withColumnRenamed("kept", "a`b.c")
+    frame = type(docs)
+    seen, real = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: (seen.append(self.schema), real(self, *a, **b))[1])
+    for stage in (pipeline.language, pipeline.decontamination):
+        seen.clear()
+        got = stage(spark, odd, SF)
+        assert seen and all(s.simpleString().count("text:") == 1 for s in seen)
+        assert got.columns == odd.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in odd.collect()} and got.count()
+    alone = decontaminate.clean(docs.select("text"), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert alone.columns == ["text"] and alone.count()
+
+
+def test_workers_forget_pieces():
+    """A worker's pieces stay for tasks that encode, and go when a task of another operator starts."""
+    batch = pa.RecordBatch.from_pydict({"text": ["some text"]})
+    pieces.model(pieces.MODEL).encode("some text")
+    assert list(text.by_slice(lambda part: part, keeps="pieces")(iter([batch]))) == [batch]
+    assert pieces.model.cache_info().currsize == 1
+    assert list(text.by_slice(lambda part: part)(iter([batch]))) == [batch]
+    assert pieces.model.cache_info().currsize == 0
+    pieces.model(pieces.MODEL)
+    text.forget()
+    assert pieces.model.cache_info().currsize == 0
+
+
+def test_language_id_memory(spark, docs, monkeypatch):
+    """Comparing a megabyte of text takes some tens of megabytes in a worker."""
+    frame, held = type(docs), []
+    profiles = langid.learn(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, fn, schema: held.append(fn) or self)
+    langid.predict(docs.select("doc_id", "text"), profiles, ["doc_id"])
+    words = ["".join(chr(97 + i // 26**j * 7919 % 26) for j in range(4)) + "ndings" for i in range(150_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [" ".join(words[i * 150 : i * 150 + 150]) for i in range(1000)]})
+    langid.fold_table()
+    tracemalloc.start()
+    got = sum(part.num_rows for part in held[0](iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got == 1000 and peak < 64 << 20
