@@ -7,13 +7,14 @@ score does not depend on its shard; each shard gives its k best for each query,
    shared folder with its terms, their lists, lengths and ids. A checkpointed table names the files.
 2. Queries are a stated set: they come to the driver in blocks of at most ``BLOCK_TERMS`` terms, each of which is broadcast
    to two scans of the index, not of the texts: one of the shards' term directories for document frequencies, one to search.
-3. In a shard, documents are put in an order in which like ones are near each other, and each list of a query's term is cut
-   into blocks of ``BLOCK`` documents with its maximum in each. WAND's test is made on these, for all lists and all blocks of
-   the order at once: a block can hold a pivot only where the maxima of the lists that reach it sum to the k-th best score so
-   far. The blocks with the best sums are scored in full first, which raises the threshold, then those that still reach it;
-   postings of all other blocks are never touched. (Cursors that move one query at a time from pivot to pivot make the same
-   test, one document at a time.) Lists in over 1 / ``DENSE`` of a shard are kept as rows, the others as postings by block.
-   ``CHUNK`` queries go through a shard together, and thresholds are carried on to a task's next shard.
+3. In a shard, documents are put in an order in which like ones are near each other. Block-max MaxScore: lists in over
+   1 / ``DENSE`` of a shard, which have most of the postings, are kept as rows in blocks of ``BLOCK`` documents with their
+   maximum in each; the others are added up by document, one query at a time. A block can hold an answer only where its
+   best sum of rare lists and the maxima of the frequent ones reach the k-th best score so far. The blocks with the best
+   sums are scored first, which raises the threshold, then those that still reach it; frequent lists of all other blocks
+   are never touched. Within a block they are first multiplied in single precision, rounded up by what that can lose, and
+   in double precision only for documents that still reach the threshold, so scores and answers are exact.
+   Queries go through a shard ``CHUNK_CELLS`` (query, document) pairs at a time, and thresholds are carried on to a task's next shard.
 
 score = sum over the query's words of idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)),
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)); words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Scores are rounded to
@@ -41,7 +42,7 @@ from .checkpoints import fresh
 from .text import Words, as_long, by_slice, member, release, slices, spread, table, utf8
 
 K, K1, B = 10, 1.2, 0.75
-BLOCK, DENSE, CHUNK, SHARD_BYTES, SHARD_ROWS, BLOCK_TERMS = 64, 16, 64, 24 << 20, 1 << 16, 2_000_000
+BLOCK, DENSE, CHUNK_CELLS, SHARD_BYTES, SHARD_ROWS, BLOCK_TERMS = 64, 16, 1 << 21, 24 << 20, 1 << 16, 2_000_000
 _ROUND = 6
 _KINDS = ("<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
 
@@ -205,7 +206,8 @@ class Shard:
     """A shard's lists for a block's terms; impacts are what multiplies a term's weight.
 
     Documents are ordered by their strongest frequent term, so that a block's documents are alike and its maxima tight.
-    rows, maxima: the frequent lists. For the others, by term: entries (block, maximum, first posting) and their postings.
+    exact, rows, maxima: the frequent lists by document, by block in single precision, and their maxima by block. The
+    postings of the others stand together by term, from first[term] to first[term + 1].
     """
 
     def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, terms: int) -> None:
@@ -215,42 +217,54 @@ class Shard:
         self.number[self.dense] = np.arange(len(self.dense))
         frequent = self.number[term] >= 0
         self.n, self.wide = n, -(-n // BLOCK) * BLOCK
-        rows = np.zeros((len(self.dense), self.wide))
-        rows[self.number[term[frequent]], doc[frequent]] = impact[frequent]
-        strongest = (rows[:, :n] * np.log(1 + n / size[self.dense])[:, None]).argmax(axis=0) if len(self.dense) else np.zeros(n, np.int64)
+        at, own = doc[frequent], self.number[term[frequent]]
+        strength = np.zeros((n, len(self.dense)), np.float32)
+        strength[at, own] = impact[frequent] * np.log(1 + n / size[term[frequent]])
+        strongest = strength.argmax(axis=1) if len(self.dense) else np.zeros(n, np.int64)
+        del strength
         self.order = np.argsort(strongest, kind="stable")  # place to document
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
-        self.rows = np.zeros_like(rows)
-        self.rows[:, :n] = rows[:, self.order]
+        self.exact = np.zeros((self.wide, len(self.dense)))  # by place
+        self.exact[place[at], own] = impact[frequent]
         self.blocks = self.wide // BLOCK
-        self.maxima = self.rows.reshape(len(self.dense), self.blocks, BLOCK).max(axis=2)
+        self.maxima = self.exact.reshape(self.blocks, BLOCK, len(self.dense)).max(axis=1).T
+        # single precision for the bounds; each product and sum may lose a rounding
+        self.rows = np.ascontiguousarray(self.exact.reshape(self.blocks, BLOCK, len(self.dense)).transpose(0, 2, 1), np.float32)
+        self.loss = 1 + (len(self.dense) + 8) * 2.0**-23
         where, term, impact = place[doc[~frequent]], term[~frequent], impact[~frequent]
-        order = np.argsort(term * self.wide + where)
-        where, term, self.impact = where[order], term[order], impact[order]
-        self.place, block = where % BLOCK, where // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.block, self.posting = block[first], np.r_[first, len(term)]
-        self.top = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(term[first], np.arange(terms + 1))
-        self.entries = np.diff(self.entry)
+        order = np.argsort(term, kind="stable")
+        self.place, self.impact = where[order], impact[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(term, minlength=terms))]
+
+    def rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What a query's rare terms add to each place."""
+        lo = self.first[term]
+        n = self.first[term + 1] - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        added = self.impact.take(at)
+        added *= np.repeat(weight, n)
+        return np.bincount(self.place.take(at), added, self.wide)
 
     def best(self, q: Queries, lo: int, hi: int, k: int, threshold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query from lo to hi: its number, and all documents that may be among its k best and reach its
         threshold, with their scores. Raises the thresholds."""
         a, b, many = q.first[lo], q.first[hi], hi - lo
         term, weight = q.term[a:b], q.weight[a:b]
-        query = np.repeat(np.arange(many), np.diff(q.first[lo : hi + 1]))
-        # what the lists can add to each block
-        some = np.flatnonzero(self.entries[term])
-        n = self.entries[term[some]]
-        entry = np.repeat(self.entry[term[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell, own = np.repeat(query[some], n) * self.blocks + self.block[entry], np.repeat(weight[some], n)
+        cut = q.first[lo : hi + 1] - a
+        query = np.repeat(np.arange(many), np.diff(cut))
         number = self.number[term]
         frequent = np.flatnonzero(number >= 0)
         w = np.zeros((many, len(self.dense)))
         w[query[frequent], number[frequent]] = weight[frequent]
-        bound = np.bincount(cell, self.top[entry] * own, many * self.blocks).reshape(many, self.blocks) + w @ self.maxima
+        narrow = w.astype(np.float32)
+        # rare lists in full, one query at a time, so that what is worked on stays in the cache
+        rare = np.empty((many, self.blocks, BLOCK))
+        for i in range(many):
+            rare[i] = self.rare(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]).reshape(self.blocks, BLOCK)
+        # what a block's documents can reach
+        bound = rare.max(axis=2) + w @ self.maxima
         possible = bound > 0
         slack, rank, done, step = 10.0**-_ROUND, np.argsort(-bound, axis=1), 0, 2
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(many)]
@@ -260,25 +274,25 @@ class Shard:
             np.put_along_axis(now, rank[:, done : done + step], True, axis=1)
             now &= possible & (bound >= threshold[lo:hi, None] - slack)
             done, step = done + step, step * 4
-            rows, columns = np.nonzero(now)
+            columns, rows = np.nonzero(now.T)  # by block
             if not len(rows):
                 continue
-            # the postings of these blocks alone
-            slot = np.full(many * self.blocks, -1, np.int32)
-            slot[rows * self.blocks + columns] = np.arange(len(rows))
-            here = np.flatnonzero(slot[cell] >= 0)
-            e = entry[here]
-            size = self.posting[e + 1] - self.posting[e]
-            at = np.repeat(self.posting[e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            scores = np.bincount(np.repeat(slot[cell[here]].astype(np.int64) * BLOCK, size) + self.place[at], self.impact[at] * np.repeat(own[here], size), len(rows) * BLOCK).astype(float).reshape(len(rows), BLOCK)
-            for j in np.unique(columns).tolist() if len(self.dense) else ():
-                those = np.flatnonzero(columns == j)
-                scores[those] += w[rows[those]] @ self.rows[:, j * BLOCK : (j + 1) * BLOCK]
-            r, x = np.nonzero(scores >= np.maximum(threshold[lo + rows, None] - slack, slack))
-            s, x = scores[r, x], columns[r] * BLOCK + x
-            cut = np.searchsorted(rows[r], np.arange(many + 1))
-            for i in np.flatnonzero(np.diff(cut)).tolist():
-                each = slice(cut[i], cut[i + 1])
+            # the frequent lists of these blocks alone, rounded up, then in full for the documents that still reach it
+            scores = rare[rows, columns]
+            at = np.searchsorted(columns, np.arange(self.blocks + 1)).tolist()
+            for j, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if len(self.dense) else ():
+                if x < y:
+                    scores[x:y] += (narrow[rows[x:y]] @ self.rows[j]) * self.loss
+            r, x = np.nonzero((scores >= threshold[lo + rows, None] - slack) & (scores > 0))
+            by = np.argsort(rows[r], kind="stable")
+            r, x = r[by], x[by]
+            row, s, x = rows[r], rare[rows[r], columns[r], x], columns[r] * BLOCK + x
+            for i in range(0, len(row), 4096):
+                some = slice(i, i + 4096)
+                s[some] += np.einsum("ij,ij->i", w[row[some]], self.exact[x[some]])
+            ends = np.searchsorted(row, np.arange(many + 1))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                each = slice(ends[i], ends[i + 1])
                 old, places = found[i]
                 values, places = np.r_[old, s[each]], np.r_[places, x[each]]
                 if len(values) >= k:
@@ -287,7 +301,7 @@ class Shard:
                     values, places = values[ok], places[ok]
                 found[i] = values, places
         for i, (values, places) in enumerate(found):
-            ok = (places < self.n) & (values >= threshold[lo + i] - slack)
+            ok = (places < self.n) & (values > 0) & (values >= threshold[lo + i] - slack)
             if ok.any():
                 yield lo + i, self.order[places[ok]], np.round(values[ok], _ROUND)
 
@@ -326,8 +340,9 @@ def ask(of: Index, queries: DataFrame, k: int = K, block_terms: int = BLOCK_TERM
                     rank = np.lexsort((ids, none))
                     rank[rank] = np.arange(n)  # a document's place by id, null ones last
                     held: list[tuple] = []
-                    for lo in range(0, len(q.ids), CHUNK):
-                        for i, found, scores in shard.best(q, lo, min(lo + CHUNK, len(q.ids)), k, threshold):
+                    many = min(256, max(16, CHUNK_CELLS // max(shard.wide, 1)))
+                    for lo in range(0, len(q.ids), many):
+                        for i, found, scores in shard.best(q, lo, min(lo + many, len(q.ids)), k, threshold):
                             if len(found) > k:
                                 best = np.lexsort((rank[found], -scores))[:k]
                                 found, scores = found[best], scores[best]

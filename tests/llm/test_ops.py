@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -554,6 +555,33 @@ def test_search_touches_few_blocks():
     assert threshold[0] == pytest.approx(exact[best[2]])
 
 
+def test_search_long_queries():
+    """Long queries over frequent and rare lists: exact at near ties, and little beside the shard in memory."""
+    rng = np.random.default_rng(6)
+    n, terms, many, k = 6400, 5000, 64, 10
+    doc = np.repeat(np.arange(n), 220)
+    term = np.where(rng.random(len(doc)) < 0.3, rng.integers(0, 40, len(doc)), rng.integers(40, terms, len(doc)))
+    doc, term = np.unique(np.c_[doc, term], axis=0).T
+    impact = 1 + rng.random(len(doc)) * 1e-4  # scores differ by less than single precision shows
+    shard = bm25.Shard(n, doc, term, impact, terms)
+    assert 0 < len(shard.dense) < terms
+    each = [np.sort(rng.choice(terms, 1000, replace=False)) for _ in range(many)]
+    first = np.r_[0, np.cumsum([len(x) for x in each])]
+    q = bm25.Queries(np.arange(many), np.zeros(many, bool), np.arange(many), np.arange(terms, dtype=np.uint64), first, np.concatenate(each), 1 + rng.random(first[-1]))
+    threshold = np.zeros(many)
+    tracemalloc.start()
+    got = {i: (found, scores) for i, found, scores in shard.best(q, 0, many, k, threshold)}
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sorted(got) == list(range(many)) and peak < 40 << 20
+    for i, (found, scores) in got.items():
+        w = np.zeros(terms)
+        w[each[i]] = q.weight[first[i] : first[i + 1]]
+        exact = np.bincount(doc, impact * w[term], n)
+        best = np.argsort(-exact)[:k]
+        assert set(best) <= set(found.tolist()) and scores == pytest.approx(exact[found], abs=1e-6) and threshold[i] == pytest.approx(exact[best[-1]], abs=1e-9)
+
+
 # --- 7
 
 
