@@ -1,4 +1,4 @@
-"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning, per shard, merged exactly.
+"""Exact top-k search by BM25 over an inverted index with block-max pruning, per shard, merged exactly.
 
 Scores use statistics of all documents (their number, mean length, and each term's document frequency), so a document's
 score does not depend on its shard; each shard gives its k best for each query, and the k best of those are the answer.
@@ -43,6 +43,7 @@ from .text import Words, as_long, by_slice, member, release, slices, spread, tab
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK, DENSE, CHUNK_CELLS, SHARD_BYTES, SHARD_ROWS, BLOCK_TERMS = 64, 16, 1 << 21, 24 << 20, 1 << 16, 2_000_000
+TASKS_A_CORE = 2
 _ROUND = 6
 _KINDS = ("<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "u1")
 
@@ -134,6 +135,10 @@ class Index:
     documents: int
     words: int
 
+    def dealt(self) -> DataFrame:
+        """The files, some to a task: a scan's later shards gain from the thresholds of its first, and counts are added up."""
+        return self.files.select("file").coalesce(TASKS_A_CORE * self.files.sparkSession.sparkContext.defaultParallelism)
+
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     held, size, rows = [], 0, 0
@@ -194,7 +199,7 @@ def frequencies(of: Index, q: Queries) -> None:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "n"])
 
-    got = of.files.select("file").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = of.dealt().mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(len(q.terms), np.int64)
     for r in got.toLocalIterator():  # at most a row for each term of the block
         df[r.term] = r.n
@@ -352,7 +357,7 @@ def ask(of: Index, queries: DataFrame, k: int = K, block_terms: int = BLOCK_TERM
                         yield pa.RecordBatch.from_arrays([pa.array(q.numbers[i]), pa.array(q.ids[i], mask=q.unnamed[i]), pa.array(ids[found], mask=none[found].astype(bool)), pa.array(scores)], ["number", "query_id", "doc_id", "score"])
             release()
 
-        found = of.files.select("file").mapInArrow(run, schema)
+        found = of.dealt().mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], schema)

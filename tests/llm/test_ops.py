@@ -555,6 +555,16 @@ def test_search_touches_few_blocks():
     assert threshold[0] == pytest.approx(exact[best[2]])
 
 
+def test_search_scans_some_shards_to_a_task(spark):
+    """However many shards an index has, thresholds are carried on: a scan has a few tasks a core."""
+    docs = spark.range(0, 300, 1, 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id") % 7).alias("text"))
+    of = bm25.index(docs)
+    assert of.files.rdd.getNumPartitions() == 60 and of.files.count() == 60
+    assert of.dealt().rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and of.dealt().count() == 60
+    got = bm25.ask(of, spark.createDataFrame([(1, "a 3")], "query_id long, text string"), k=5).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [3, 10, 17, 24, 31]
+
+
 def test_search_long_queries():
     """Long queries over frequent and rare lists: exact at near ties, and little beside the shard in memory."""
     rng = np.random.default_rng(6)
