@@ -17,9 +17,11 @@ Documents are sets of five-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-
    so on for up to ``DEEPER`` values, until it is small. (A pair that is split in every tree and that no chain of links
    joins is missed: of the pairs in regions that are one deeper at most 4e-7 at 0.85 and 3e-5 at 0.8, at the full depth 4e-4
    and 9e-3.) Pairs are left
-   out only where a link is ruled out by the sizes, by the counts of round two, or by how many shingles a document shares with
-   its main component as a whole, or where as few of the 60 signature values agree as 8 standard deviations below the
-   threshold (of pairs at 0.85 less than 1e-12).
+   out only where a link is ruled out by the sizes, by the counts of round two, by how many shingles a document shares with
+   its main component as a whole, or by the parities (the sets differ by at least as many shingles as there are buckets that
+   hold an odd number in one and an even number in the other, a bound that holds for certain), or where as few of the 60
+   signature values agree as 8 standard deviations below the threshold (of pairs at 0.85 less than 1e-12). With two buckets a
+   shingle or more, few pairs further than 0.03 below the threshold are left, however many documents a region has.
 6. Components come from min-label propagation with pointer jumping over the links, in checkpointed rounds.
 
 Texts lie in blocks (``blocks.py``); only those of documents that share a region are read again, compressed, and sent to
@@ -45,7 +47,7 @@ from .checkpoints import folder
 from .text import BYTE_BASE, WORD_BASE, Words, as_long, mix, prefix, runs, span_hash, spread, table, utf8, with_fields
 
 WORDS, PERCENT, TREES, DEPTH = 5, 85, 20, 3
-DEEPER, DENSE, PAIR_BLOCK = 4, 2048, 1024
+DEEPER, DENSE, PAIR_BLOCK, BUCKETS = 4, 2048, 1024, 2048
 _ROW_BITS = 13
 _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BYTE_BASE))
 
@@ -266,6 +268,31 @@ def shared_shingles(texts: DataFrame, held: DataFrame, size: int) -> DataFrame:
     return each.join(common, "s").groupBy("rep").agg(F.count("*").alias("m"))
 
 
+def parities(texts: DataFrame, of: DataFrame, size: int) -> DataFrame:
+    """rep, odd: for each rep of of, a bit a bucket of its shingles, set where their number is odd; ``BUCKETS`` or, for
+    larger sets, two to four a shingle, a power of two, so that those of a larger set can be folded to fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                odd = [_odd(s).tobytes() for s in _sets_of(b.column("z"), size)]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(odd, pa.binary())], ["rep", "odd"])
+
+    return texts.select("rep", "z").join(of.select("rep").distinct(), "rep").mapInArrow(run, "rep long, odd binary")
+
+
+def _odd(s: np.ndarray) -> np.ndarray:
+    buckets = max(BUCKETS, 1 << (2 * len(s) - 1).bit_length())
+    count = np.bincount((mix(s) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities as of so many times 64 buckets, a number they have at least."""
+    return np.bitwise_xor.reduce(odd.reshape(len(odd), -1, words), axis=1)
+
+
 def shared_with_main(texts: DataFrame, left: DataFrame, size: int) -> DataFrame:
     """rep, main, mm: the largest component beside its own in most of a document's regions (tree, part, rep, comp), and how
     many of its shingles occur there."""
@@ -287,7 +314,7 @@ def _in_blocks(left: DataFrame) -> DataFrame:
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), last + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     left = left.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("many", "other")
     key = ["tree", "part", "lo", "hi"]
-    return left.select(*key, "block", "rep", "comp", "n", "m", "main", "mm", "sig").repartition(*key).sortWithinPartitions(*key)
+    return left.select(*key, "block", "rep", "comp", "n", "m", "main", "mm", "sig", "odd").repartition(*key).sortWithinPartitions(*key)
 
 
 def _cross(percent: int):
@@ -296,7 +323,19 @@ def _cross(percent: int):
 
     before = [(np.arange(t)[:, None] * DEPTH + np.arange(DEPTH + DEEPER)) % (TREES * DEPTH) for t in range(TREES)]
 
-    def pairs(tree, alone, block, rep, comp, n, m, main, mm, sig) -> Iterator[pa.RecordBatch]:
+    def near(i, j, n, odd, words):
+        """Which of the rows j may have a link with row i by the parities."""
+        ok = np.zeros(len(j), bool)
+        for w in np.unique(words[j]):
+            at = np.flatnonzero(words[j] == w)
+            least = min(w, words[i])
+            apart = np.bitwise_count(_folded(np.stack([odd[k] for k in j[at]]), least) ^ _folded(odd[i][None], least)).sum(axis=1, dtype=np.int64)
+            # J >= p/100 needs (100 + p) * difference <= (100 - p) * (sum of sizes)
+            ok[at] = (100 + percent) * apart <= (100 - percent) * (n[j[at]] + n[i])
+        return ok
+
+    def pairs(tree, alone, block, rep, comp, n, m, main, mm, sig, odd) -> Iterator[pa.RecordBatch]:
+        words = np.array([len(x) for x in odd])
         for i in range(len(rep)):
             # J >= p/100 needs (100 + p) * intersection >= p * (sum of sizes); an intersection has at most m shingles of
             # either document, and mm of one with a member of its main component
@@ -306,13 +345,15 @@ def _cross(percent: int):
                 same = sig[j] == sig[i]
                 # a pair that shares a tree's longer prefix has met in that tree, whatever its region's depth
                 j = j[(same.sum(axis=1) >= least) & ~same[:, before[tree]].all(axis=2).any(axis=1)]
+            if len(j):
+                j = j[near(i, j, n, odd, words)]
             if len(j):
                 a, b = np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def columns(rows):
-        *plain, sig = zip(*rows, strict=True)
-        return *map(np.array, plain), np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
+        *plain, sig, odd = zip(*rows, strict=True)
+        return *map(np.array, plain), np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1), [np.frombuffer(x, "<u8") for x in odd]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -367,9 +408,9 @@ def linked(blocks: Blocks, reps: DataFrame, size: int, percent: int) -> DataFram
     # round three: all pairs of different components that may be linked
     left = _spread(descended(rows), found).join(shared, "rep").join(reps.select("rep", "n", "sig"), "rep")
     left = settled(left.where(100 * F.col("m") >= percent * F.col("n")), 250_000)
-    left = left.join(shared_with_main(texts, left, size), "rep", "left")
+    left = left.join(shared_with_main(texts, left, size), "rep", "left").join(settled(parities(texts, left, size), 250_000), "rep")
     none = F.lit(-1).cast("long")
-    left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig")
+    left = left.select("tree", "part", "rep", "comp", "n", "m", F.coalesce("main", none).alias("main"), F.coalesce("mm", none).alias("mm"), "sig", "odd")
     more = settled(_in_blocks(left).mapInArrow(_cross(percent), "a long, b long").distinct())
     return extended(found, settled(verified(more, texts, size, percent))) if more.limit(1).count() else found
 

@@ -783,6 +783,60 @@ def test_near_duplicates_odd_rows(spark, odd, corpus):
         neardup.classes(odd.withColumn("doc_id", F.col("text")))
 
 
+def edited(rng, base, changes):
+    w = list(base)
+    for k in rng.choice(len(w), changes, replace=False):
+        w[k] = f"new{rng.integers(1 << 40)}"
+    return w
+
+
+def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
+    """Copies that differ by about as much as a link allows, and most by more: few of their pairs are verified, no link is lost."""
+    rng = np.random.default_rng(5)
+    base = [f"word{k}" for k in range(150)]
+    rows = [(k, edited(rng, base, 3)) for k in range(240)]
+    rows += [(1000 + k, edited(rng, w, 1 + k % 4)) for k, w in rows[::4]]
+    rows = [(k, " ".join(w)) for k, w in rows]
+    counts, verified = [], neardup.verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    got = neardup.classes(frame(spark, rows, 3), percent=80).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == brute_components(rows, 80)
+    assert max(counts) <= 2 * len(rows)  # of 44,850 pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_parities(percent):
+    """Sets of one shingle to some thousands, with three numbers of buckets: the bound holds, and round three keeps every link."""
+    rng = np.random.default_rng(percent)
+    docs = [["a"], ["b"], ["a", "b", "c", "d", "e"]]
+    for n in (6, 40, 134, 1028, 2052, 2056):
+        base = [f"w{n}x{k}" for k in range(n)]
+        docs += [edited(rng, base[rng.integers(3) :], min(n - 2, c * (1 + n // 200))) for c in (0, 1, 2, 3, 4, 6) for _ in range(3)]
+    h, first = neardup.sets(pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in docs])], ["text"]))
+    own = [h[a:b] for a, b in itertools.pairwise(first)]
+    own = list({s.tobytes(): s for s in own}.values())
+    odd = [neardup._odd(s) for s in own]
+    assert len({len(x) for x in odd}) == 3
+    links = set()
+    for i, j in itertools.combinations(range(len(own)), 2):
+        apart = len(np.setxor1d(own[i], own[j]))
+        least = min(len(odd[i]), len(odd[j]))
+        assert np.bitwise_count(neardup._folded(odd[i][None], least) ^ neardup._folded(odd[j][None], least)).sum() <= apart
+        if (100 + percent) * apart <= (100 - percent) * (len(own[i]) + len(own[j])):
+            links.add((i, j))
+    sig = neardup.signatures(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+    same, rep, n = np.zeros(len(own), np.int64), np.arange(len(own)), np.array([*map(len, own)])
+    columns = [same, same, same, same, same, rep, rep, n, n, same - 1, same - 1, [x.tobytes() for x in sig], [x.tobytes() for x in odd]]
+    rows = pa.RecordBatch.from_arrays([*map(pa.array, columns)], [f"c{k}" for k in range(len(columns))])
+    got = {(a, b) for x in neardup._cross(percent)(iter([rows])) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    assert links <= got and len(links) > 50 and len(got) < 2 * len(links)
+
+
 # --- 10
 
 
